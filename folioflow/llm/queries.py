@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import canonical, chunking, language, overlap, rankwalk, sentences
+from folioflow.llm import abuse, canonical, chunking, language, leaks, mixing, overlap, rankwalk, sentences
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
@@ -86,6 +86,40 @@ def p7_sentences(spark: SparkSession, at: str) -> DataFrame:
     return shown.withColumn("field", F.lit("display_text")).unionByName(searched.withColumn("field", F.lit("retrieval_text")))
 
 
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    found = leaks.leaks(table(spark, at, "documents"), "doc_id", "text", table(spark, at, "heldout_items"), "item_id", "text")
+    return found.select("item_id", "doc_id").distinct()
+
+
+def p8_leaked_items(spark: SparkSession, at: str) -> DataFrame:
+    """Per held-out split and item: documents that hold it and the longest run of its words."""
+    items = table(spark, at, "heldout_items")
+    found = leaks.leaks(table(spark, at, "documents"), "doc_id", "text", items, "item_id", "text")
+    per = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max(F.round(F.col("words") / F.col("item_words"), 6)).alias("largest_share"))
+    out = items.select("item_id", "split").join(per, "item_id", "left")
+    return out.select("item_id", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("largest_share", F.lit(0.0)).alias("largest_share"))
+
+
+def p9_mix_report(spark: SparkSession, at: str) -> DataFrame:
+    return mixing.mix(table(spark, at, "documents"), "doc_id", "text", "source", table(spark, at, "mix_targets")).report
+
+
+def p9_mix_selection(spark: SparkSession, at: str) -> DataFrame:
+    return mixing.mix(table(spark, at, "documents"), "doc_id", "text", "source", table(spark, at, "mix_targets")).selection
+
+
+def p10_found(spark: SparkSession, at: str) -> DataFrame:
+    return abuse.flagged(table(spark, at, "documents"), "doc_id", "text")
+
+
+def p10_scores(spark: SparkSession, at: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, at, "documents"), "doc_id", "text")
+
+
+def p10_source_rates(spark: SparkSession, at: str) -> DataFrame:
+    return abuse.source_rates(table(spark, at, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
