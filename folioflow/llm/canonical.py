@@ -147,12 +147,13 @@ def look_alike_table() -> Gather:
 
 
 @lru_cache(maxsize=None)
-def variant_table() -> Gather:
-    """Letter and digit variants; the tatweel, which the retrieval view drops, vanishes."""
+def variant_table(tatweel: bool = False) -> Gather:
+    """Letter and digit variants; the tatweel, which the retrieval view drops, vanishes unless it is to stay."""
     rules = {ord(a): (ord(b),) for xs, ys in ARABIC_VARIANTS for a, b in zip(xs, ys, strict=True)}
     for zero in (0x0660, 0x06F0):
         rules |= {zero + k: (0x30 + k,) for k in range(10)}
-    rules[0x0640] = ()
+    if not tatweel:
+        rules[0x0640] = ()
     return Gather(rules)
 
 
@@ -330,8 +331,8 @@ def settled_form() -> Gather:
 
 
 @lru_cache(maxsize=None)
-def settled_unite() -> Gather:
-    return _settled(form_table(), look_alike_table(), variant_table())
+def settled_unite(tatweel: bool = False) -> Gather:
+    return _settled(form_table(), look_alike_table(), variant_table(tatweel))
 
 
 def by_rows(chosen: np.ndarray, cp: np.ndarray, off: np.ndarray, then, otherwise) -> tuple[np.ndarray, np.ndarray]:
@@ -362,7 +363,7 @@ def visible_form(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return by_rows(marked, cp, off, lambda c, o: compose(*form_table()(c, o)), settled_form())
 
 
-def _unite_marked(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unite_marked(cp: np.ndarray, off: np.ndarray, tatweel: bool) -> tuple[np.ndarray, np.ndarray]:
     cp, off = compose(*look_alike_table()(*form_table()(cp, off)))
     if len(cp):
         ends = np.concatenate((at.row_starts(off, len(cp))[1:], [True]))
@@ -374,13 +375,13 @@ def _unite_marked(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
             cp[yeh] = YEH_HAMZA
             gone = np.concatenate(([False], seat[:-1]))
             cp, off = cp[~gone], at.offsets_of(at.segment_sums(~gone, off))
-    return variant_table()(cp, off)
+    return variant_table(tatweel)(cp, off)
 
 
-def unite(cp: np.ndarray, off: np.ndarray, spaces: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The consistent form. spaces: white space is squeezed as well."""
+def unite(cp: np.ndarray, off: np.ndarray, spaces: bool = True, tatweel: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The consistent form. spaces: white space is squeezed as well. tatweel: it is kept."""
     marked = rows_with(marked_table()[cp], off)
-    cp, off = by_rows(marked, cp, off, _unite_marked, settled_unite())
+    cp, off = by_rows(marked, cp, off, lambda c, o: _unite_marked(c, o, tatweel), settled_unite(tatweel))
     return squeeze(cp, off) if spaces else (cp, off)
 
 

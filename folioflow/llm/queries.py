@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import abuse, canonical, chunking, language, leaks, mixing, overlap, rankwalk, sentences
+from folioflow.llm import abuse, canonical, chunking, language, leaks, mixing, overlap, rankwalk, scans, sentences
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
@@ -51,6 +51,17 @@ def p3_pieces(spark: SparkSession, at: str) -> DataFrame:
     return chunking.chunk(table(spark, at, "passages"), "passage_id", "display_text")
 
 
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    return scans.noises(table(spark, at, "passages"), "passage_id", "display_text", "version_id", "profile")
+
+
+def p4_repaired(spark: SparkSession, at: str) -> DataFrame:
+    config = scans.ScanConfig()
+    scanned = table(spark, at, "passages").where(F.col("profile").isin(*config.profiles))
+    channel = scans.fit(scanned.where("display_text IS NOT NULL"), "display_text", "version_id", config)
+    return scans.repaired(scanned, "passage_id", "display_text", "version_id", channel)
+
+
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return overlap.overlapping_pairs(table(spark, at, "retrieval_answerability_v1"), table(spark, at, "retrieval_answerability_split_v1"))
 
