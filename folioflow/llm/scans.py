@@ -352,7 +352,7 @@ class Channel:
         n = self.words.get(word, 0)
         keep = math.log(n / self.total) if n else math.log(self.unknown) + self.spelled(word)
         out = [(word, keep + math.log(1 - self.config.misread_rate), False)]
-        if not n:
+        if not n and sum(map(str.isalpha, word)) > 1:
             out += [(w, math.log(self.words[w] / self.total) + math.log(p), True) for w, p in self.written(word).items()]
         self.memory[word] = out
         return out
