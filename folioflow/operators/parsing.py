@@ -99,7 +99,7 @@ def _spans(profile: str) -> Column:
         content = F.transform(parts, lambda x: F.struct(x.alias("text"), F.col("block_type").alias("kind")))
         marks = F.transform(found, lambda x: F.struct(x.alias("text"), marker_type(x).alias("kind")))
         both = F.arrays_zip(content.alias("a"), marks.alias("b"))
-        return F.filter(F.flatten(F.transform(both, lambda z: F.array(z["0"], z["1"]))), lambda s: s.isNotNull() & (s["text"] != ""))
+        return F.filter(F.flatten(F.transform(both, lambda z: F.array(z["a"], z["b"]))), lambda s: s.isNotNull() & (s["text"] != ""))
 
     return F.when(F.col(profile) == RAW_OCR, cut(with_images)).otherwise(cut(plain))
 

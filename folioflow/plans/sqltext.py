@@ -102,8 +102,8 @@ fused AS (SELECT query_id, hybrid_rank, passage_id, round(score, 9) AS fusion_sc
 ZONES = """sizes AS (SELECT version_id, max(ordinal) AS n FROM passages GROUP BY version_id HAVING max(ordinal) >= 10),
 zones AS (SELECT version_id, 1 AS start_ordinal, n // 20 + 1 AS end_ordinal, 'paratext' AS role, n AS expected_passage_count FROM sizes
   UNION ALL SELECT version_id, n // 20 + 2, n // 20 + 2, 'mixed', n FROM sizes UNION ALL SELECT version_id, n // 20 + 3, n, 'authorial', n FROM sizes)"""
-SOURCES = """marked AS (SELECT doc_id, text, instr(text, '#META#Header#End#') AS at FROM documents WHERE text IS NOT NULL),
-cut AS (SELECT doc_id, text, CASE WHEN at = 0 THEN 0 WHEN instr(substr(text, at), chr(10)) = 0 THEN length(text) ELSE at - 1 + instr(substr(text, at), chr(10)) END AS body_char_start FROM marked),
+SOURCES = """marked AS (SELECT doc_id, text, instr(text, '#META#Header#End#') AS head FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, text, CASE WHEN head = 0 THEN 0 WHEN instr(substr(text, head), chr(10)) = 0 THEN length(text) ELSE head - 1 + instr(substr(text, head), chr(10)) END AS body_char_start FROM marked),
 sources AS (SELECT doc_id, starts_with(text, '######OpenITI#') AS has_magic, substr(text, 1, body_char_start) AS header, substr(text, body_char_start + 1) AS body, body_char_start,
   length(substr(text, 1, body_char_start)) - length(replace(substr(text, 1, body_char_start), chr(10), '')) + 1 AS body_line_start FROM cut),
 pieces AS (SELECT doc_id, body_char_start, body_line_start, unnest(range(0, len(ls))) AS pos, ls FROM (SELECT *, string_split(body, chr(10)) AS ls FROM sources)),
