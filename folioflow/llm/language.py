@@ -354,13 +354,16 @@ def training_windows(rows: list[tuple[str, str, bool]], config: LanguageConfig)
         xs.append(x)
         ys.append(np.full(len(x), k))
     if not xs:
-        raise ValueError("no labelled text to train on")
+        return np.zeros((0, config.window), np.uint8), np.zeros(0, np.int64)
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def fit(rows: list[tuple[str, str, bool]], config: LanguageConfig) -> Network:
-    """Trains twice: windows that the first network finds unlike their label are left out of the second."""
+def fit(rows: list[tuple[str, str, bool]], config: LanguageConfig) -> Network | None:
+    """Trains twice: windows that the first network finds unlike their label are left out of the second. Without
+    labelled text there is no network, and no language is told."""
     x, y = training_windows(rows, config)
+    if not len(x):
+        return None
     network = train(x, y, config)
     good = network.log_probabilities(x)[np.arange(len(x)), y] > np.log(0.05)
     return network if good.all() else train(x[good], y[good], config)
@@ -388,7 +391,7 @@ SEGMENT_TYPE = "seg_no int, char_start long, char_end long, lang string, confide
 
 
 def language_segments(
-    df: DataFrame, key: str, text: str, verse: Column, network: Network, config: LanguageConfig = LanguageConfig()
+    df: DataFrame, key: str, text: str, verse: Column, network: Network | None, config: LanguageConfig = LanguageConfig()
 ) -> DataFrame:
     """One row per stretch of a language: key, seg_no, char_start, char_end, lang, confidence, whole, words.
 
@@ -397,6 +400,9 @@ def language_segments(
     """
     schema = T.StructType([df.schema[key], *T._parse_datatype_string(SEGMENT_TYPE).fields])
 
+    if network is None:
+        return df.sparkSession.createDataFrame([], schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(LANGUAGES)
         for batch in batches:

@@ -86,6 +86,7 @@ def gram_hashes(cp: np.ndarray, q: int) -> np.ndarray:
 class Items:
     """Folded held-out items: streams, word of every letter, needs, and an index of their q-grams."""
 
+    q: int
     ids: list
     cp: np.ndarray
     off: np.ndarray
@@ -100,9 +101,10 @@ class Items:
     BITS = 22
 
 
-def prepare(rows: list[tuple], config: LeakConfig) -> Items:
-    """rows: (id, text); items without a letter are left out."""
-    kept, streams, words = [], [], []
+def prepare(rows: list[tuple], config: LeakConfig) -> list[Items]:
+    """rows: (id, text). Items without a letter are left out; items of which a run that counts may be shorter than q
+    letters are indexed by shorter q-grams, as a group of their own."""
+    groups: dict[int, list[tuple]] = {}
     for item, text in rows:
         parts = (text or "").split()
         cp, off = fold(*at.decode(pa.array(parts, pa.string())))
@@ -120,41 +122,43 @@ def prepare(rows: list[tuple], config: LeakConfig) -> Items:
                 split.append(np.full(size[k], count))
                 count += 1
         if count:
-            kept.append(item)
-            streams.append(cp)
-            words.append(np.concatenate(split))
+            word = np.concatenate(split)
+            need = math.ceil(config.share * count - 1e-9)
+            total = np.concatenate(([0], np.cumsum(np.bincount(word))))
+            shortest = int((total[need:] - total[: len(total) - need]).min())
+            q = config.q
+            while q > max(1, shortest):
+                q //= 2
+            groups.setdefault(q, []).append((item, cp, word, need, shortest))
+    return [_indexed(q, members, config) for q, members in sorted(groups.items())]
+
+
+def _indexed(q: int, members: list[tuple], config: LeakConfig) -> Items:
+    kept = [m[0] for m in members]
+    streams = [m[1] for m in members]
+    words = [m[2] for m in members]
     off = at.offsets_of(np.array([len(s) for s in streams], np.int64))
     n_words = np.array([int(w[-1]) + 1 for w in words], np.int64)
-    need = np.ceil(config.share * n_words - 1e-9).astype(np.int64)
+    need = np.array([m[3] for m in members], np.int64)
     least = np.zeros(len(kept), np.int64)
     hashes, place = [], []
     for k, stream in enumerate(streams):
-        size = np.bincount(words[k])
-        total = np.concatenate(([0], np.cumsum(size)))
-        shortest = int((total[need[k] :] - total[: len(total) - need[k]]).min())
-        grams = shortest - config.q + 1
-        edits = max(0, min(config.edits, (grams - 1) // config.q))
-        least[k] = max(1, grams - edits * config.q)
-        if grams < 1:
-            raise ValueError(f"item {kept[k]}: a run of half its words is shorter than q")
-        h = gram_hashes(stream, config.q)
+        grams = members[k][4] - q + 1  # q-grams of the shortest run that counts
+        edits = max(0, min(config.edits, (grams - 1) // q))
+        least[k] = max(1, grams - edits * q)
+        h = gram_hashes(stream, q)
         hashes.append(h)
         place.append(off[k] + np.arange(len(h)))
-    grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    where = np.concatenate(place) if place else np.zeros(0, np.int64)
+    grams, where = np.concatenate(hashes), np.concatenate(place)
     order = np.argsort(grams, kind="stable")
     table = np.zeros(1 << Items.BITS, bool)
     table[(grams >> np.uint64(64 - Items.BITS)).astype(np.int64)] = True
-    empty = np.zeros(0, np.uint32)
-    return Items(
-        kept, np.concatenate(streams) if streams else empty, off, np.concatenate(words) if words else empty.astype(np.int64),
-        n_words, need, least, grams[order], where[order], table,
-    )
+    return Items(q, kept, np.concatenate(streams), off, np.concatenate(words), n_words, need, least, grams[order], where[order], table)
 
 
-def hits(cp: np.ndarray, off: np.ndarray, items: Items, config: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hits(cp: np.ndarray, off: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document position, item position, document) of every shared q-gram; q-grams don't cross documents."""
-    h = gram_hashes(cp, config.q)
+    h = gram_hashes(cp, items.q)
     if not len(h) or not len(items.grams):
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -165,7 +169,7 @@ def hits(cp: np.ndarray, off: np.ndarray, items: Items, config: LeakConfig) -> t
     real = count > 0
     maybe, lo, count = maybe[real], lo[real], count[real]
     doc = np.searchsorted(off, maybe, "right") - 1
-    inside = maybe + config.q <= off[doc + 1]
+    inside = maybe + items.q <= off[doc + 1]
     maybe, lo, count, doc = maybe[inside], lo[inside], count[inside], doc[inside]
     pick = np.repeat(lo - at.offsets_of(count)[:-1], count) + np.arange(count.sum())
     return np.repeat(maybe, count), items.place[pick], np.repeat(doc, count)
@@ -203,7 +207,7 @@ def aligned_words(cp: np.ndarray, begin: int, end: int, item: int, low: int, ite
     for diagonal in range(low, low + config.band):
         shift = diagonal + a  # document position of the item's first letter
         lo, hi = max(0, begin - shift), min(len(text), end - shift)
-        if hi - lo < config.q:
+        if hi - lo < items.q:
             continue
         same = np.concatenate(([False], cp[shift + lo : shift + hi] == text[lo:hi], [False]))
         edge = np.flatnonzero(same[1:] != same[:-1])
@@ -233,26 +237,26 @@ def leaks(
     schema = T.StructType([T.StructField(item, kind), documents.schema[key], T.StructField("words", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
         for batch in batches:
             for part in at.slices(batch, [text]):
                 cp, off = fold(*at.decode(part.column(1)))
-                found: dict[tuple[int, int], int] = {}
-                for doc, k, low, first, last in bands(*hits(cp, off, items, config), items, config):
-                    slack = config.edits + config.q * 40
-                    begin, end = max(int(off[doc]), first - slack), min(int(off[doc + 1]), last + config.q + slack)
-                    n = aligned_words(cp, begin, end, k, low, items, config)
-                    if n >= items.need[k] and n > found.get((doc, k), 0):
-                        found[doc, k] = n
-                if found:
-                    docs, ks = np.array(list(found)).T
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([items.ids[k] for k in ks], T_arrow(kind)), part.column(0).take(pa.array(docs)),
-                            pa.array(list(found.values()), pa.int32()), pa.array(items.n_words[ks].astype(np.int32)),
-                        ],
-                        names=schema.names,
-                    )
+                for items in shared.value:
+                    found: dict[tuple[int, int], int] = {}
+                    for doc, k, low, first, last in bands(*hits(cp, off, items), items, config):
+                        slack = config.edits + config.band + items.q * 40
+                        begin, end = max(int(off[doc]), first - slack), min(int(off[doc + 1]), last + items.q + slack)
+                        n = aligned_words(cp, begin, end, k, low, items, config)
+                        if n >= items.need[k] and n > found.get((doc, k), 0):
+                            found[doc, k] = n
+                    if found:
+                        docs, ks = np.array(list(found)).T
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([items.ids[k] for k in ks], T_arrow(kind)), part.column(0).take(pa.array(docs)),
+                                pa.array(list(found.values()), pa.int32()), pa.array(items.n_words[ks].astype(np.int32)),
+                            ],
+                            names=schema.names,
+                        )
 
     return documents.select(key, text).mapInArrow(run, schema)
 
