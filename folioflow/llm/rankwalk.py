@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,62 +106,41 @@ def _walk_groups(rows: DataFrame, keys: list[str], scores: int, config: RankWalk
     return rows.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _walk_large(rows: DataFrame, keys: list[str], item: str, scores: int, config: RankWalkConfig) -> DataFrame:
-    """The same walk for groups that don't fit one task: items live in blocks of a score's order, a step needs the
-    sums of all blocks (few rows) and prefix sums within each block."""
+def _walk_large(rows: DataFrame, scores: int, config: RankWalkConfig) -> DataFrame:
+    """The same walk for groups that don't fit one task (rows: gid, item, s0 .. sN): items live in blocks of a score's
+    order; a step needs the sums of all blocks (few rows) and prefix sums within each block."""
     names = [f"s{k}" for k in range(scores)]
     worst = F.lit(float("-inf"))
-    base = rows.select(*keys, item, *(F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), worst).alias(c) for c in names))
-    sizes = base.groupBy(*keys).agg(F.count("*").alias("size"))
-    base = base.join(sizes, _same(base, sizes, keys)).select(*(base[c] for c in (*keys, item, *names)), "size")
+    base = rows.select("gid", "item", *(F.coalesce(c, worst).alias(c) for c in names))
+    base = settle(base.join(base.groupBy("gid").agg(F.count("*").alias("size")), "gid"))
     places = None
     for k, c in enumerate(names):
-        part = F.ntile(config.blocks).over(Window.partitionBy(*keys).orderBy(F.desc(c)))
-        # Block limits from a histogram of distinct values, so equal values share a block.
-        values = base.groupBy(*keys, c).agg(F.count("*").alias("same"))
-        limits = values.withColumn("block", part)
-        per_block = limits.groupBy(*keys, "block").agg(F.sum("same").alias("in_block"))
-        before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        per_block = per_block.withColumn("ahead", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
-        within = Window.partitionBy(*keys, "block").orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)
-        placed = limits.withColumn("inner", F.coalesce(F.sum("same").over(within), F.lit(0)))
-        placed = placed.join(per_block, _same(placed, per_block, [*keys, "block"])).select(
-            *(placed[x].alias(x) for x in (*keys, c, "block")), (F.col("ahead") + F.col("inner")).alias("better")
-        )
-        joined = base.join(placed, _same(base, placed, [*keys, c])).select(
-            *(base[x] for x in (*keys, item, "size")), F.lit(k).alias("score"), placed["block"], placed["better"]
-        )
-        places = joined if places is None else places.unionByName(joined)
+        # Blocks over the distinct values, so equal values share a place.
+        values = base.groupBy("gid", c).agg(F.count("*").alias("same"))
+        limits = values.withColumn("block", F.ntile(config.blocks).over(Window.partitionBy("gid").orderBy(F.desc(c))))
+        before = Window.partitionBy("gid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = limits.groupBy("gid", "block").agg(F.sum("same").alias("in_block"))
+        ahead = ahead.select("gid", "block", F.coalesce(F.sum("in_block").over(before), F.lit(0)).alias("ahead"))
+        within = Window.partitionBy("gid", "block").orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)
+        placed = limits.withColumn("inner", F.coalesce(F.sum("same").over(within), F.lit(0))).join(ahead, ["gid", "block"])
+        placed = placed.select("gid", c, "block", (F.col("ahead") + F.col("inner")).alias("better"))
+        one = base.join(placed, ["gid", c]).select("gid", "item", "size", F.lit(k).alias("score"), "block", "better")
+        places = one if places is None else places.unionByName(one)
     places = settle(places)
-    state = base.select(*keys, item, "size", (1 / F.col("size")).alias("p"))
-    state = settle(state)
+    state = base.select("gid", "item", (1 / F.col("size")).alias("p"))
     for step in range(config.steps):
-        at_ = places.join(state.drop("size"), _same(places, state, [*keys, item])).select(
-            *(places[x] for x in places.columns), state["p"]
-        )
-        at_ = at_.withColumn("out", F.col("p") / F.col("size"))
-        block = at_.groupBy(*keys, "score", "block").agg(F.sum("out").alias("block_out"))
-        behind = Window.partitionBy(*keys, "score").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-        block = block.withColumn("behind", F.coalesce(F.sum("block_out").over(behind), F.lit(0.0)))
-        later = Window.partitionBy(*keys, "score", "block").orderBy("better").rangeBetween(1, Window.unboundedFollowing)
-        at_ = at_.withColumn("inner", F.coalesce(F.sum("out").over(later), F.lit(0.0)))
+        here = places.join(state, ["gid", "item"]).withColumn("out", F.col("p") / F.col("size"))
+        behind = Window.partitionBy("gid", "score").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+        block = here.groupBy("gid", "score", "block").agg(F.sum("out").alias("block_out"))
+        block = block.select("gid", "score", "block", F.coalesce(F.sum("block_out").over(behind), F.lit(0.0)).alias("behind"))
+        later = Window.partitionBy("gid", "score", "block").orderBy("better").rangeBetween(1, Window.unboundedFollowing)
+        here = here.withColumn("inner", F.coalesce(F.sum("out").over(later), F.lit(0.0)))
         gain = F.col("behind") + F.col("inner") + F.col("p") * (1 - F.col("better") / F.col("size"))
-        moved = at_.join(block, _same(at_, block, [*keys, "score", "block"])).select(
-            *(at_[x] for x in (*keys, item, "size")), gain.alias("gain")
-        )
-        state = moved.groupBy(*keys, item, "size").agg(
-            ((1 - config.damping) / F.first("size") + config.damping / scores * F.sum("gain")).alias("p")
-        )
-        if (step + 1) % config.checkpoint_every == 0:
+        moved = here.join(block, ["gid", "score", "block"]).select("gid", "item", "size", gain.alias("gain"))
+        state = moved.groupBy("gid", "item").agg(((1 - config.damping) / F.first("size") + config.damping / scores * F.sum("gain")).alias("p"))
+        if (step + 1) % config.checkpoint_every == 0 or step + 1 == config.steps:
             state = settle(state)
-    return state.select(*keys, item, F.col("p").alias("stationarity"))
-
-
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    out = a[columns[0]].eqNullSafe(b[columns[0]])
-    for c in columns[1:]:
-        out &= a[c].eqNullSafe(b[c])
-    return out
+    return state.select("gid", "item", F.col("p").alias("stationarity"))
 
 
 def rank_walk(
@@ -181,11 +160,13 @@ def rank_walk(
     sizes = df.groupBy(group).agg(F.count("*").alias("rows"))
     large = [r[0] for r in sizes.where(F.col("rows") > config.group_limit).select(group).collect()]  # < all rows / group_limit
     if large:
-        known = df.sparkSession.createDataFrame([(x,) for x in large], T.StructType([T.StructField("g", df.schema[group].dataType)]))
-        hot = F.broadcast(known)
-        big = rows.join(hot, rows[group].eqNullSafe(hot["g"]), "left_semi")
-        small = rows.join(hot, rows[group].eqNullSafe(hot["g"]), "left_anti")
-        walked = _walk_groups(small, [group], len(scores), config).unionByName(_walk_large(big, [group], item, len(scores), config))
+        kind = T.StructType([T.StructField("gid", T.LongType()), T.StructField("g", df.schema[group].dataType)])
+        hot = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(large)), kind))
+        same = rows[group].eqNullSafe(hot["g"])
+        values = [f"s{k}" for k in range(len(scores))]
+        big = rows.join(hot, same).select("gid", rows[item].alias("item"), *values)
+        walked_big = _walk_large(big, len(scores), config).join(hot, "gid").select(F.col("g").alias(group), F.col("item").alias(item), "stationarity")
+        walked = _walk_groups(rows.join(hot, same, "left_anti"), [group], len(scores), config).unionByName(walked_big)
     else:
         walked = _walk_groups(rows, [group], len(scores), config)
     order = Window.partitionBy(group).orderBy(F.desc(F.round("stationarity", 12)), item)

@@ -429,6 +429,8 @@ SURE = itemgetter(2)
 
 def _mended(token: str, core: str, written: str | None, channel: Channel) -> str:
     """The token with its core as it was written; without a decision the likeliest known word, if there is one."""
+    if written is None and (bare := SIGN.sub("", core)) in channel.words:
+        written = bare
     if written is None or written == core:
         written = max(channel.written(core).items(), key=lambda x: x[1] * channel.words[x[0]], default=(None, 0))[0]
     if not written:
