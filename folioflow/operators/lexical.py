@@ -1,7 +1,7 @@
 """Lexical retrieval: inverted index, term statistics and BM25 with phrase, all-term and any-term queries.
 
 A batch of queries is one plan: query terms are joined to postings by term, and scores are added per query and
-document. The automatic mode computes the modes side by side and keeps the strictest that finds anything.
+document. The automatic mode hands only the queries that a stricter mode leaves without a hit to the next.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import LexicalConfig
+from folioflow.functions.lineage import settle
 
 TOKEN = "[\\p{L}\\p{N}]+"
 
@@ -56,6 +57,12 @@ def build_index(df: DataFrame, key: str, text: str) -> Index:
     return Index(docs, postings, terms, totals)
 
 
+def written(index: Index) -> Index:
+    """The index written once to the shared folder, for searches that read it several times."""
+    postings = settle(index.postings)
+    return Index(settle(index.docs), postings, postings.groupBy("term").agg(F.count("*").alias("df")), settle(index.totals))
+
+
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     """key, tokens (in order, repeats kept) and terms (distinct, in order of first use) of queries with any."""
     rows = queries.select(F.col(key).alias("query_id"), tokens(text).alias("q_tokens"))
@@ -113,15 +120,13 @@ def search_phrase(index: Index, queries: DataFrame, config: LexicalConfig = Lexi
 
 def search_auto(index: Index, queries: DataFrame, config: LexicalConfig = LexicalConfig()) -> DataFrame:
     """query_id, doc_id, score, mode: phrase, else all terms, else any term; a single term begins with all terms."""
+    index, queries = written(index), settle(queries)
     several = queries.where("size(q_terms) > 1")
-    modes = (
-        search_phrase(index, several, config).withColumn("priority", F.lit(1))
-        .unionByName(search_all(index, queries, config).withColumn("priority", F.lit(2)))
-        .unionByName(search_any(index, queries, config).withColumn("priority", F.lit(3)))
-    )
-    best = modes.withColumn("best", F.min("priority").over(Window.partitionBy("query_id"))).where("priority = best")
-    names = F.element_at(F.array(F.lit("phrase"), F.lit("all_terms"), F.lit("any_terms")), F.col("priority"))
-    return best.select("query_id", "doc_id", "score", names.alias("mode"))
+    phrase = settle(search_phrase(index, several, config).withColumn("mode", F.lit("phrase")))
+    rest = queries.join(phrase.select("query_id").distinct(), "query_id", "left_anti")
+    every = settle(search_all(index, rest, config).withColumn("mode", F.lit("all_terms")))
+    rest = rest.join(every.select("query_id").distinct(), "query_id", "left_anti")
+    return phrase.unionByName(every).unionByName(search_any(index, rest, config).withColumn("mode", F.lit("any_terms")))
 
 
 def ranked(hits: DataFrame, limit: int, *extra: str) -> DataFrame:
