@@ -3,13 +3,15 @@
 Method: a noisy channel. What the scanner does to characters (confusion probabilities) is learned from rare words
 that one confusion turns into frequent ones; what was written is judged by the n-gram likelihood of the corpus; the
 words of a line are decoded by Viterbi over candidate words. Running headers are short lines that recur in their
-version, at times with a page number; they and page numbers are set aside before the text is joined and decoded.
+version, or stand where no line of the running text would end, at times with a page number; they and page numbers are
+set aside before the text is joined and decoded.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +37,8 @@ class ScanConfig:
     least_share: float = 1e-6  # ... and this share of all words, so at most 1 / least_share words are kept
     header_words: int = 6
     header_count: int = 2  # a header recurs so often in its version
-    header_share: float = 1e-6  # of all short lines, so at most 1 / header_share headers are kept
+    header_most: int = 1_000_000  # headers of all versions (checked)
+    header_slack: int = 3  # characters that misreading may have added to the longest line
     strong_ratio: int = 20  # confusions are learned from words so much rarer than the word they resemble
     rounds: int = 2  # of learning confusions again with those learned before
     least_types: int = 3  # different words that must show a confusion
@@ -53,6 +56,7 @@ ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,
 NUMBER = rf"(?:\d{{1,4}}|{ROMAN})"
 PAGE_LINE = re.compile(rf"^[^\w]*(?:(?:{PAGE_WORDS})[\s.:]*)?{NUMBER}[\s.]*(?:页|頁)?[^\w]*$", re.I)
 EDGE_NUMBER = re.compile(rf"^\s*({NUMBER})[\s|\-—–.:]+(?=\D)|(?<=\D)[\s|\-—–:]+({NUMBER})\s*$", re.I)
+SET_OFF = re.compile(rf"^\s*{NUMBER}\s*[|—–]|[|—–]\s*{NUMBER}\s*$", re.I)
 SENTENCE = re.compile(r"[.!?؟۔؛،,;:।。！？，；：«»“”\"「」]")
 LETTER = re.compile(r"[^\W\d_]")
 OPENERS = "\"'“”„«‘’‹「『([{（"
@@ -85,22 +89,51 @@ def header_key(line: str, config: ScanConfig) -> tuple[str, bool] | None:
     words = [w for w in re.split(r"[\W_]+", body.replace("ـ", "")) if w]
     if not words or len(words) > config.header_words or any(w.isdigit() for w in words):
         return None
-    return " ".join(words).lower(), numbered
+    return " ".join(words).lower().replace("ı", "i").replace("i̇", "i"), numbered
+
+
+def neighbours(lines: list[Line], k: int) -> tuple[str | None, str | None]:
+    """The lines before and after line ``k``, page numbers left out; None at the edges of the text."""
+    before = next((x.text for x in reversed(lines[:k]) if x.kind != "pageno"), None)
+    after = next((x.text for x in lines[k + 1 :] if x.kind != "pageno"), None)
+    return before, after
+
+
+def width_of(lines: list[Line], config: ScanConfig) -> int:
+    """Characters that a line of the running text surely has room for."""
+    return max((len(x.text.rstrip()) for x in lines if x.kind == "text"), default=0) - config.header_slack
+
+
+def stands_apart(line: str, after: str | None, width: int) -> bool:
+    """The next word would have had room in the line, so the running text wasn't broken there."""
+    words = after.split(maxsplit=1) if after else []
+    return bool(words) and len(line.strip()) + 1 + len(words[0]) <= width
 
 
 def classify(text: str, headers: dict[str, int] | None, config: ScanConfig) -> list[Line]:
-    """Kinds of the lines of a text. headers: keys of the version's running headers."""
+    """Kinds of the lines of a text. headers: keys of the version's running headers; None while they aren't known."""
     lines = [Line(x, "text") for x in text.split("\n")]
-    for k, line in enumerate(lines):
+    for line in lines:
         bare = line.text.strip()
         if not bare:
             line.kind = "blank"
         elif len(bare) <= 24 and PAGE_LINE.match(bare):
             line.kind = "pageno"
-        elif len(lines) > 1 and headers and (found := header_key(bare, config)):
+    if len(lines) > 1 and headers is not None:
+        width = width_of(lines, config)
+        for k, line in enumerate(lines):
+            if line.kind != "text" or not (found := header_key(line.text.strip(), config)):
+                continue
             key, numbered = found
             if key in headers or (numbered or len(key) > 9) and _near(key, headers):
                 line.kind = "header"
+                continue
+            after = neighbours(lines, k)[1]
+            apart = stands_apart(line.text, after, width)
+            # Seen once: with a number where the running text wasn't broken, or with the title of another header.
+            alone = numbered and (apart or after is None and SET_OFF.search(line.text))
+            if alone or (apart or numbered and after is None) and _shares(key, headers):
+                line.kind = "header"
     if len(lines) > 1 and lines[0].kind == "text" and lines[1].kind == "blank" and not SENTENCE.search(lines[0].text) and len(lines[0].text.split()) <= 8:
         lines[0].kind = "heading"
     return lines
@@ -114,6 +147,12 @@ def _near(key: str, headers: dict[str, int]) -> bool:
     return False
 
 
+def _shares(key: str, headers: dict[str, int]) -> bool:
+    """Ends with the same two words as a header (titles stand after their author or the word for chapter)."""
+    title = key.split(" ")[-2:]
+    return len(title) == 2 and any(h.split(" ")[-2:] == title for h in headers)
+
+
 def _distance(a: str, b: str, limit: int) -> int:
     while a and b and a[0] == b[0]:
         a, b = a[1:], b[1:]
@@ -163,8 +202,20 @@ def join_lines(lines: list[Line]) -> tuple[list[list[str]], int]:
     return out, broken
 
 
+#: Of a short line in its version: occurrences, those with a number, those that stand apart, those that do or end the
+#: text, least and greatest hash of the line before and of the line after.
+SHORT = ("n", "n_numbered", "n_apart", "n_placed", "before_min", "before_max", "after_min", "after_max")
+
+
+def merge_short(a: list[int] | None, b: list[int]) -> list[int]:
+    if a is None:
+        return b
+    ends = [f(x, y) for f, x, y in zip((min, max, min, max), a[4:], b[4:])]
+    return [x + y for x, y in zip(a[:4], b[:4])] + ends
+
+
 def count_batch(texts: list[str], versions: list[str], config: ScanConfig) -> tuple[Counter, dict[tuple[str, str], list[int]]]:
-    """Words of running text, and short lines of each version with how many bear a number at the edge."""
+    """Words of running text, and the short lines of each version (see SHORT)."""
     words: Counter = Counter()
     shorts: dict[tuple[str, str], list[int]] = {}
     for text, version in zip(texts, versions):
@@ -172,11 +223,15 @@ def count_batch(texts: list[str], versions: list[str], config: ScanConfig) -> tu
             continue
         lines = classify(text, None, config)
         several = len(lines) > 1
-        for line in lines:
+        width = width_of(lines, config)
+        for k, line in enumerate(lines):
             if line.kind == "text" and several and (found := header_key(line.text.strip(), config)):
-                have = shorts.setdefault((version or "", found[0]), [0, 0])
-                have[0] += 1
-                have[1] += found[1]
+                before, after = neighbours(lines, k)
+                apart = stands_apart(line.text, after, width)
+                # At an edge of the text the other neighbour tells copies of a text from another place.
+                left, right = (zlib.crc32((x or f"\0{y}").encode("utf-8", "replace")) for x, y in ((before, after), (after, before)))
+                key = version or "", found[0]
+                shorts[key] = merge_short(shorts.get(key), [1, int(found[1]), int(apart), int(apart or after is None), left, left, right, right])
         joined, _ = join_lines(lines)
         for ws in joined:
             words.update(ws)
@@ -184,8 +239,8 @@ def count_batch(texts: list[str], versions: list[str], config: ScanConfig) -> tu
 
 
 def statistics(df: DataFrame, text: str, version: str, config: ScanConfig) -> DataFrame:
-    """kind (w or h), version, key, n, n_numbered over all rows; partial sums leave each batch."""
-    schema = "kind string, version string, key string, n long, n_numbered long"
+    """kind (w or h), version, key and the counts of SHORT over all rows; partial sums leave each batch."""
+    schema = "kind string, version string, key string, " + ", ".join(f"{x} long" for x in SHORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -194,10 +249,8 @@ def statistics(df: DataFrame, text: str, version: str, config: ScanConfig) -> Da
             for part in at.slices(batch, [text]):
                 w, s = count_batch(shown(part.column(0)), part.column(1).to_pylist(), config)
                 words.update(w)
-                for key, (n, m) in s.items():
-                    have = shorts.setdefault(key, [0, 0])
-                    have[0] += n
-                    have[1] += m
+                for key, counts in s.items():
+                    shorts[key] = merge_short(shorts.get(key), counts)
                 if len(words) + len(shorts) > 300_000:
                     yield emit(words, shorts)
                     words, shorts = Counter(), {}
@@ -208,13 +261,30 @@ def statistics(df: DataFrame, text: str, version: str, config: ScanConfig) -> Da
         for w, n in words.items():
             if c := word_core(w):
                 cores[c] += n
-        rows = [("w", "", c, n, 0) for c, n in cores.items()] + [("h", v, k, n, m) for (v, k), (n, m) in shorts.items()]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "version", "key", "n", "n_numbered"])
+        rows = [("w", "", c, n, *[0] * 7) for c, n in cores.items()] + [("h", v, k, *counts) for (v, k), counts in shorts.items()]
+        cols = list(zip(*rows)) if rows else [()] * (3 + len(SHORT))
+        types = (*[pa.string()] * 3, *[pa.int64()] * len(SHORT))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "version", "key", *SHORT])
 
     counted = df.select(text, version).mapInArrow(run, schema)
-    return counted.groupBy("kind", "version", "key").agg(F.sum("n").alias("n"), F.sum("n_numbered").alias("n_numbered"))
+    merged = [(F.min if x.endswith("min") else F.max if x.endswith("max") else F.sum)(x).alias(x) for x in SHORT]
+    return counted.groupBy("kind", "version", "key").agg(*merged)
+
+
+def recurring_headers(stats: DataFrame, config: ScanConfig) -> dict[str, dict[str, int]]:
+    """version -> running headers: short lines that recur, with page numbers or in different places where the running
+    text wasn't broken."""
+    numbered = (F.col("n_numbered") > 0) & (F.col("n_numbered") * 5 >= F.col("n"))
+    elsewhere = (F.col("before_min") < F.col("before_max")) & (F.col("after_min") < F.col("after_max"))
+    placed = (F.col("n_apart") > 0) & (F.col("n_placed") >= config.header_count) & (F.col("n_placed") * 2 > F.col("n")) & elsewhere
+    found = stats.where((F.col("kind") == "h") & (F.col("n") >= config.header_count) & (numbered | placed)).select("version", "key", "n")
+    rows = found.limit(config.header_most + 1).collect()
+    if len(rows) > config.header_most:
+        raise ValueError(f"more than {config.header_most} running headers")
+    headers: dict[str, dict[str, int]] = {}
+    for r in rows:
+        headers.setdefault(r.version, {})[r.key] = r.n
+    return headers
 
 
 class Patterns:
@@ -441,7 +511,7 @@ def _mended(token: str, core: str, written: str | None, channel: Channel) -> str
 
 def inspect(text: str, version: str | None, channel: Channel) -> tuple[dict[str, int], str]:
     """How often each noise occurs in a text, and the text repaired into paragraphs."""
-    lines = classify(text, channel.headers.get(version or ""), channel.config)
+    lines = classify(text, channel.headers.get(version or "", {}), channel.config)
     counts = {"pageno": sum(x.kind == "pageno" for x in lines), "header": sum(x.kind == "header" for x in lines)}
     joined, counts["hyphen"] = join_lines(lines)
     misread = 0
@@ -506,7 +576,7 @@ def word_pairs(df: DataFrame, text: str, words: dict[str, int], config: ScanConf
 
 def fit(df: DataFrame, text: str, version: str, config: ScanConfig = ScanConfig()) -> Channel:
     """Counts over all rows of scanned profiles. Collected are at most 1 / least_share words, 1 / bigram_share pairs,
-    1 / header_share headers and the confusions."""
+    header_most headers and the confusions."""
     stats = settle(statistics(df, text, version, config))
     words = stats.where("kind = 'w'")
     total = words.agg(F.sum("n")).collect()[0][0] or 1
@@ -537,12 +607,7 @@ def fit(df: DataFrame, text: str, version: str, config: ScanConfig = ScanConfig(
     least = max(2, math.ceil(config.bigram_share * total))
     kept = pairs.where(F.col("n") >= least).toArrow()
     order = np.argsort(kept["pair"].to_numpy(), kind="stable")
-    shorts = stats.where("kind = 'h'")
-    lines = shorts.agg(F.sum("n")).collect()[0][0] or 1
-    least = max(config.header_count, math.ceil(config.header_share * lines))
-    headers: dict[str, dict[str, int]] = {}
-    for r in shorts.where((F.col("n") >= least) & (F.col("n_numbered") > 0) & (F.col("n_numbered") * 5 >= F.col("n"))).collect():
-        headers.setdefault(r.version, {})[r.key] = r.n
+    headers = recurring_headers(stats, config)
     unknown = max(1e-4, 1 - sum(channel.words.values()) / total)
     return Channel(channel.words, total, confusions, kept["pair"].to_numpy()[order], kept["n"].to_numpy()[order], dict(letters), dict(contexts), unknown, headers, config)
 

@@ -168,6 +168,19 @@ def test_scan_noise(spark):
     assert scans.noises(df.limit(0), "passage_id", "t", "version_id", "profile").count() == 0
 
 
+def test_headers_without_numbers_and_seen_once(spark):
+    one = "the river was near the garden and every house\nstood in the morning light of the old garden\nwall where they came to the river again."
+    two = "they saw the wall of the house in the morning\nand the garden near the river was full of the\nlight of every house that stood near by it."
+    put = lambda text, k, line: "\n".join(text.split("\n")[:k] + [line] + text.split("\n")[k:])
+    rows = [("a", put(one, 1, "Bell — Old Book"), "v"), ("b", put(two, 2, "Bell — Old Book"), "v"), ("c", put(one, 0, "Bell — Old Book"), "v")]
+    rows += [("d", put(one, 2, "Tree Road"), "w"), ("e", put(one, 2, "Tree Road"), "w"), ("f", put(two, 1, "Green Hill | 252"), "w"), ("g", put(two, 3, "Hill 12"), "w")]
+    rows += [("h", put(two, 2, "Book Five Old Book"), "v"), ("i", one, "v"), ("j", two, "w"), ("k", "Green Tree\n\n" + one, "v"), ("l", "Green Tree\n\n" + two, "v")]
+    rows += [("m", put(one, 1, "113 Lost Water"), "alone")]
+    df = spark.createDataFrame([(*r, "mixed_prose_ocr") for r in rows], "passage_id string, t string, version_id string, profile string")
+    got = {r.passage_id for r in scans.noises(df, "passage_id", "t", "version_id", "profile").where("noise = 'header'").collect()}
+    assert got == {"a", "b", "c", "f", "h", "m"}  # d and e are copies: their line doesn't recur elsewhere
+
+
 def test_term_automaton_against_edit_distance():
     terms = {"imbecile": 1, "moron": 0, "schwachkopf": 1}
     auto = abuse.TermAutomaton(terms)
