@@ -29,7 +29,19 @@ CODES = {
 LANGUAGES = tuple(CODES)
 
 #: Marks at which a sentence, line or half-line may end.
-UNIT_MARKS = tuple(map(ord, ".!?؟۔।॥。！？．｡؛…|"))
+UNIT_MARKS = tuple(map(ord, ".!?؟۔।॥。！？．｡؛"))  # in verse | too
+
+#: Abbreviations that a full stop follows within a sentence; single letters and words before a number, too.
+ABBREVIATIONS = frozenset(
+    "dr prof mr mrs ms st rev hon sir jr sr cf vgl vol fol fols ed eds etc chap ch art no nr pp bd hrsg hg usw ca bzw "
+    "abb mme mlle mm éd av ap apr bkz hz yy vb vd doç yrd öğr çev haz fig sec viz ibid op cit".split()
+)
+
+
+#: Common words that tell Persian from Arabic in a sentence too short for the network, and the article.
+PERSIAN_WORDS = frozenset(w.encode() for w in "را به از در که بر هر با این آن است بود شد نه".split())
+ARABIC_WORDS = frozenset(w.encode() for w in "في فی من على علی إلى الى ما لا هذا هذه هو هي عن كل كان ليس قال أن إن لم".split())
+ARTICLES = tuple(w.encode() for w in "ال وال بال فال كال لل".split())
 
 
 @dataclass(frozen=True)
@@ -41,17 +53,17 @@ class LanguageConfig:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 20  # of each width
     texts_per_language: int = 160  # bound of the training sample: labelled texts of a language ...
-    windows_per_language: int = 700  # ... windows of a language ...
+    windows_per_language: int = 2000  # ... windows of a language ...
     chars_per_text: int = 3000  # ... and code points of a text
     epochs: int = 6
     batch: int = 64
     rate: float = 0.004
     seed: int = 7
-    least_bytes: int = 20  # a shorter unit bears no language of its own
+    least_bytes: int = 2  # a unit of a single byte bears no language of its own
+    title_words: int = 8  # of a heading or running header at most, which has no end mark
     switch_between: float = -2.5  # log cost of another language in the next unit
     switch_within: float = -9.0  # log cost of another language within a unit
-    unlike_rest: float = 0.8  # confidence asked of a segment in another language than most of the document, ...
-    unlike_words: int = 5  # ... and words, so that no running header passes (two letters without spaces are a word)
+    unlike_rest: float = 0.8  # confidence asked of a segment in another language than most of the document
 
 
 @dataclass(frozen=True)
@@ -182,6 +194,54 @@ class Units:
     data: np.ndarray
     off: np.ndarray
     words: np.ndarray
+    title: np.ndarray  # ends without an end mark, as headings and running headers do
+
+
+def inner_stops(cp: np.ndarray, row_of: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Places of full stops that end no sentence: in numbers, abbreviations, initials and ellipses.
+
+    Where the script changes after it a full stop counts as an end.
+    """
+    n = len(cp)
+    at_ = np.flatnonzero(cp == ord("."))
+    if not len(at_):
+        return at_
+    place = np.arange(n)
+    row = row_of[at_]
+
+    def kind(k: np.ndarray, table: np.ndarray) -> np.ndarray:
+        inside = (k >= 0) & (k < n)
+        q = np.clip(k, 0, n - 1)
+        return inside & (row_of[q] == row) & table[q]
+
+    digit = at.flag_table((*range(0x30, 0x3A), *range(0x660, 0x66A), *range(0x6F0, 0x6FA), *range(0x966, 0x970)))[cp]
+    dot = cp == ord(".")
+    white = (cp == canonical.NEWLINE) | (cp == canonical.SPACE)
+    ahead = np.minimum.accumulate(np.where(white, n, place)[::-1])[::-1]  # the next place that isn't white
+    following = np.append(ahead, n)[at_ + 1]
+    later = np.append(np.minimum.accumulate(np.where(letter, place, n)[::-1])[::-1], n)[at_ + 1]  # the next letter
+    behind = np.maximum.accumulate(np.where(letter, -1, place))  # the last place that is no letter
+    size = np.where(at_ > 0, at_ - 1 - behind[np.maximum(at_ - 1, 0)], 0)
+    size = np.minimum(size, at_ - (np.searchsorted(row_of, row)))
+    lower = lower_table()
+    inner = kind(at_ - 1, digit) & kind(at_ + 1, digit)
+    inner |= kind(at_ - 1, dot) | kind(at_ + 1, dot)
+    inner |= (size == 1) & ~kind(at_ - 1, cp >= 0x3000)
+    inner |= (size > 1) & (size <= 3) & kind(at_ - 1, (cp >= 0x900) & (cp < 0x980))  # Hindi sentences end in another mark
+    inner |= (size > 0) & (size <= 5) & kind(following, digit) & kind(at_ - 1, cp < 0x250)
+    for q in np.flatnonzero(~inner & (size > 1) & (size <= 5) & kind(at_ - 1, cp < 0x250)):
+        word = cp[at_[q] - size[q] : at_[q]]
+        inner[q] = "".join(map(chr, lower[word].tolist())) in ABBREVIATIONS
+    script = np.searchsorted(np.array([0x250, 0x590, 0x900, 0x980, 0x3000]), cp, side="right")
+    last = np.maximum.accumulate(np.where(letter, place, -1))[at_]
+    known = (last >= 0) & (later < n)
+    other = known & (row_of[np.maximum(last, 0)] == row) & (row_of[np.minimum(later, n - 1)] == row)
+    other &= script[np.maximum(last, 0)] != script[np.minimum(later, n - 1)]
+    blank = np.zeros(len(at_), bool)  # a blank line ends any sentence
+    for step in (1, 2, 3):
+        blank |= kind(at_ + step, cp == canonical.NEWLINE) & kind(at_ + step + 1, cp == canonical.NEWLINE)
+    numeral = kind(at_ - 1, digit) & kind(at_ + 1, digit)
+    return at_[inner & (numeral | ~(other | blank))]
 
 
 def units_of(cp: np.ndarray, off: np.ndarray, verse: np.ndarray) -> Units:
@@ -193,14 +253,17 @@ def units_of(cp: np.ndarray, off: np.ndarray, verse: np.ndarray) -> Units:
     row_of = np.repeat(np.arange(len(off) - 1), np.diff(off))
     breaks = cp == canonical.NEWLINE
     white = breaks | (cp == canonical.SPACE)
-    cut = at.flag_table(UNIT_MARKS)[cp]
+    letter = letter_table()[cp]
+    mark = at.flag_table(UNIT_MARKS)[cp]
+    mark[inner_stops(cp, row_of, letter)] = False
+    cut = mark.copy()
     pair = np.zeros(n, bool)
     if n > 2:
         pair[1:] = breaks[1:] & breaks[:-1]
         in_verse = verse[row_of]
         gap = np.zeros(n, bool)
         gap[2:] = white[2:] & white[1:-1] & white[:-2]
-        pair |= in_verse & (breaks | gap | (cp == ord("/")))
+        pair |= in_verse & (breaks | gap | (cp == ord("/")) | (cp == ord("|")))
         pair[1:] |= in_verse[1:] & (cp[1:] == ord("%")) & (cp[:-1] == ord("~"))
     cut |= pair
     starts = at.row_starts(off, n)
@@ -209,7 +272,6 @@ def units_of(cp: np.ndarray, off: np.ndarray, verse: np.ndarray) -> Units:
     unit = np.cumsum(begin) - 1
     n_units = int(unit[-1]) + 1 if n else 0
     first = np.flatnonzero(begin)
-    letter = letter_table()[cp]
     keep = letter.copy()
     if n:
         spaced = ~letter & np.concatenate(([False], letter[:-1])) & ~begin
@@ -224,7 +286,8 @@ def units_of(cp: np.ndarray, off: np.ndarray, verse: np.ndarray) -> Units:
     end = np.append(first[1:], n) if n else first
     words = at.segment_sums(at.word_starts(text, unit_off), unit_off)
     words += at.segment_sums((data >= 0xE3) & (data <= 0xE9), boff) // 2
-    return Units(row, first - off[row], end - off[row], data, boff, words)
+    title = (at.segment_sums(mark, np.append(first, n)) == 0) & ~verse[row]
+    return Units(row, first - off[row], end - off[row], data, boff, words, title)
 
 
 def windows_of(units: Units, config: LanguageConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -246,6 +309,16 @@ def windows_of(units: Units, config: LanguageConfig) -> tuple[np.ndarray, np.nda
     return x, unit
 
 
+def prefer_persian(logp: np.ndarray, units: Units, unit: np.ndarray, config: LanguageConfig) -> None:
+    """Exchanges Arabic and Persian (in place) where a unit of one window that looks Arabic holds only Persian words."""
+    ara, per = LANGUAGES.index("ara"), LANGUAGES.index("per")
+    size = np.diff(units.off)[unit]
+    for q in np.flatnonzero((logp.argmax(1) == ara) & (size <= config.window)) if len(logp) else ():
+        words = units.data[units.off[unit[q]] : units.off[unit[q] + 1]].tobytes().split()
+        if not PERSIAN_WORDS.isdisjoint(words) and ARABIC_WORDS.isdisjoint(words) and not any(w.startswith(ARTICLES) for w in words):
+            logp[q, [ara, per]] = logp[q, [per, ara]]
+
+
 def decode_rows(logp: np.ndarray, row: np.ndarray, unit: np.ndarray, config: LanguageConfig) -> np.ndarray:
     """The most likely languages of the windows of each row, all rows side by side (Viterbi)."""
     out = np.zeros(len(row), np.int64)
@@ -297,8 +370,10 @@ class Segments:
 def segments_of(cp: np.ndarray, off: np.ndarray, verse: np.ndarray, network: Network, config: LanguageConfig) -> Segments:
     """Segments of one language of every row, in order; offsets count code points of the visible form."""
     units = units_of(cp, off, verse)
+    units.title &= units.words <= config.title_words
     x, unit = windows_of(units, config)
     logp = network.log_probabilities(x) if len(x) else np.zeros((0, len(LANGUAGES)), np.float32)
+    prefer_persian(logp, units, unit, config)
     row = units.row[unit]
     state = decode_rows(logp, row, unit, config)
     if not len(row):
@@ -324,6 +399,11 @@ def segments_of(cp: np.ndarray, off: np.ndarray, verse: np.ndarray, network: Net
             end[q - 1] = start[q]
     seen = np.concatenate(([0], np.cumsum(units.words)))
     words = seen[unit[last] + 1] - seen[unit[first]]
+    read = np.zeros(len(units.row), bool)
+    read[unit] = True
+    # Headings and running headers are no whole units.
+    told = np.concatenate(([0], np.cumsum(~units.title & read)))
+    whole &= told[unit[last] + 1] > told[unit[first]]
     return Segments(row[first], start, end, state[first], total / (last - first + 1), whole, words)
 
 
@@ -349,7 +429,9 @@ def training_windows(rows: list[tuple[str, str, bool]], config: LanguageConfig)
         if not mine:
             continue
         cp, off = canonical.visible_form(*at.decode(pa.array([t for t, _ in mine])))
-        x, _ = windows_of(units_of(cp, off, np.array([v for _, v in mine])), config)
+        units = units_of(cp, off, np.array([v for _, v in mine]))
+        x, unit = windows_of(units, config)
+        x = x[~(units.title & (units.words <= config.title_words))[unit]]
         x = x[rng.permutation(len(x))[: config.windows_per_language]]
         xs.append(x)
         ys.append(np.full(len(x), k))
@@ -424,7 +506,7 @@ def language_segments(
 
 def languages_present(segments: DataFrame, key: str, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """Languages of each key with a whole sentence, line or half-line: key, lang, confidence, chars, is_main."""
-    sure = (F.col("confidence") >= config.unlike_rest) & (F.col("words") >= config.unlike_words)
+    sure = F.col("confidence") >= config.unlike_rest
     per = segments.where("whole").groupBy(key, "lang").agg(
         F.max("confidence").alias("confidence"),
         F.sum(F.col("char_end") - F.col("char_start")).alias("chars"),

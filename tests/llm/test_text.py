@@ -106,6 +106,28 @@ def test_language_network_learns_and_decodes():
     assert language.fit([], config) is None
 
 
+def test_units_keep_abbreviations_and_numbers_and_mark_titles():
+    texts = ["It is. Prof. A. B. Bell bought it, cf. fol. 825 of it. Yes.", "وزن آن ۸٫۲۹۳ من و ۲۷۶.۵ درم بود. رفت.", "रंग था। डॉ. बेल ने पृ. 5 पढ़ा।", "در سال ۵ ه.ق. The end came. Well... so it is.", "Old Book\n\nIt is.\n\nOld Book | 12"]
+    cp, off = canonical.visible_form(*at.decode(pa.array(texts)))
+    u = language.units_of(cp, off, np.zeros(len(texts), bool))
+    whole = at.encode(cp, off).to_pylist()
+    got = [[whole[r][a:b].strip() for q, a, b in zip(u.row, u.start, u.end) if q == r and whole[r][a:b].strip()] for r in range(len(texts))]
+    assert got[0] == ["It is.", "Prof. A. B. Bell bought it, cf. fol. 825 of it.", "Yes."]
+    assert [len(x) for x in got[1:3]] == [2, 2]
+    assert got[3] == ["در سال ۵ ه.ق.", "The end came.", "Well... so it is."]
+    assert [t for t, a in zip(u.title[u.row == 4], u.words[u.row == 4]) if a] == [True, False, True]
+    assert {*language.windows_of(u, language.LanguageConfig())[1]} == {k for k in range(len(u.row)) if u.words[k]}
+
+
+def test_short_persian_units_that_look_arabic():
+    cp, off = canonical.visible_form(*at.decode(pa.array(["باغ و ساحل به بلبل سبز رفت", "باغ الملك به"])))
+    u = language.units_of(cp, off, np.zeros(2, bool))
+    logp = np.full((2, len(language.LANGUAGES)), -9.0)
+    logp[:, language.LANGUAGES.index("ara")] = -0.1
+    language.prefer_persian(logp, u, np.arange(2), language.LanguageConfig())
+    assert [language.LANGUAGES[k] for k in logp.argmax(1)] == ["per", "ara"]
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([("fa-IR",), ("PER",), ("per, ENG",), ("tur+zho",), ("und",), ("xxx",), ("",), (None,), ("deu",)], "lang string")
     got = [sorted(r.x) for r in rows.select(language.label_languages(F.col("lang")).alias("x")).collect()]
