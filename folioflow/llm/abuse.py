@@ -100,7 +100,7 @@ class AbuseConfig:
     threshold: float = 2.5
     window: int = 12  # words within which evidence adds up
     reach: int = 6  # words around it in which context may deny it
-    hopeful: float = 1.0  # a text whose words as they stand reach less in no category isn't read again for spelled-out words
+    hopeful: float = 1.0  # a text whose words reach less in every category isn't read clause by clause
     fuzzy_from: int = 6  # letters from which a term may be misspelled by one edit
     cache: int = 400_000  # words a worker remembers
 
@@ -225,6 +225,7 @@ class Scorer:
 
     def document(self, text: str) -> dict[int, float]:
         """Best score of each category over the clauses of a text in consistent form and lower case."""
+        text = SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
         met = {t for ts in filter(None, map(self.memory.__getitem__, TOKEN.findall(text))) for t in ts}
         hope = [0.0] * len(CATEGORIES)
         for t in met:
@@ -233,7 +234,6 @@ class Scorer:
         if max(hope) < self.config.hopeful:
             return {}
         best: dict[int, float] = {}
-        text = SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
         for clause in CLAUSE.split(text):
             for k, score in self.clause(TOKEN.findall(clause)).items():
                 if score > best.get(k, 0):

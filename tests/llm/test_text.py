@@ -228,6 +228,12 @@ def test_term_automaton_against_edit_distance():
     assert auto.match("i******e") == ["imbecile"]
 
 
+def test_a_term_spelled_out_alone_is_read():
+    scorer = abuse.Scorer()
+    assert scorer.document("f u c k") == {2: 2.5}
+    assert scorer.document("you b.a.s.t.a.r.d, s.c.u.m.b.a.g") == {0: 3.5}
+
+
 def test_abuse(spark):
     rows = [
         (1, "You are a worthless id1ot!", " Forum "), (2, "The glossary explains the old insult ‘scumbag’ and its origin.", "forum"), (3, "I will break your bones you i m b e c i l e.", None),
