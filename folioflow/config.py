@@ -28,6 +28,9 @@ class LexicalConfig:
     b: float = 0.75
     least_idf: float = 1e-6
     limit: int = 100
+    shard_tokens: int = 2_000_000  # tokens of the documents that a task indexes at once
+    query_block: int = 50_000  # queries evaluated in one pass over the documents ...
+    token_block: int = 1_000_000  # ... and their tokens
     #: Fixed value: words that an any-term query ignores.
     stopwords: tuple[str, ...] = tuple("از است این آن او با بر برای به بود تا تو خود در را شد شود که ما من می و یا یک".split())
 

@@ -413,17 +413,17 @@ def term_stats(spark: SparkSession, at: str) -> DataFrame:
 
 @query(f"WITH {sql.INDEX}, {sql.MODES} {sql.ranked('s_any', 10)}")
 def bm25_any(spark: SparkSession, at: str) -> DataFrame:
-    return lexical.ranked(lexical.search_any(_index(spark, at), _asked(spark, at)), 10)
+    return lexical.ranked(lexical.search_any(_index(spark, at), _asked(spark, at), 10), 10)
 
 
 @query(f"WITH {sql.INDEX}, {sql.MODES} {sql.ranked('s_all', 10)}")
 def bm25_all(spark: SparkSession, at: str) -> DataFrame:
-    return lexical.ranked(lexical.search_all(_index(spark, at), _asked(spark, at)), 10)
+    return lexical.ranked(lexical.search_all(_index(spark, at), _asked(spark, at), 10), 10)
 
 
 @query(f"WITH {sql.INDEX}, {sql.MODES} {sql.ranked('s_phrase', 10)}")
 def bm25_phrase(spark: SparkSession, at: str) -> DataFrame:
-    return lexical.ranked(lexical.search_phrase(_index(spark, at), _asked(spark, at)), 10)
+    return lexical.ranked(lexical.search_phrase(_index(spark, at), _asked(spark, at), 10), 10)
 
 
 AUTO = """modes AS (SELECT query_id, doc_id, score, 1 AS p, 'phrase' AS mode FROM s_phrase JOIN q USING (query_id) WHERE len(q_terms) > 1 UNION ALL SELECT query_id, doc_id, score, 2, 'all_terms' FROM s_all
@@ -432,17 +432,23 @@ AUTO = """modes AS (SELECT query_id, doc_id, score, 1 AS p, 'phrase' AS mode FRO
 
 @query(f"WITH {sql.INDEX}, {sql.MODES}, {AUTO} {sql.ranked('s_auto', 10, 'mode')}")
 def bm25_auto(spark: SparkSession, at: str) -> DataFrame:
-    return lexical.ranked(lexical.search_auto(_index(spark, at), _asked(spark, at)), 10, "mode")
+    return lexical.ranked(lexical.search_auto(_index(spark, at), _asked(spark, at), 10), 10, "mode")
 
 
-@query()
+@query(
+    f"""WITH {sql.INDEX}, {sql.MODES}, {AUTO}, best AS ({sql.ranked('s_auto', 1, 'mode')}),
+    w AS (SELECT query_id, doc_id, mode, tokens, q_terms, list_min(list_filter(list_transform(q_terms, lambda t: list_position(tokens, t)), lambda p: p > 0)) AS hit FROM best JOIN docs USING (doc_id) JOIN q USING (query_id)),
+    c AS (SELECT *, greatest(coalesce(hit, 1) - 6, 1) AS s FROM w)
+    SELECT query_id, doc_id, mode, CASE WHEN s > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(tokens[s:s + 23], lambda x: CASE WHEN list_contains(q_terms, x) THEN '[' || x || ']' ELSE x END), ' ')
+      || CASE WHEN s + 23 < len(tokens) THEN ' …' ELSE '' END AS excerpt FROM c"""
+)
 def search_excerpts(spark: SparkSession, at: str) -> DataFrame:
     """The best hit of every query with an excerpt in which its terms are marked."""
     asked = _asked(spark, at)
-    best = lexical.ranked(lexical.search_auto(_index(spark, at), asked), 1, "mode")
-    texts = table(spark, at, "passages").select(F.col("passage_id").alias("doc_id"), "search_alias_text")
-    rows = best.join(texts, "doc_id").join(asked.select("query_id", "q_terms"), "query_id")
-    return rows.select("query_id", "doc_id", "mode", lexical.excerpt(F.col("search_alias_text"), F.col("q_terms")).alias("excerpt"))
+    index = lexical.written(_index(spark, at))
+    best = lexical.ranked(lexical.search_auto(index, asked, 1), 1, "mode")
+    rows = best.join(index.docs.select("doc_id", "tokens"), "doc_id").join(asked.select("query_id", "q_terms"), "query_id")
+    return rows.select("query_id", "doc_id", "mode", lexical.excerpt(F.col("tokens"), F.col("q_terms")).alias("excerpt"))
 
 
 # Dense retrieval
