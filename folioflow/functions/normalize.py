@@ -1,16 +1,20 @@
 """Text views as column expressions: display, retrieval, search alias and scope.
 
-Only Unicode normalization itself (NFC, NFKC) needs Python: one Arrow UDF that leaves ASCII batches alone. All
-other steps stay in the JVM, so the views of one column share a single Python pass.
+Each view is one Arrow UDF over whole batches (see ``views``), since composition needs Python anyhow and a nest of
+regular expressions costs more than a few table look-ups. The single steps, which the changes are counted by, are
+column expressions.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioflow.functions import views
+
 # The characters that each step of the views treats.
 CONTROLS = "[\\u0000-\\u0008\\u000B-\\u000C\\u000E-\\u001F\\u007F-\\u009F]"
 FORMATS = "[\\u00AD\\u061C\\u200B\\u200E\\u200F\\u202A-\\u202E\\u2060\\u2066-\\u2069\\uFEFF]"
@@ -72,9 +76,26 @@ def squeeze(c: Column | str) -> Column:
     return strip(F.regexp_replace(_col(c), f"{WHITE}+", " "))
 
 
+def _view(*steps):
+    @F.arrow_udf(StringType())
+    def seen(texts: pa.Array) -> pa.Array:
+        return views.over(texts, *steps)
+
+    return seen
+
+
+def _fold_madda(cp, off):
+    return views.alias(cp, off, True)
+
+
+_display, _retrieval, _alias = _view(views.display), _view(views.display, views.retrieval), _view(views.display, views.retrieval, views.alias)
+_from_display, _from_retrieval = _view(views.retrieval), _view(views.alias)
+_alias_madda, _from_retrieval_madda = _view(views.display, views.retrieval, _fold_madda), _view(_fold_madda)
+
+
 def normalize_display(c: Column | str) -> Column:
     """The conservative view for readers: composition, line ends, spaces, invisible characters; null stays null."""
-    return display_steps(c)["trim_outer_whitespace"]
+    return _display(_col(c))
 
 
 def retrieval_steps(display: Column | str) -> dict[str, Column]:
@@ -92,24 +113,21 @@ def retrieval_steps(display: Column | str) -> dict[str, Column]:
 
 
 def retrieval_from_display(display: Column | str) -> Column:
-    return retrieval_steps(display)["collapse_whitespace"]
+    return _from_display(_col(display))
 
 
 def normalize_retrieval(c: Column | str) -> Column:
     """The view that is searched and embedded."""
-    return retrieval_from_display(normalize_display(c))
+    return _retrieval(_col(c))
 
 
 def alias_from_retrieval(retrieval: Column | str, fold_alef_madda: bool = False) -> Column:
-    folded = F.replace(F.translate(_col(retrieval), *ALIAS), F.lit(HEH_HAMZA), F.lit(HEH))
-    if fold_alef_madda:
-        folded = F.translate(folded, "آ", "ا")
-    return squeeze(folded)
+    return (_from_retrieval_madda if fold_alef_madda else _from_retrieval)(_col(retrieval))
 
 
 def normalize_search_alias(c: Column | str, fold_alef_madda: bool = False) -> Column:
     """The loosest view, for lexical search."""
-    return alias_from_retrieval(normalize_retrieval(c), fold_alef_madda)
+    return (_alias_madda if fold_alef_madda else _alias)(_col(c))
 
 
 def search_alias_view(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -117,7 +135,7 @@ def search_alias_view(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def normalize_views(df: DataFrame, text: str) -> DataFrame:
-    """Adds display_view, retrieval_view and alias_view of ``text`` from one Python pass."""
+    """Adds display_view, retrieval_view and alias_view of ``text``."""
     shown = df.withColumn("display_view", normalize_display(text))
     shown = shown.withColumn("retrieval_view", retrieval_from_display("display_view"))
     return shown.withColumn("alias_view", alias_from_retrieval("retrieval_view"))
