@@ -1,16 +1,16 @@
 """Mixing sources to target weights.
 
 Method: min-cost flow. Texts that occur in several sources can fill the quota of any of them, so texts are grouped by
-their membership pattern (which sources hold the text, and how many copies each). Token capacity flows from the
-patterns to the sources' quotas; the k-th use of a pattern's texts costs more than the one before, so repetition is
-spread as thin as the quotas allow. The network has one node per pattern and source, whatever the number of texts.
-Texts are then chosen by a seeded order: each route gets a stretch of its pattern's line of uses.
+their membership pattern (which sources hold the text); further copies within a source are a pattern of that source.
+Token capacity flows from the patterns to the sources' quotas; using a pattern's texts again costs more than the time
+before, so repetition is spread as thin as the quotas allow. The network has one node per pattern and source, whatever
+the number of texts, copies and repeats. Texts are then chosen by a seeded order: each route gets a stretch of its
+pattern's line of uses.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +27,7 @@ from folioflow.functions.lineage import settle
 
 @dataclass(frozen=True)
 class MixConfig:
-    tokenizer: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # a public vocabulary as ranks
+    tokenizer: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # a public vocabulary as ranks; see ``encoder``
     seed: int = 17
     rows_per_block: int = 50_000  # texts whose running sums one task takes
     max_patterns: int = 100_000  # membership patterns that the driver routes; more are refused
@@ -38,13 +38,18 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """Tokens of a text under the vocabulary at ``path``: a function that counts, remembering words."""
+    """The tokenizer of the vocabulary at ``path`` and its pattern of words.
+
+    The file is read where it lies on the worker, or, where it isn't there, among the files shipped with
+    SparkContext.addFile. The pattern is that of the package public_tokenizers, which workers must be able to import.
+    """
     if path not in _encoders:
         import public_tokenizers
         import regex
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         _encoders[path] = (encoding, regex.compile(public_tokenizers.PATTERN))
@@ -82,82 +87,108 @@ def token_counts(df: DataFrame, keep: list[str], text: str, config: MixConfig) -
 
 
 class Flow:
-    """Min-cost max-flow by successive shortest paths with potentials; capacities and flows are real numbers."""
+    """Maximum flow by blocking flows (whole numbers)."""
 
     def __init__(self, nodes: int) -> None:
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
-        self.left: list[float] = []
-        self.cost: list[float] = []
+        self.left: list[int] = []
 
-    def arc(self, a: int, b: int, capacity: float, cost: float = 0.0) -> int:
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0.0, -cost)):
+    def arc(self, a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
             self.out[x].append(len(self.to))
             self.to.append(y)
             self.left.append(c)
-            self.cost.append(w)
         return len(self.to) - 2
 
-    def solve(self, s: int, t: int, tiny: float = 1e-6) -> float:
-        n = len(self.out)
-        potential = [0.0] * n
-        total = 0.0
-        while True:
-            dist, via = [float("inf")] * n, [-1] * n
-            dist[s] = 0.0
-            heap = [(0.0, s)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > dist[x]:
-                    continue
+    def _levels(self, s: int, t: int) -> list[int] | None:
+        level = [-1] * len(self.out)
+        level[s] = 0
+        ring = [s]
+        while ring and level[t] < 0:
+            following = []
+            for x in ring:
                 for e in self.out[x]:
-                    if self.left[e] > tiny:
-                        y = self.to[e]
-                        v = d + self.cost[e] + potential[x] - potential[y]
-                        if v < dist[y] - 1e-12:
-                            dist[y], via[y] = v, e
-                            heapq.heappush(heap, (v, y))
-            if via[t] < 0:
-                return total
-            far = max(d for d in dist if d < float("inf"))
-            potential = [p + (d if d < float("inf") else far) for p, d in zip(potential, dist)]
-            amount, x = float("inf"), t
-            while x != s:
-                amount = min(amount, self.left[via[x]])
-                x = self.to[via[x] ^ 1]
-            x = t
-            while x != s:
-                self.left[via[x]] -= amount
-                self.left[via[x] ^ 1] += amount
-                x = self.to[via[x] ^ 1]
-            total += amount
-
-
-def route(
-    patterns: list[tuple[tuple[tuple[str, int], ...], float]], quotas: dict[str, float], repeats: dict[str, int]
-) -> dict[tuple[int, str], float]:
-    """Tokens that flow from each pattern to each source.
-
-    patterns: ((source, copies), ...) and the tokens of one use of all its texts. A source may use each of its copies
-    ``repeats`` times; the k-th use of a pattern, over all sources, costs (k - 1) squared a token.
+                    y = self.to[e]
+                    if self.left[e] > 0 and level[y] < 0:
+                        level[y] = level[x] + 1
+                        following.append(y)
+            ring = following
+        return level if level[t] >= 0 else None
+
+    def augment(self, s: int, t: int) -> int:
+        """Raises the flow as far as the capacities of now allow."""
+        total = 0
+        while level := self._levels(s, t):
+            pointer = [0] * len(self.out)
+            path: list[int] = []
+            x = s
+            while True:
+                if x == t:
+                    amount = min(self.left[e] for e in path)
+                    total += amount
+                    for e in path:
+                        self.left[e] -= amount
+                        self.left[e ^ 1] += amount
+                    cut = next(k for k, e in enumerate(path) if not self.left[e])
+                    x = self.to[path[cut] ^ 1]
+                    del path[cut:]
+                    continue
+                arcs = self.out[x]
+                while pointer[x] < len(arcs):
+                    e = arcs[pointer[x]]
+                    if self.left[e] > 0 and level[self.to[e]] == level[x] + 1:
+                        break
+                    pointer[x] += 1
+                else:
+                    if not path:
+                        break
+                    x = self.to[path.pop() ^ 1]
+                    pointer[x] += 1
+                    continue
+                path.append(e)
+                x = self.to[e]
+        return total
+
+
+def turn_levels(turns: int) -> list[int]:
+    """How many turns have the same cost: the first, the second, the third and fourth, the next four, and so on."""
+    out, size = [], 1
+    while turns > 0:
+        out.append(min(size, turns))
+        turns -= out[-1]
+        size = sum(out)
+    return out
+
+
+def route(patterns: list[tuple[tuple[str, ...], int, int]], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[int, str], int]:
+    """Tokens that flow from each pattern to each source, at the least cost of repetition.
+
+    patterns: sources, the tokens of one use of all its units, and the cost class of their first use. Each source may
+    use a unit ``repeats`` times. Turn after turn costs more (classes of ``turn_levels``, so arcs grow with the
+    logarithm of the turns). Costs stand at the arcs that leave the origin alone, so opening the classes one after
+    another and raising the flow each time is the cheapest greatest flow.
     """
     sources = sorted(quotas)
     first = {s: 1 + len(patterns) + k for k, s in enumerate(sources)}
     end = 1 + len(patterns) + len(sources)
     flow = Flow(end + 1)
-    arcs = {}
-    for p, (members, tokens) in enumerate(patterns):
-        uses = {s: c * repeats[s] for s, c in members if s in quotas}
+    arcs, costs = {}, {}
+    for p, (members, tokens, base) in enumerate(patterns):
+        uses = {s: repeats[s] for s in members if s in quotas and repeats[s] > 0}
         if tokens <= 0 or not uses:
             continue
-        for k in range(sum(uses.values())):
-            flow.arc(0, 1 + p, tokens, float(k * k))
+        for k, turns in enumerate(turn_levels(sum(uses.values()))):
+            costs.setdefault(base + k, []).append((p, tokens * turns))
         for s, n in uses.items():
             arcs[p, s] = (flow.arc(1 + p, first[s], n * tokens), n * tokens)
     for s in sources:
         flow.arc(first[s], end, quotas[s])
-    flow.solve(0, end)
-    return {key: cap - flow.left[e] for key, (e, cap) in arcs.items() if cap - flow.left[e] > 1e-6}
+    for cost in sorted(costs):
+        for p, capacity in costs[cost]:
+            flow.arc(0, 1 + p, capacity)
+        flow.augment(0, end)
+    return {key: cap - flow.left[e] for key, (e, cap) in arcs.items() if cap > flow.left[e]}
 
 
 def normal_source(source: Column) -> Column:
@@ -179,8 +210,9 @@ def mix(
 
     targets: source, target_share, max_repeats; a source named twice counts once, with its greatest share. No
     document is used more than max_repeats times. A source that cannot reach its share, with no or too few documents,
-    gets what it has; shares reached are in the report. Documents of null, blank or other sources, and null or empty
-    texts, count in the total and are never chosen. Source names are compared trimmed and in lower case.
+    gets what it has; shares reached are in the report. Documents of null, blank or other sources, without a key, and
+    null or empty texts, count in the total and are never chosen. Source names are compared trimmed and in lower case.
+    More than ``max_patterns`` target sources or membership patterns are refused.
     """
     named = documents.select(
         key, F.col(text).alias("__t"), F.coalesce(normal_source(F.col(source)), F.lit("")).alias("source"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_id")
@@ -188,54 +220,51 @@ def mix(
     counted = settle(token_counts(named, [key, "source", "text_id"], "__t", config).distinct())
     total = counted.agg(F.sum("n_tokens")).collect()[0][0] or 0
     rows = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").groupBy("source")
-    wanted = {r.source: r for r in rows.agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(config.max_patterns).collect()}
-    quotas = {s: max(0.0, float(r.target_share or 0)) * total for s, r in wanted.items()}
+    listed = rows.agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(config.max_patterns + 1).collect()
+    if len(listed) > config.max_patterns:
+        raise ValueError(f"more than {config.max_patterns} target sources")
+    wanted = {r.source: r for r in listed}
+    quotas = {s: int(max(0.0, float(r.target_share or 0)) * total) for s, r in wanted.items()}
     repeats = {s: max(0, int(r.max_repeats or 0)) for s, r in wanted.items()}
-    usable = counted.where(F.col("source").isin(*wanted) & (F.col("n_tokens") > 0)) if wanted else counted.limit(0)
-    # Membership pattern of each text: sources with the number of its copies there. Copies of one text are counted
-    # per source first, so a text that a third of all documents repeat is a few rows here.
-    copies = usable.groupBy("text_id", "source").agg(F.count("*").alias("copies"), F.first("n_tokens").alias("n_tokens"))
-    texts = copies.groupBy("text_id").agg(
-        F.array_join(F.sort_array(F.collect_list(F.concat("source", F.lit("\x1f"), F.col("copies").cast("string")))), "\x1e").alias("pattern"),
-        F.first("n_tokens").alias("n_tokens"),
-    )
-    texts = settle(texts)
-    found = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(config.max_patterns + 1).collect()
+    spark = documents.sparkSession
+    aims = F.broadcast(spark.createDataFrame([(s,) for s in wanted], "source string"))
+    usable = counted.join(aims, "source").where((F.col("n_tokens") > 0) & F.col(key).isNotNull())
+    # A unit is a text with one copy in each source that holds it; every further copy is a unit of its source alone,
+    # whose use counts as repetition. Copies are told apart by their keys, so a text that a third of all documents
+    # repeat gathers nowhere.
+    firsts = settle(usable.groupBy("text_id", "source").agg(F.min(key).alias(key), F.first("n_tokens").alias("n_tokens")))
+    shared = firsts.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("source", F.col(key).alias("key")))).alias("held"), F.first("n_tokens").alias("n_tokens"))
+    shared = shared.select(F.col("text_id").alias("unit"), F.array_join(F.transform("held", lambda h: h["source"]), "\x1e").alias("pattern"), "held", "n_tokens")
+    further = usable.join(firsts.select(key, "text_id", "source"), [key, "text_id", "source"], "left_anti")
+    alone = F.array(F.struct("source", F.col(key).alias("key")))
+    further = further.select(F.concat("text_id", F.lit(" "), F.col(key).cast("string")).alias("unit"), F.concat(F.lit("\x1d"), "source").alias("pattern"), alone.alias("held"), "n_tokens")
+    units = settle(shared.unionByName(further))
+    found = units.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(config.max_patterns + 1).collect()
     if len(found) > config.max_patterns:
         raise ValueError(f"more than {config.max_patterns} membership patterns")
     found.sort(key=lambda r: r.pattern)
-    members = [tuple((s, int(c)) for s, c in (x.split("\x1f") for x in r.pattern.split("\x1e"))) for r in found]
-    flows = route([(m, float(r.tokens)) for m, r in zip(members, found)], quotas, repeats)
-    spark = documents.sparkSession
-    # The line of uses of a pattern: its texts one after another, once per use. Each source gets a stretch of it.
+    patterns = [(tuple(r.pattern.lstrip("\x1d").split("\x1e")), int(r.tokens), int(r.pattern[:1] == "\x1d")) for r in found]
+    flows = route(patterns, quotas, repeats)
+    # The line of uses of a pattern: its units one after another, once per turn. Each source gets a stretch of it.
     stretches = []
     for p, r in enumerate(found):
-        at_ = 0.0
-        for s, c in members[p]:
+        at_ = 0
+        for s in patterns[p][0]:
             if (p, s) in flows:
-                stretches.append((r.pattern, s, at_, at_ + flows[p, s], float(r.tokens), c))
+                stretches.append((r.pattern, s, at_, at_ + flows[p, s], int(r.tokens)))
                 at_ += flows[p, s]
-    schema = "pattern string, source string, low double, high double, line double, copies int"
-    routes = spark.createDataFrame(stretches, schema)
-    placed = _running(texts, max(1, max((r.n for r in found), default=1)), config)
+    routes = spark.createDataFrame(stretches, "pattern string, source string, low long, high long, line long")
+    placed = _running(units, max(1, max((r.n for r in found), default=1)), config)
     use = placed.join(F.broadcast(routes), "pattern")
-    # Uses of a text by a source: turns k of the line at which its place lies within the source's stretch.
-    turns = F.ceil((F.col("high") - F.col("place")) / F.col("line")) - F.ceil((F.col("low") - F.col("place")) / F.col("line"))
-    use = use.withColumn("uses", turns.cast("int")).where("uses > 0").select("text_id", F.col("source").alias("s"), "uses", "copies")
-    order = Window.partitionBy("text_id", "source").orderBy(key)
-    docs = usable.join(use, (usable["text_id"] == use["text_id"]) & (usable["source"] == use["s"])).select(
-        usable[key], usable["source"], usable["text_id"], usable["n_tokens"], "uses", "copies"
-    )
-    single = docs.where("copies = 1").select(key, "source", "uses", "n_tokens")
-    shared = docs.where("copies > 1").withColumn("at", F.row_number().over(order) - 1)
-    spread = F.expr("uses DIV copies + IF(at < uses % copies, 1, 0)").cast("int")
-    shared = shared.select(key, "source", spread.alias("uses"), "n_tokens").where("uses > 0")
-    selection = settle(single.unionByName(shared))
+    # Uses of a unit by a source: turns k of the line at which its place lies within the source's stretch.
+    turns = F.expr("(high - place + line - 1) DIV line - (low - place + line - 1) DIV line").cast("int")
+    own = F.element_at(F.filter("held", lambda h: h["source"] == F.col("source")), 1)["key"]
+    selection = settle(use.select(own.alias(key), "source", turns.alias("uses"), "n_tokens").where("uses > 0"))
     got = selection.groupBy("source").agg(
         F.sum(F.col("uses") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("n_tokens").alias("distinct_tokens"), F.count("*").alias("n_documents"), F.max("uses").alias("most_uses")
     )
     quota = spark.createDataFrame(
-        [(s, float(wanted[s].target_share or 0), repeats[s], quotas[s]) for s in sorted(wanted)], "source string, target_share double, max_repeats int, quota_tokens double"
+        [(s, float(wanted[s].target_share or 0), repeats[s], quotas[s]) for s in sorted(wanted)], "source string, target_share double, max_repeats int, quota_tokens long"
     )
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("mixed_tokens", "distinct_tokens", "n_documents", "most_uses")}
     report = quota.join(F.broadcast(got), "source", "left").withColumns(zero)
@@ -245,15 +274,15 @@ def mix(
     return Mix(selection, report)
 
 
-def _running(texts: DataFrame, largest: int, config: MixConfig) -> DataFrame:
-    """texts with ``place``: tokens of the texts of its pattern before it in seeded order. Sums run within blocks of
+def _running(units: DataFrame, largest: int, config: MixConfig) -> DataFrame:
+    """units with ``place``: tokens of the units of its pattern before it in seeded order. Sums run within blocks of
     the order, then over the blocks, so no pattern is a single task."""
     blocks = max(1, -(-largest // config.rows_per_block))
-    seeded = texts.withColumn("h", F.xxhash64(F.lit(config.seed), "text_id"))
+    seeded = units.withColumn("h", F.xxhash64(F.lit(config.seed), "unit"))
     seeded = seeded.withColumn("block", F.floor((F.shiftrightunsigned("h", 33)) / F.lit((1 << 31) / blocks)).cast("int"))
     sums = seeded.groupBy("pattern", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     earlier = Window.partitionBy("pattern").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("pattern", "block", F.coalesce(F.sum("block_tokens").over(earlier), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("pattern", "block").orderBy("h", "text_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("pattern", "block").orderBy("h", "unit").rowsBetween(Window.unboundedPreceding, -1)
     seeded = seeded.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    return seeded.join(sums, ["pattern", "block"]).select("text_id", "pattern", "n_tokens", (F.col("ahead") + F.col("inner")).alias("place"))
+    return seeded.join(sums, ["pattern", "block"]).select("pattern", "held", "n_tokens", (F.col("ahead") + F.col("inner")).alias("place"))
