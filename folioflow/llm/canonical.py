@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions import arrowtext as at
+from folioflow.functions.lineage import settle
 
 SPACE, NEWLINE = 0x20, 0x0A
 #: Code points from here on are only looked at for the invisible tags and variation selectors of plane 14.
@@ -425,18 +426,36 @@ def look_classes(df: DataFrame, key: str, shown: str, fields: list[str]) -> Data
     )
 
 
+def form_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (look_id, form_a, form_b) of different forms of a look, of the rows of ``look_classes``."""
+    forms = rows.select("look_id", "form_id").distinct()
+    several = forms.groupBy("look_id").agg(F.count("*").alias("n")).where("n > 1").select("look_id")
+    forms = forms.join(several, "look_id", "left_semi")
+    a = forms.select("look_id", F.col("form_id").alias("form_a"))
+    b = forms.select("look_id", F.col("form_id").alias("form_b"))
+    return a.join(b, "look_id").where("form_a < form_b")
+
+
 def look_alike_pairs(df: DataFrame, key: str, shown: str, fields: list[str]) -> DataFrame:
     """Pairs (``key_a`` < ``key_b``) of rows whose ``shown`` looks the same while ``fields`` differ in code points.
 
-    Rows are first grouped into forms; only looks that have several forms go on, and forms, not rows, are
-    compared, so a form that a third of all rows share meets no copy of itself. Null texts make no pair, null
-    fields differ from every text; a key paired with itself and repeated rows are dropped.
+    Forms are paired first, one row for all rows that agree in every field; their members are attached to the pairs
+    afterwards, so copies of a form never meet each other. Null texts make no pair, null fields differ from every
+    text; a key paired with itself and repeated rows are dropped.
     """
-    rows = look_classes(df, key, shown, fields)
-    forms = rows.select("look_id", "form_id").distinct()
-    several = forms.groupBy("look_id").agg(F.count("*").alias("n")).where("n > 1").select("look_id")
-    members = rows.join(several, "look_id", "left_semi").distinct()
-    a = members.select("look_id", F.col("form_id").alias("form_a"), F.col(key).alias("x"))
-    b = members.select("look_id", F.col("form_id").alias("form_b"), F.col(key).alias("y"))
-    joined = a.join(b, "look_id").where("form_a < form_b AND x <> y")
+    rows = settle(look_classes(df, key, shown, fields))
+    pairs = form_pairs(rows)
+    a = rows.select("look_id", F.col("form_id").alias("form_a"), F.col(key).alias("x"))
+    b = rows.select("look_id", F.col("form_id").alias("form_b"), F.col(key).alias("y"))
+    joined = pairs.join(a, ["look_id", "form_a"]).join(b, ["look_id", "form_b"]).where("x <> y")
     return joined.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
+
+
+def look_links(df: DataFrame, key: str, shown: str, fields: list[str]) -> DataFrame:
+    """One row per row with a text: key, look_id, form_id, n_forms (of its look), n_links (rows of other forms of its
+    look). Nothing is paired, so copies cost nothing."""
+    rows = look_classes(df, key, shown, fields)
+    forms = rows.groupBy("look_id", "form_id").agg(F.count("*").alias("same"))
+    looks = forms.groupBy("look_id").agg(F.count("*").alias("n_forms"), F.sum("same").alias("all_rows"))
+    sized = forms.join(looks, "look_id").select("look_id", "form_id", "n_forms", (F.col("all_rows") - F.col("same")).alias("n_links"))
+    return rows.join(sized, ["look_id", "form_id"]).select(key, "look_id", "form_id", "n_forms", "n_links")
