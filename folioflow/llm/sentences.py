@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions import arrowtext as at
+from folioflow.functions.lineage import settle
 from folioflow.llm import canonical
 
 #: End marks, of which the full stop is ambiguous, and quotation marks with those that may close them.
@@ -46,7 +47,7 @@ class SentenceConfig:
     texts: int = 2000  # bound of the training sample
     chars_per_text: int = 6000
     least_count: int = 3  # corpus statistics of a token are used from so many occurrences before or after a stop ...
-    least_share: float = 1e-6  # ... and this share of all stops, so at most 1 / least_share tokens are kept
+    least_share: float = 4e-6  # ... and this share of all stops, so at most 2 / least_share tokens are kept
     never_rate: float = 0.002  # how often a token that can't end (begin) a sentence is seen to do so
     size: int = 4096  # hashed features
     epochs: int = 12
@@ -334,15 +335,14 @@ def fit(statistics: list[tuple], texts: list[str], config: SentenceConfig) -> Bo
 def boundary_model(df: DataFrame, key: str, text: str, prose: Column, config: SentenceConfig = SentenceConfig()) -> Boundaries:
     """Statistics over all prose rows, weights from a bounded sample of them drawn by hash of the key.
 
-    Collected are at most ``1 / least_share`` token counts and ``texts`` texts.
+    Collected are at most ``2 / least_share`` token counts and ``texts`` texts.
     """
     rows = df.where(prose & F.col(text).isNotNull())
     counted = token_statistics(rows, text)
-    n_stops = F.sum("n_stop").over(_all())
-    kept = counted.withColumn("stops", n_stops).where(
-        ((F.col("n_stop") >= config.least_count) & (F.col("n_stop") >= F.col("stops") * config.least_share))
-        | ((F.col("n_after") >= config.least_count) & (F.col("n_after") >= F.col("stops") * config.least_share))
-    )
+    counted = settle(counted)
+    stops = counted.agg(F.sum("n_stop")).collect()[0][0] or 0
+    least = max(config.least_count, math.ceil(stops * config.least_share))
+    kept = counted.where((F.col("n_stop") >= least) | (F.col("n_after") >= least))
     statistics = [tuple(r) for r in kept.select("token", *COUNTS).collect()]
     n = rows.count()
     share = min(1.0, 3.0 * config.texts / max(1, n))
@@ -384,8 +384,3 @@ def sentences(df: DataFrame, key: str, text: str, verse: Column, model: Boundari
 
     return df.select(key, text, verse.alias("__verse")).mapInArrow(run, schema)
 
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
