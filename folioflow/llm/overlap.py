@@ -1,13 +1,16 @@
 """Same or near-same records across splits.
 
-Method: weighted cosine join. Every text is a vector of term weights (a repeated word counts by its occurrences),
-terms in one global order from the heaviest (rarest) on. For a text x let T(x) be its squared norm less its m
-largest squared weights, where m is the number of words it may lack: no partner that shares the asked part of its
-words has a smaller dot product with it. A term goes into the inverted lists only while the residual norm from it
-on, which bounds every dot product with vectors that lack the terms before it, still reaches T(x); the weights are
-the same on both sides, so the maximum weight of a list is the weight of its term. Texts of which at least two words
-must agree are listed under pairs of terms, which no frequent word makes long. Lists of the two splits are
-joined, dot products are computed exactly, and the order of the common words is checked last. No link is lost.
+Method: weighted cosine join. Every text is a vector of term weights: a term is a word and the number of its occurrence,
+its weight w its rarity among the texts. Terms stand in one global order from the heaviest on. A partner that shares
+the asked part of the words of x has a dot product of at least T(x), the squared norm of x less its heaviest terms that
+may be lacking, so the cosine of two such texts is at least ``t``, the least T(x) / |x|^2 of any text.
+
+Inverted lists hold a term of x only while what is left from it on may still reach T(x). Two bounds say what is left:
+the residual norm, and the sum of the weights times the maximum weight of each list on the other side (a term that
+the other side lacks adds nothing and has no list). Texts of few words are listed under pairs of such terms, which no
+frequent word makes long; longer ones under single terms. Within a list, a pair goes on only if its lengths fit and
+the weight of the term and of the rest of both vectors reaches the greater T. Exact dot products and the cosine follow,
+and the order of the common words is checked last. No link is lost.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.lineage import settle
+from folioflow.functions.lineage import settle, spread
 from folioflow.functions.normalize import search_alias_view
 
 
 @dataclass(frozen=True)
 class OverlapConfig:
     share: float = 0.85  # of the words of the longer text, in the same order
+    paired_words: int = 40  # texts of so many words are listed under pairs of terms
 
 
 def words(text: Column) -> Column:
@@ -42,29 +46,48 @@ def text_classes(queries: DataFrame, key: str, text: str) -> DataFrame:
     return listed.distinct().withColumn("class_id", F.md5(F.array_join("words", " ")))
 
 
-def weighted_terms(classes: DataFrame) -> DataFrame:
-    """class_id, words, n (their number) and its terms (weight squared, term) from the heaviest on. A term is a word and the number
-    of its occurrence; its squared weight is 1 + idf / max idf."""
-    terms = F.expr("transform(words, (w, i) -> concat(w, '#', size(filter(slice(words, 1, i + 1), v -> v = w))))")
-    own = classes.select("class_id", "words", F.size("words").alias("n"), F.explode(terms).alias("term"))
-    total = classes.agg(F.count("*").alias("total"))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(total)).select(
-        "term", (1 + F.log((F.col("total") + 1) / F.col("df")) / F.log(F.col("total") + 2)).alias("w2")
-    )
-    return own.join(idf, "term").groupBy("class_id", "words", "n").agg(F.sort_array(F.collect_list(F.struct("w2", "term")), False).alias("terms"))
+def may_lack(n: Column, longest: Column, config: OverlapConfig) -> Column:
+    """Words of a text of ``n`` that a partner may lack where the longer of both has ``longest``."""
+    return (n - F.ceil(F.lit(config.share) * longest - 1e-9)).cast("int")
 
 
-def list_keys(vectors: DataFrame, config: OverlapConfig) -> DataFrame:
-    """class_id and key of every inverted list a vector is in: pairs of terms of its prefix."""
-    least = F.ceil(F.lit(config.share) * F.col("n") - 1e-9)
-    # The terms from whose residual norm on T(x) is reached are the m heaviest and one more; since two common terms
-    # are asked for, the prefix is one longer.
-    prefix = vectors.select("class_id", "terms", (F.col("n") - least + 2).cast("int").alias("k")).where("size(terms) >= 2")
-    names = F.expr("transform(slice(terms, 1, k), t -> t.term)")
-    pairs = F.expr("flatten(transform(names, (a, i) -> transform(slice(names, i + 2, size(names)), b -> struct(a, b))))")
-    listed = prefix.select("class_id", names.alias("names")).select("class_id", F.explode(pairs).alias("p"))
-    return listed.select("class_id", F.xxhash64("p.a", "p.b").alias("key"))
+def weighted_terms(classes: DataFrame, sides: DataFrame, config: OverlapConfig) -> DataFrame:
+    """class_id, n (words), norm (squared), least (T) and terms of each class from the heaviest on: term (hash), w2
+    (its weight squared: 1 + idf / max idf), rest (squared norm after it), met (the same, of terms that the other side
+    has)."""
+    numbered = F.expr("transform(words, (w, i) -> xxhash64(w, size(filter(slice(words, 1, i + 1), v -> v = w))))")
+    own = classes.select("class_id", F.size("words").alias("n"), F.explode(numbered).alias("term"))
+    total = classes.agg(F.count("*").alias("total"))
+    on = own.join(sides, "class_id")
+    df = on.groupBy("term").agg(F.countDistinct("class_id").alias("df"), F.max("left").alias("in_left"), F.max("right").alias("in_right"))
+    idf = df.join(F.broadcast(total)).select("term", "in_left", "in_right", (1 + F.log((F.col("total") + 1) / F.col("df")) / F.log(F.col("total") + 2)).alias("w2"))
+    # The weight of a term is the same in every text, so its maximum weight on the other side is its weight, or 0.
+    weighed = on.join(idf, "term").withColumn("other", F.when(F.col("left") & F.col("in_right") | F.col("right") & F.col("in_left"), F.col("w2")).otherwise(0.0))
+    gathered = weighed.groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("w2", "term", "other")), False).alias("terms"), F.sum("w2").alias("norm"))
+    lacking = F.aggregate(F.slice("terms", F.lit(1), may_lack(F.col("n"), F.col("n"), config)), F.lit(0.0), lambda s, t: s + t["w2"])
+    return gathered.withColumn("least", F.col("norm") - lacking)
+
+
+def listed_terms(vectors: DataFrame, config: OverlapConfig) -> DataFrame:
+    """class_id, n, least and key of every inverted list a vector is in, with ``gain``: the most that the terms of the
+    key and those after them can add to a dot product."""
+    # rest: what the terms from each on can add, by maximum weight (0 for terms that the other side lacks) and norm.
+    after = F.expr("transform(terms, (t, i) -> struct(t.term AS term, t.other AS other, aggregate(slice(terms, i + 1, size(terms)), 0D, (s, u) -> s + u.other) AS rest))")
+    rows = vectors.select("class_id", "n", "least", after.alias("terms"))
+    alive = F.filter("terms", lambda t: (t["other"] > 0) & (t["rest"] >= F.col("least") - 1e-6))
+    rows = rows.withColumn("first", alive)
+    single = rows.where(F.col("n") > config.share * config.paired_words - 1e-9).select("class_id", "n", "least", F.explode("first").alias("t"))
+    single = single.select("class_id", "n", "least", F.xxhash64(F.lit(1), "t.term").alias("key"), F.col("t.rest").alias("gain"))
+    # Both the first and the second common term of a pair of texts are among the terms whose rest, with the one before,
+    # reaches T. Two words at least must agree, so texts of a single word are their own list.
+    paired = rows.where(F.col("n") <= config.paired_words)
+    second = F.expr(
+        "flatten(transform(first, a -> transform(filter(terms, b -> b.other > 0 AND b.rest < a.rest AND a.other + b.rest >= least - 1e-6), "
+        "b -> struct(xxhash64(2, a.term, b.term) AS key, a.other + b.rest AS gain))))"
+    )
+    alone = F.transform("first", lambda a: F.struct(F.xxhash64(F.lit(1), a["term"]).alias("key"), a["rest"].alias("gain")))
+    paired = paired.select("class_id", "n", "least", F.explode(F.when(F.col("n") == 1, alone).otherwise(second)).alias("p"))
+    return single.unionByName(paired.select("class_id", "n", "least", "p.key", "p.gain"))
 
 
 def common_in_order(a: list[str], b: list[str]) -> int:
@@ -98,24 +121,30 @@ def verified(candidates: DataFrame, config: OverlapConfig) -> DataFrame:
 
 
 def class_links(left: DataFrame, right: DataFrame, classes: DataFrame, config: OverlapConfig = OverlapConfig()) -> DataFrame:
-    """Links (x, y, cosine) between different text classes of ``left`` and of ``right`` (columns class_id)."""
-    both = left.select("class_id").union(right.select("class_id")).distinct()
-    texts = classes.select("class_id", "words").dropDuplicates(["class_id"]).join(both, "class_id", "left_semi")
-    vectors = settle(weighted_terms(texts))
-    keys = list_keys(vectors, config)
-    a = keys.join(left.select("class_id").distinct(), "class_id", "left_semi").select("key", F.col("class_id").alias("x"))
-    b = keys.join(right.select("class_id").distinct(), "class_id", "left_semi").select("key", F.col("class_id").alias("y"))
-    pairs = a.join(b, "key").where("x <> y").select("x", "y").distinct()
-    vx = vectors.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("terms").alias("tx"), F.col("words").alias("words_x"))
-    vy = vectors.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("terms").alias("ty"), F.col("words").alias("words_y"))
-    joined = pairs.join(vx, "x").join(vy, "y").where(F.least("nx", "ny") >= config.share * F.greatest("nx", "ny") - 1e-9)
-    norm = lambda c: F.expr(f"aggregate({c}, 0D, (s, t) -> s + t.w2)")
+    """Links (x, y, cosine, common) between different text classes of ``left`` and of ``right`` (columns class_id)."""
+    sides = left.select("class_id", F.lit(True).alias("left"), F.lit(False).alias("right")).union(right.select("class_id", F.lit(False), F.lit(True)))
+    sides = sides.groupBy("class_id").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    texts = classes.select("class_id", "words").dropDuplicates(["class_id"]).join(sides, "class_id", "left_semi")
+    vectors = settle(weighted_terms(texts, sides, config))
+    least = vectors.agg(F.coalesce(F.min(F.col("least") / F.col("norm")), F.lit(1.0))).collect()[0][0]  # t
+    keys = settle(listed_terms(vectors, config).join(sides, "class_id"))
+    a = keys.where("left").select("key", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("least").alias("lx"), F.col("gain").alias("gx"))
+    b = keys.where("right").select("key", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("least").alias("ly"), F.col("gain").alias("gy"))
+    fits = (F.col("x") != F.col("y")) & (F.least("nx", "ny") >= config.share * F.greatest("nx", "ny") - 1e-9) & (F.least("gx", "gy") >= F.greatest("lx", "ly") - 1e-6)
+    pairs = a.join(b, "key").where(fits).select("x", "y").distinct()
+    terms = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["w2"].alias("w2")))
+    vx = vectors.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("norm").alias("ox"), terms.alias("tx"))
+    vy = vectors.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("norm").alias("oy"), terms.alias("ty"))
     dot = F.expr("aggregate(array_intersect(tx, ty), 0D, (s, t) -> s + t.w2)")
-    # Residual bound T: the squared norm less the largest squared weights of the words that may be lacking.
-    lacking = F.expr(f"aggregate(slice(tx, 1, nx - cast(ceil({config.share} * greatest(nx, ny) - 1e-9) as int)), 0D, (s, t) -> s + t.w2)")
-    scored = joined.withColumn("dot", dot).withColumn("n2", norm("tx")).where(F.col("dot") >= F.col("n2") - lacking - 1e-6)
-    scored = scored.select("x", "y", (F.col("dot") / F.sqrt(F.col("n2") * norm("ty"))).alias("cosine"), "words_x", "words_y")
-    return verified(scored, config)
+    # T of the pair: what may be lacking depends on the longer of both.
+    lacking = lambda c, n: F.aggregate(F.slice(c, F.lit(1), may_lack(F.col(n), F.greatest("nx", "ny"), config)), F.lit(0.0), lambda s, t: s + t["w2"])
+    scored = pairs.join(vx, "x").join(vy, "y").withColumn("dot", dot)
+    scored = scored.withColumn("cosine", F.col("dot") / F.sqrt(F.col("ox") * F.col("oy"))).where(F.col("cosine") >= least - 1e-9)
+    scored = scored.where((F.col("dot") >= F.col("ox") - lacking("tx", "nx") - 1e-6) & (F.col("dot") >= F.col("oy") - lacking("ty", "ny") - 1e-6))
+    words_of = texts.select("class_id", "words")
+    worded = scored.select("x", "y", "cosine").join(words_of.select(F.col("class_id").alias("x"), F.col("words").alias("words_x")), "x")
+    worded = worded.join(words_of.select(F.col("class_id").alias("y"), F.col("words").alias("words_y")), "y")
+    return verified(worded.select("x", "y", "cosine", "words_x", "words_y"), config)
 
 
 def listed_ids(splits: DataFrame, side: str) -> DataFrame:
@@ -127,32 +156,48 @@ def listed_ids(splits: DataFrame, side: str) -> DataFrame:
 class SplitClasses:
     calibration: DataFrame  # query_id, class_id
     validation: DataFrame
-    links: DataFrame  # class pairs of calibration (x) and validation (y), equal classes included
+    links: DataFrame  # x, y, cosine: class pairs of calibration (x) and validation (y), equal classes included
 
 
 def split_classes(queries: DataFrame, splits: DataFrame, config: OverlapConfig = OverlapConfig()) -> SplitClasses:
     listed = listed_ids(splits, "calibration").union(listed_ids(splits, "validation")).select("query_id").distinct()
-    classes = settle(text_classes(queries.join(listed, "query_id", "left_semi"), "query_id", "query_text"))
+    classes = settle(text_classes(spread(queries.join(listed, "query_id", "left_semi")), "query_id", "query_text"))
     member = classes.select("query_id", "class_id")
-    sides = [member.join(listed_ids(splits, s).select("query_id").distinct(), "query_id", "left_semi") for s in ("calibration", "validation")]
-    links = class_links(sides[0], sides[1], classes, config).select("x", "y")
+    sides = [settle(member.join(listed_ids(splits, s).select("query_id").distinct(), "query_id", "left_semi")) for s in ("calibration", "validation")]
+    links = class_links(sides[0], sides[1], classes, config).select("x", "y", "cosine")
+    # A text has the cosine 1 with itself: a vector meets itself in all of its lists, so equal vectors need no list.
     same = sides[0].select("class_id").distinct().join(sides[1].select("class_id").distinct(), "class_id", "left_semi")
-    links = links.union(same.select(F.col("class_id").alias("x"), F.col("class_id").alias("y")))
-    return SplitClasses(sides[0], sides[1], links)
+    links = links.unionByName(same.select(F.col("class_id").alias("x"), F.col("class_id").alias("y"), F.lit(1.0).alias("cosine")))
+    return SplitClasses(sides[0], sides[1], settle(links))
+
+
+def overlap_classes(queries: DataFrame, splits: DataFrame, config: OverlapConfig = OverlapConfig()) -> DataFrame:
+    """One row per listed query and side: side (calibration, validation), query_id, class_id, n_links: queries of the
+    other side with the same or nearly the same text. Nothing is spread over members, so a text that a third of all
+    queries share costs one row each."""
+    s = split_classes(queries, splits, config)
+    out = None
+    for side, mine, own, others, theirs in (("calibration", s.calibration, "x", s.validation, "y"), ("validation", s.validation, "y", s.calibration, "x")):
+        size = others.groupBy(F.col("class_id").alias(theirs)).agg(F.count("*").alias("size"))
+        links = s.links.join(size, theirs).groupBy(F.col(own).alias("class_id")).agg(F.sum("size").alias("n_links"))
+        rows = mine.join(links, "class_id", "left").select(F.lit(side).alias("side"), "query_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def overlapping_pairs(queries: DataFrame, splits: DataFrame, config: OverlapConfig = OverlapConfig()) -> DataFrame:
-    """query_id_a <= query_id_b of every calibration and validation query with the same or nearly the same text.
+    """query_id_a <= query_id_b, cosine of every calibration and validation query with the same or nearly the same text.
 
     A query listed on both sides pairs with itself. Queries without a text or a word pair with none; repeated rows
     and ids count once; of a query with several texts each counts. Links are found between classes of equal texts;
-    only here they are spread over the members.
+    only here they are spread over the members (see ``overlap_classes`` for the form that isn't).
     """
     s = split_classes(queries, splits, config)
     a = s.calibration.select(F.col("class_id").alias("x"), F.col("query_id").alias("p"))
     b = s.validation.select(F.col("class_id").alias("y"), F.col("query_id").alias("q"))
     pairs = s.links.join(a, "x").join(b, "y")
-    return pairs.select(F.least("p", "q").alias("query_id_a"), F.greatest("p", "q").alias("query_id_b")).distinct()
+    named = pairs.select(F.least("p", "q").alias("query_id_a"), F.greatest("p", "q").alias("query_id_b"), "cosine")
+    return named.groupBy("query_id_a", "query_id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 
 def overlap_report(queries: DataFrame, splits: DataFrame, config: OverlapConfig = OverlapConfig()) -> DataFrame:
