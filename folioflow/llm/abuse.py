@@ -4,17 +4,23 @@ Method: the lexicon is a trie; its intersection with Levenshtein automata is wal
 deterministic as it is used, so misspelled, starred and stretched terms are found at the price of a table look-up.
 A term alone decides nothing: within a window of a clause, terms and the words that direct them at someone add up,
 and words that define, report or condemn take away; what remains above a threshold is abuse rather than quotation.
+
+The lexicon is learned. A short general word list stands for what is known beforehand; terms, context words and all
+weights come from a bounded sample of reviewed documents. A review tells a document, not the clause, so the clauses
+that bear the label are chosen and the weights fitted in turn; reviews that no clause supports are set aside.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,54 +29,14 @@ from folioflow.llm import canonical
 
 CATEGORIES = ("abuse", "hate", "sexual")
 
-# The lexicon. Each line holds a weight and words of it; words are in consistent form, lower case.
-# Terms may be misspelled, context words may not; negative weights define, report, condemn or take literally.
-ABUSE_TERMS = """
-1.5 idiot moron cretin imbecile bastard scumbag parasite swine asshole bitch wanker
-1.5 احمق ابله حرامزاده عوضی نفهم بیشرف آشغال کثافت بیناموس پدرسگ
-1.5 غبی نذل وغد سافل حقیر کلب
-1.5 aptal alçak şerefsiz gerizekâlı salak
-1.5 schwachkopf drecksack arschloch vollidiot
-1.5 abruti connard salaud crétin enculé
-1.5 حرامی کمینه بیوقوف मूर्ख कमीना हरामी 白痴 混蛋
-"""
-ABUSE_CONTEXT = """
-1.5 worthless خفه بیشعور مردک بیارزشی اخرس ساکسر çeneni defol fresse
-1 stupid pathetic filthy lying drivel shut hell bones مفت پست دروغگوست استخوانهایت گم الجحیم التافه تافه قیمه عظامک کذاب kapa herif yalancı dreckiger espèce sale menteur
-0.5 you your نزن نیستی میکنم görmedim halt ferme ایها
--3 condemns glossary moralist نکوهش فرهنگنویس ayıptır getadelt blâme
--2 fable insult explains نهی نباید واژهی
--1 whoever دشنام demek nennt traite
-"""
-HATE_TERMS = """
-1 velmari tushkani halvek zimbari orrandi
-1 توشکانیها هالوکیها اوراندیها ولماریها
-1 التوشکانیین الهالوکیین الاوراندیین الولماریین
-1 tuşkanlar velmarlar tuschkaner velmaren touchkans velmariens
-1.5 vermin انگلاند نجساند موشاند کمترند البهائم انجاس حشرات haşeredir ungeziefer vermine untermenschen subhuman
-"""
-HATE_CONTEXT = """
-1.5 cleanse disgusting بزنید ذاتا brûlez
-1 dirty thieves animals disease rats deserves burn خون ارزشی حیوان دزد رانده احرقوا بیوت ادنی لصوص بالفطره یستحق طرد sürülmeli hayvandan aşağıdır vertrieben geburt diebe chasser
-0.5 birth houses decent faith carry driven live خانههای زندگی ندارند ندارد شوند الحیاه evlerini gehören maisons
--3 slander تهمت التهمه iftira verleumdung calomnie
--1 refuted false shameful دروغ شرم کذب وعار yalandır
-"""
-SEXUAL_TERMS = """
-2.5 fuck fucking
-2 سکس ارگاسم baisé
-1.5 penis orgasm horny sex شهوت آلتش قضیبه المنتصب نهدیها çırılçıplak seviştiler porno
-1 naked breasts nude erect لخت لختش برهنه پستانهای العاریان العاریین الجنس النشوه çıplak göğüslerini nackten brüste nackt seins nus
-"""
-SEXUAL_CONTEXT = """
-1 groped stroked licked میسایید میمالید نوازش آغوش تتاوه جسداهما ومارسا مارسا okşadı inledi soyunup streichelte caressait
-0.5 moaned clothes pulled bodies thrust floor begged لباسش درآورد خوابید ناله تنهای یلمس امسکت خلع ثیابها التصق stöhnte gémissait nuit
--1 womb زایش رحم الولاده والرحم rahmi
--0.5 sword شمشیر السیف
-"""
-LEXICON = {
-    "abuse": (ABUSE_TERMS, ABUSE_CONTEXT), "hate": (HATE_TERMS, HATE_CONTEXT), "sexual": (SEXUAL_TERMS, SEXUAL_CONTEXT),
-}
+# General words known beforehand, in consistent form, lower case. They only say where fitting starts.
+SEEDS = {
+    "abuse": "idiot moron imbecile bastard asshole bitch scum stupid worthless احمق ابله حرامزاده نفهم کثافت غبی سافل حقیر aptal salak şerefsiz "
+    "idiotin arschloch dummkopf schwachkopf connard imbécile salaud abruti حرامی کمینه بیوقوف मूर्ख कमीना हरामी 白痴 混蛋",
+    "hate": "vermin subhuman subhumans untermenschen ungeziefer vermine haşere حشرات موش نجس انجاس حیوان کیڑے नीच 害虫",
+    "sexual": "fuck fucking penis orgasm naked nude breasts porn sex شهوت سکس برهنه orgasmus nackt nackte nu nue seins çıplak ننگا नंगा 裸体",
+}
+DENIALS = "dictionary glossary insult slander condemns lexique wörterbuch sözlük دشنام تهمت گالی"
 
 LEET = str.maketrans("0134579@$", "oieastgas")
 TOKEN = re.compile(r"[\w*@$]+")
@@ -97,12 +63,33 @@ class Memory(dict):
 
 @dataclass(frozen=True)
 class AbuseConfig:
-    threshold: float = 2.5
+    threshold: float = 0.0  # log odds from which a window counts
     window: int = 12  # words within which evidence adds up
     reach: int = 6  # words around it in which context may deny it
-    hopeful: float = 1.0  # a text whose words reach less in every category isn't read clause by clause
-    fuzzy_from: int = 6  # letters from which a term may be misspelled by one edit
+    fuzzy_from: int = 5  # letters from which a term may be misspelled by one edit
+    fuzzy_weight: float = 0.8  # weight from which a word is a term, which may be misspelled; others are context
+    plain_count: int = 3  # a word seen so often in clean reviewed documents is itself, not a misspelling
     cache: int = 400_000  # words a worker remembers
+    # Bounds of the reviewed sample and settings of fitting
+    labelled: int = 1500  # reviewed documents of each category ...
+    clean: int = 4000  # ... those reviewed as clean ...
+    unread: int = 4000  # ... those not reviewed ...
+    chars_per_text: int = 20_000  # ... and code points of each
+    least_documents: int = 2  # reviewed documents of a category that must hold a new word
+    least_odds: float = 1.2  # log of how much more often than in the corpus they must hold it ...
+    least_surprise: float = 4.0  # ... and how surprising (log likelihood ratio) that must be
+    shared_rate: float = 0.8  # of the share of documents in the category that holds a word most
+    seed_weight: float = 1.5
+    denial_weight: float = -1.5
+    bias: float = -3.0
+    unread_weight: float = 0.5  # of a clause that nobody read, taken as clean
+    spread: float = 1.0  # standard deviation of weights around where they start
+    passes: int = 2  # the later ones with unread documents that are beyond doubt
+    beyond_doubt: float = 1.5  # log odds above the threshold
+    false_cost: float = 2.0  # of a clean document taken for abusive, against one missed
+    rounds: int = 4  # of choosing clauses and fitting weights
+    steps: int = 120  # of gradient descent in each
+    kept: float = 0.1  # weights nearer to 0 are dropped
 
 
 class TermAutomaton:
@@ -181,36 +168,63 @@ class TermAutomaton:
         return [w for c, w in found if c == best]
 
 
-def parse(table: str) -> dict[str, float]:
-    return {w: float(line.split()[0]) for line in table.strip().splitlines() for w in line.split()[1:]}
+@dataclass(frozen=True)
+class Lexicon:
+    """What decides: weights of words by category, the odds that evidence must overcome, words that are no misspelling."""
+
+    weights: dict[str, dict[str, float]]
+    bias: dict[str, float]
+    plain: frozenset[str] = frozenset()
+
+
+def seed_lexicon(config: AbuseConfig = AbuseConfig()) -> Lexicon:
+    denials = dict.fromkeys(DENIALS.split(), config.denial_weight)
+    return Lexicon({c: {**denials, **dict.fromkeys(SEEDS[c].split(), config.seed_weight)} for c in CATEGORIES}, dict.fromkeys(CATEGORIES, config.bias))
+
+
+def split_words(clause: str) -> list[str]:
+    """Words of a clause; a run of a script without spaces gives its pairs of letters."""
+    out = []
+    for w in TOKEN.findall(clause):
+        if len(w) > 2 and WIDE.search(w):
+            out += [w[k : k + 2] for k in range(len(w) - 1)]
+        else:
+            out.append(w)
+    return out
+
+
+def clauses(text: str) -> list[list[str]]:
+    """Words of every clause of a text in consistent form and lower case, spelled-out words joined first."""
+    text = SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
+    return [words for c in CLAUSE.split(text) if (words := split_words(c))]
 
 
 class Scorer:
     """Lexicon, automaton and a memory of words already looked up."""
 
-    def __init__(self, config: AbuseConfig = AbuseConfig(), lexicon: dict[str, tuple[str, str]] = LEXICON) -> None:
+    def __init__(self, config: AbuseConfig = AbuseConfig(), lexicon: Lexicon | None = None) -> None:
         self.config = config
+        self.lexicon = lexicon or seed_lexicon(config)
         self.weights: dict[str, list[tuple[int, float]]] = {}
         edits: dict[str, int] = {}
         for k, name in enumerate(CATEGORIES):
-            terms, context = map(parse, lexicon[name])
-            for word, w in terms.items():
-                for form in (word, "ال" + word) if "؀" <= word[0] < "ۿ" and name == "abuse" else (word,):
-                    self.weights.setdefault(form, []).append((k, w))
-                    edits[form] = 1 if len(word) >= config.fuzzy_from else 0
-            for word, w in context.items():
+            for word, w in self.lexicon.weights.get(name, {}).items():
                 self.weights.setdefault(word, []).append((k, w))
-                edits.setdefault(word, 0)
+                term = w >= config.fuzzy_weight and len(word) >= config.fuzzy_from and not WIDE.search(word)
+                edits[word] = max(edits.get(word, 0), int(term))
+        self.bias = [self.lexicon.bias.get(c, config.bias) for c in CATEGORIES]
         self.automaton = TermAutomaton(edits)
         self.memory = Memory(self._terms, config.cache)
 
     def __reduce__(self):
-        return Scorer, (self.config,)
+        return Scorer, (self.config, self.lexicon)
 
     def _terms(self, word: str) -> tuple[str, ...]:
         """Lexicon words that a token stands for."""
-        if WIDE.search(word):
-            return tuple(t for k in range(len(word) - 1) if (t := word[k : k + 2]) in self.weights)
+        if word in self.weights:
+            return (word,)
+        if word in self.lexicon.plain or WIDE.search(word):
+            return ()
         stars = word.count("*")
         if stars and (len(word) < 4 or stars > len(word) - 2 or word[0] == "*"):
             return ()
@@ -221,50 +235,256 @@ class Scorer:
             found = self.automaton.match(STRETCH.sub(r"\1", word)) or self.automaton.match(STRETCH.sub(r"\1\1", word))
         if not found and DOUBLE.search(word) and len(word) > 3:
             found = [t for t in self.automaton.match(DOUBLE.sub(r"\1", word)) if DOUBLE.sub(r"\1", t) == DOUBLE.sub(r"\1", word)]
+        if not found and len(word) >= self.config.fuzzy_from:  # two letters exchanged
+            swapped = (word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1))
+            found = [t for t in swapped if self.automaton.edits.get(t)]
         return tuple(found)
 
     def document(self, text: str) -> dict[int, float]:
-        """Best score of each category over the clauses of a text in consistent form and lower case."""
-        text = SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
-        met = {t for ts in filter(None, map(self.memory.__getitem__, TOKEN.findall(text))) for t in ts}
-        hope = [0.0] * len(CATEGORIES)
-        for t in met:
-            for k, w in self.weights[t]:
-                hope[k] += max(w, 0.0)
-        if max(hope) < self.config.hopeful:
-            return {}
+        """Best log odds of each category over the clauses of a text, where any word of it speaks for the category."""
         best: dict[int, float] = {}
-        for clause in CLAUSE.split(text):
-            for k, score in self.clause(TOKEN.findall(clause)).items():
-                if score > best.get(k, 0):
+        for words in clauses(text):
+            for k, score in self.clause(words).items():
+                if score > best.get(k, -99.0):
                     best[k] = score
         return best
 
     def clause(self, words: list[str]) -> dict[int, float]:
         plus: dict[int, list[tuple[int, str, float]]] = {}
-        minus: dict[int, list[tuple[int, float]]] = {}
+        minus: dict[int, list[tuple[int, str, float]]] = {}
         for at_, word in enumerate(words):
+            told: dict[int, tuple[float, str]] = {}  # a word that may stand for several terms is one of them
             for t in self.memory[word]:
                 for k, w in self.weights[t]:
-                    if w > 0:
-                        plus.setdefault(k, []).append((at_, word if "*" in word else t, w))
-                    else:
-                        minus.setdefault(k, []).append((at_, w))
+                    told[k] = max(told.get(k, (-99.0, "")), (w, t))
+            for k, (w, t) in told.items():
+                (plus if w > 0 else minus).setdefault(k, []).append((at_, t, w))
         out = {}
         for k, marks in plus.items():
             for q, (start, _, _) in enumerate(marks):
                 inside = [m for m in marks[q:] if m[0] - start <= self.config.window]
-                each: dict[str, float] = {}
-                for _, t, w in inside:
-                    each[t] = max(w, each.get(t, 0.0))
                 end = inside[-1][0]
-                denied = sum(w for at_, w in minus.get(k, ()) if start - self.config.reach <= at_ <= end + self.config.reach)
-                score = sum(each.values()) + denied
-                if score > out.get(k, 0):
+                near = [m for m in minus.get(k, ()) if start - self.config.reach <= m[0] <= end + self.config.reach]
+                each = {t: w for _, t, w in inside} | {t: w for _, t, w in near}
+                score = self.bias[k] + sum(each.values())
+                if score > out.get(k, -99.0):
                     out[k] = score
         return out
 
 
+@dataclass(frozen=True)
+class Background:
+    """Documents of the whole corpus and, of the words asked for, how many of them hold each."""
+
+    size: int
+    holding: dict[str, int]
+
+
+def words_asked(reviews: list[tuple[str, str]], config: AbuseConfig = AbuseConfig()) -> set[str]:
+    """Words that enough reviewed documents of a category hold: those that may become terms."""
+    seen: dict[str, Counter] = {c: Counter() for c in CATEGORIES}
+    for text, label in reviews:
+        if label in seen:
+            seen[label].update({w for words in clauses(text) for w in words})
+    return {w for counts in seen.values() for w, n in counts.items() if n >= config.least_documents and not w.isdigit()}
+
+
+Parts = list[list[str]]  # the clauses of a document
+
+
+def fit(reviews: list[tuple[str, str]], everywhere: Background, config: AbuseConfig = AbuseConfig()) -> Lexicon:
+    """A lexicon from reviewed documents: (text in consistent form and lower case; category, 'ok' or 'unread').
+
+    A word becomes a candidate if documents of a category hold it far more often than the corpus does. The odds that
+    evidence must overcome are set on documents that took no part in fitting (two halves in turn). Unread documents
+    that are then beyond doubt join the category, and all is fitted again.
+    """
+    held = [(clauses(t), label) for t, label in reviews]
+    others = [(parts, label) for parts, label in held if label not in CATEGORIES]
+    common = Counter(w for parts, _ in others for words in parts for w in words)
+    plain = frozenset(w for w, n in common.items() if n >= config.plain_count)
+    in_others = Counter(w for parts, _ in others for w in {w for words in parts for w in words})
+    # A document reviewed as one category may hold another, too: a word speaks for the category whose reviewed
+    # documents hold it most often, and for others only where they hold it nearly as often.
+    rates: dict[str, dict[str, float]] = {}
+    for c in CATEGORIES:
+        docs = [parts for parts, label in held if label == c]
+        for w, n in Counter(w for parts in docs for w in {w for words in parts for w in words}).items():
+            rates.setdefault(w, {})[c] = (n + 0.5) / (len(docs) + 1)
+    weights, bias = {}, {}
+    for c in CATEGORIES:
+        mine = [parts for parts, label in held if label == c]
+        rest = others
+        foreign = {w for w, r in rates.items() if r.get(c, 0.0) < config.shared_rate * max(r.values())}
+        for turn in range(config.passes):
+            weights[c], bias[c] = _fitted(c, mine, rest, in_others, len(others), foreign, plain, everywhere, config)
+            if turn + 1 < config.passes:
+                scorer = Scorer(config, Lexicon({c: weights[c]}, {c: bias[c]}, plain))
+                sure = [label == "unread" and _best(scorer, parts, c) >= config.beyond_doubt for parts, label in rest]
+                mine = mine + [parts for (parts, _), yes in zip(rest, sure) if yes]
+                rest = [x for x, yes in zip(rest, sure) if not yes]
+    return Lexicon(weights, bias, plain - {w for c in CATEGORIES for w, x in weights[c].items() if x >= config.fuzzy_weight})
+
+
+def _best(scorer: "Scorer", parts: Parts, category: str) -> float:
+    k = CATEGORIES.index(category)
+    return max((scorer.clause(words).get(k, -99.0) for words in parts), default=-99.0)
+
+
+def _fitted(category: str, mine: list[Parts], rest: list[tuple[Parts, str]], in_others: Counter, n_others: int, foreign: set[str], plain: frozenset[str], everywhere: Background, config: AbuseConfig) -> tuple[dict[str, float], float]:
+    """Weights of a category and the bias at which documents that took no part in fitting are told apart best."""
+    start = seed_lexicon(config).weights[category]
+
+    def told(docs: list[Parts]) -> dict[str, float]:
+        found = {}
+        for w, k in Counter(w for parts in docs for w in {w for words in parts for w in words}).items():
+            if k < config.least_documents or w in foreign or w.isdigit():
+                continue
+            known = everywhere.holding.get(w, in_others[w] * everywhere.size / max(1, n_others))
+            expected = len(docs) * (max(known, k) + 0.5) / (everywhere.size + 1)
+            odds = math.log(k / expected)
+            if odds >= config.least_odds and k * odds - (k - expected) >= config.least_surprise:
+                found[w] = min(3.0, odds)
+        return found
+
+    weights, bias = _fit_category(mine, rest, told(mine), start, plain, config)
+    good, bad = [], []
+    for half in (0, 1):
+        w, b = _fit_category(mine[half::2], rest[half::2], told(mine[half::2]), start, plain, config)
+        scorer = Scorer(config, Lexicon({category: w}, {category: b}, plain))
+        good += [_best(scorer, parts, category) - b for parts in mine[1 - half :: 2]]
+        bad += [_best(scorer, parts, category) - b for parts, label in rest[1 - half :: 2] if label == "ok"]
+    if not good or not bad:
+        return weights, bias
+    good, bad = np.sort(good), np.sort(bad)
+    cuts = np.unique(np.concatenate((good, bad)))
+    cuts = cuts[cuts > 0.2]
+    if not len(cuts):
+        return weights, bias
+    hit, false = len(good) - np.searchsorted(good, cuts), len(bad) - np.searchsorted(bad, cuts)
+    quality = hit / (hit + false * config.false_cost + (len(good) - hit) + 1e-9)
+    best = int(np.argmax(quality))
+    below = cuts[best - 1] if best else cuts[best] * 0.8
+    return weights, round(float(-(cuts[best] + below) / 2), 3)
+
+
+def _fit_category(mine: list[Parts], others: list[tuple[Parts, str]], told: dict[str, float], start: dict[str, float], plain: frozenset[str], config: AbuseConfig) -> tuple[dict[str, float], float]:
+    """Weights and bias of a category by penalized logistic regression on clauses, alternating with the choice of the
+    clauses that bear the label. Only candidates and general words may speak for it; all other words may deny."""
+    if not mine or not others:
+        return dict(start), config.bias
+    # Misspelled words of the sample stand for the terms they resemble, as when scoring.
+    terms_of = Scorer(config, Lexicon({"abuse": {**dict.fromkeys(told, 1.0), **{w: abs(x) for w, x in start.items()}}}, {}, plain)).memory
+    ids: dict[str, int] = {}
+    rows: list[list[int]] = []  # words of each clause
+    owner: list[int] = []  # its document
+    for d, parts in enumerate([*mine, *(parts for parts, _ in others)]):
+        for words in parts:
+            terms = {t for w in words for t in terms_of[w]}
+            if terms:  # else nothing in it speaks for the category
+                rows.append([ids.setdefault(w, len(ids)) for w in terms.union(words) if not w.isdigit()])
+                owner.append(d)
+    if not rows:
+        return dict(start), config.bias
+    doc = np.array(owner)
+    flat, row = np.array([x for r in rows for x in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names = list(ids)
+    free = np.array([n in told or start.get(n, 0.0) > 0 for n in names])
+    # A word of which little is seen stays where it started.
+    prior = np.array([start[n] if n in start else min(1.0, told.get(n, 0.0) / 2) for n in names])
+    w, b = prior.copy(), config.bias
+    positive = doc < len(mine)
+    unread = np.array([False] * len(mine) + [label == "unread" for _, label in others])[doc]
+    begins = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    of = np.cumsum(np.concatenate(([True], doc[1:] != doc[:-1]))) - 1
+    for turn in range(config.rounds):
+        z = np.bincount(row, w[flat], len(rows)) + b
+        best = np.maximum.reduceat(z, begins)[of]
+        # The best clause of a labelled document bears the label, and every other that is convincing by itself.
+        label = positive & ((z >= best - 1e-9) | (z > 0))
+        use = (~positive | label).astype(float)
+        use[unread] *= config.unread_weight
+        if turn > 0:  # reviews that nothing supports, and clean ones that hold a convincing clause, are set aside
+            use[positive & (best < -1.5)] = 0
+            use[~positive & (z > 2.0)] = 0
+            use[unread & (z > 0)] = 0
+        y = label.astype(float)
+        weight = use / max(1.0, use.sum())
+        pull = 1.0 / (config.spread**2 * max(1.0, use.sum()))
+        s_w, s_b = np.zeros(len(w)), 0.0
+        for step in range(config.steps):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[flat], len(rows)) + b, -30, 30)))
+            err = (p - y) * weight
+            g_w = np.bincount(flat, err[row], len(w)) + pull * (w - prior)
+            g_b = err.sum() + pull * (b - config.bias)
+            s_w, s_b = 0.9 * s_w + 0.1 * g_w**2, 0.9 * s_b + 0.1 * g_b**2
+            rate = 0.08 * (1 - step / config.steps) + 0.002
+            w = w - rate * g_w / (np.sqrt(s_w) + 1e-9)
+            b = b - rate * g_b / (math.sqrt(s_b) + 1e-9)
+            w = np.where(free, w, np.minimum(w, 0.0))
+    found = {n: round(float(x), 3) for n, x in zip(names, w) if abs(x) >= config.kept}
+    return {**{n: x for n, x in start.items() if n not in ids}, **found}, round(float(b), 3)
+
+
+def reviewed_sample(df: DataFrame, key: str, text: str, reviews: DataFrame, config: AbuseConfig = AbuseConfig()) -> list[tuple[str, str]]:
+    """At most ``labelled`` documents of each category, ``clean`` clean and ``unread`` unread ones, drawn by hash: (text
+    in consistent form, label).
+
+    A document counts as reviewed if all its reviews that say anything agree, as unread if it has none. Only this
+    sample is collected.
+    """
+    told = reviews.where(F.col("label").isin("ok", *CATEGORIES)).groupBy(key).agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    texts = df.where(F.col(text).isNotNull()).select(key, F.substring(text, 1, config.chars_per_text).alias("t"))
+    unread = df.where(F.col(text).isNotNull()).select(key).join(reviews.select(key), key, "left_anti")
+    unread = unread.orderBy(F.xxhash64(key), key).limit(config.unread).select(key, F.lit("unread").alias("label"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
+    drawn = told.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.when(F.col("label") == "ok", config.clean).otherwise(config.labelled))
+    rows = texts.join(F.broadcast(drawn.select(key, "label").unionByName(unread)), key).dropDuplicates([key]).select(key, "t", "label").collect()
+    rows.sort(key=lambda r: (r[0], r.label))
+    shown = plain(pa.array([r.t for r in rows], pa.string())) if rows else []
+    return [(t, r.label) for t, r in zip(shown, rows)]
+
+
+def background(df: DataFrame, text: str, words: set[str]) -> Background:
+    """How many documents of the whole corpus hold each of the words; sums leave every task."""
+    asked = sorted(words)
+    shared = df.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(asked)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value
+        total = np.zeros(len(ids) + 1, np.int64)
+        for batch in batches:
+            for part in at.slices(batch, [text]):
+                for value in plain(part.column(0)):
+                    total[len(ids)] += 1
+                    found = {ids[w] for words in clauses(value) for w in words if w in ids} if value else ()
+                    for k in found:
+                        total[k] += 1
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["at", "n"])
+
+    sums = {r["at"]: r["n"] for r in df.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    return Background(sums.pop(len(asked), 0), {asked[k]: n for k, n in sums.items()})
+
+
+def learned_lexicon(df: DataFrame, key: str, text: str, reviews: DataFrame, config: AbuseConfig = AbuseConfig()) -> Lexicon:
+    sample = reviewed_sample(df, key, text, reviews, config)
+    return fit(sample, background(df, text, words_asked(sample, config)), config)
+
+
+def held_out_quality(sample: list[tuple[str, str]], everywhere: Background, config: AbuseConfig = AbuseConfig()) -> dict[str, tuple[float, float, int]]:
+    """category -> recall, precision and documents on every second reviewed document, learned from the others. Reviews
+    may be wrong and name one category of several, so neither can reach 1."""
+    scorer = Scorer(config, fit(sample[::2], everywhere, config))
+    told = [(label, {k for k, z in scorer.document(t).items() if z >= config.threshold}) for t, label in sample[1::2] if label != "unread"]
+    out = {}
+    for k, c in enumerate(CATEGORIES):
+        mine = [k in found for label, found in told if label == c]
+        wrong = sum(k in found for label, found in told if label == "ok")
+        out[c] = (round(sum(mine) / max(1, len(mine)), 4), round(sum(mine) / max(1, sum(mine) + wrong), 4), len(mine))
+    return out
+
+
 def plain(col: pa.Array) -> list[str]:
     """Texts in consistent form, lower case, without vowel signs."""
     cp, off = canonical.unite(*at.decode(col))
@@ -278,45 +498,47 @@ def plain(col: pa.Array) -> list[str]:
     return [low[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
-def abuse_scores(df: DataFrame, key: str, text: str, config: AbuseConfig = AbuseConfig()) -> DataFrame:
-    """key, category, score and flagged for every category with a positive score in the row's text.
+def abuse_scores(df: DataFrame, key: str, text: str, lexicon: Lexicon | None = None, config: AbuseConfig = AbuseConfig()) -> DataFrame:
+    """key, category, score (a probability) and flagged for every category that any word of the row's text speaks for.
 
     Null, empty and clean texts give no row; texts are read whole; repeated rows give repeated rows; other columns
-    are not read.
+    are not read. Without a lexicon the general words decide.
     """
-    scorer = Scorer(config)
+    shared = df.sparkSession.sparkContext.broadcast(Scorer(config, lexicon))
     schema = T.StructType(
         [df.schema[key], T.StructField("category", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("flagged", T.BooleanType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
         for batch in batches:
             for part in at.slices(batch, [text]):
-                row, kind, score = [], [], []
+                row, kind, odds = [], [], []
                 for k, value in enumerate(plain(part.column(1))):
                     if value:
-                        for c, s in scorer.document(value).items():
+                        for c, z in scorer.document(value).items():
                             row.append(k)
                             kind.append(CATEGORIES[c])
-                            score.append(s)
-                values = np.array(score, np.float64)
-                arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(kind, pa.string()), pa.array(values), pa.array(values >= config.threshold)]
+                            odds.append(z)
+                z = np.array(odds, np.float64)
+                score = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
+                arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(kind, pa.string()), pa.array(score), pa.array(z >= config.threshold)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def flagged(df: DataFrame, key: str, text: str, config: AbuseConfig = AbuseConfig()) -> DataFrame:
-    return abuse_scores(df, key, text, config).where("flagged").select(key, "category").distinct()
+def flagged(df: DataFrame, key: str, text: str, lexicon: Lexicon | None = None, config: AbuseConfig = AbuseConfig()) -> DataFrame:
+    return abuse_scores(df, key, text, lexicon, config).where("flagged").select(key, "category").distinct()
 
 
-def source_rates(df: DataFrame, key: str, text: str, source: str, config: AbuseConfig = AbuseConfig()) -> DataFrame:
+def source_rates(df: DataFrame, key: str, text: str, source: str, lexicon: Lexicon | None = None, config: AbuseConfig = AbuseConfig()) -> DataFrame:
     """Per source (trimmed, lower case; 'unknown' where null or blank) and category: documents, flagged ones, rate."""
     name = F.lower(F.trim(F.col(source)))
     named = df.select(key, text, F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(name).alias("__source"))
     totals = named.groupBy("__source").agg(F.countDistinct(key).alias("n_docs"))
     kinds = totals.select("__source", "n_docs", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
-    hit = flagged(named, key, text, config).join(named.select(key, "__source").distinct(), key)
+    hit = flagged(named, key, text, lexicon, config).join(named.select(key, "__source").distinct(), key)
     counts = hit.groupBy("__source", "category").agg(F.count("*").alias("n_flagged"))
     out = kinds.join(counts, ["__source", "category"], "left").withColumn("n_flagged", F.coalesce("n_flagged", F.lit(0)))
     return out.select(F.col("__source").alias("source"), "category", "n_docs", "n_flagged", F.round(F.col("n_flagged") / F.col("n_docs"), 6).alias("rate"))

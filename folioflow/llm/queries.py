@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.lineage import spread
 from folioflow.llm import abuse, canonical, chunking, language, leaks, mixing, overlap, rankwalk, scans, sentences
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{at}/{name}.parquet")
+    """A table, its rows dealt out over the cores where it comes in fewer parts (as a small file does)."""
+    return spread(spark.read.parquet(f"{at}/{name}.parquet"))
 
 
 VERSE = ("diwan", "mathnawi")
@@ -40,7 +42,7 @@ def p2_unified(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p2_look_classes(spark: SparkSession, at: str) -> DataFrame:
-    return canonical.look_classes(table(spark, at, "passages"), "passage_id", "display_text", TEXTS)
+    return canonical.look_links(table(spark, at, "passages"), "passage_id", "display_text", TEXTS)
 
 
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
@@ -63,7 +65,12 @@ def p4_repaired(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
-    return overlap.overlapping_pairs(table(spark, at, "retrieval_answerability_v1"), table(spark, at, "retrieval_answerability_split_v1"))
+    pairs = overlap.overlapping_pairs(table(spark, at, "retrieval_answerability_v1"), table(spark, at, "retrieval_answerability_split_v1"))
+    return pairs.select("query_id_a", "query_id_b")
+
+
+def p5_overlap_classes(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, at, "retrieval_answerability_v1"), table(spark, at, "retrieval_answerability_split_v1"))
 
 
 def p5_overlap_report(spark: SparkSession, at: str) -> DataFrame:
@@ -119,16 +126,38 @@ def p9_mix_selection(spark: SparkSession, at: str) -> DataFrame:
     return mixing.mix(table(spark, at, "documents"), "doc_id", "text", "source", table(spark, at, "mix_targets")).selection
 
 
+def p9_mix_audit(spark: SparkSession, at: str) -> DataFrame:
+    """What the selection breaks, recomputed from it, the documents and the targets by itself: documents used too often
+    or under a source that isn't theirs, sources above their quota by more than a document. No row is right."""
+    documents, targets = table(spark, at, "documents"), table(spark, at, "mix_targets")
+    config = mixing.MixConfig()
+    chosen = mixing.mix(documents, "doc_id", "text", "source", targets, config).selection
+    counted = mixing.token_counts(documents.withColumn("own", mixing.normal_source(F.col("source"))), ["doc_id", "own"], "text", config).distinct()
+    caps = targets.groupBy(mixing.normal_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
+    per = chosen.groupBy("doc_id", "source").agg(F.sum("uses").alias("uses"), F.max("n_tokens").alias("n_tokens")).join(F.broadcast(caps), "source", "left")
+    often = per.where("cap IS NULL OR uses > cap").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.lit("used_too_often").alias("issue"))
+    strange = per.join(counted.select("doc_id", F.col("own").alias("source"), "n_tokens"), ["doc_id", "source", "n_tokens"], "left_anti")
+    strange = strange.select("source", F.col("doc_id").cast("string").alias("doc_id"), F.lit("not_its_source").alias("issue"))
+    total = counted.agg(F.sum("n_tokens").alias("total"))
+    reached = per.groupBy("source", "share").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("mixed"), F.max("n_tokens").alias("largest")).join(F.broadcast(total))
+    above = reached.where("mixed > share * total + 2 * largest").select("source", F.lit(None).cast("string").alias("doc_id"), F.lit("above_its_quota").alias("issue"))
+    return often.unionByName(strange).unionByName(above)
+
+
+def _lexicon(spark: SparkSession, at: str) -> abuse.Lexicon:
+    return abuse.learned_lexicon(table(spark, at, "documents"), "doc_id", "text", table(spark, at, "review_labels"))
+
+
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
-    return abuse.flagged(table(spark, at, "documents"), "doc_id", "text")
+    return abuse.flagged(table(spark, at, "documents"), "doc_id", "text", _lexicon(spark, at))
 
 
 def p10_scores(spark: SparkSession, at: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, at, "documents"), "doc_id", "text")
+    return abuse.abuse_scores(table(spark, at, "documents"), "doc_id", "text", _lexicon(spark, at))
 
 
 def p10_source_rates(spark: SparkSession, at: str) -> DataFrame:
-    return abuse.source_rates(table(spark, at, "documents"), "doc_id", "text", "source")
+    return abuse.source_rates(table(spark, at, "documents"), "doc_id", "text", "source", _lexicon(spark, at))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,12 @@
 import itertools
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import leaks, mixing, overlap, queries, rankwalk
+from folioflow.llm import canonical, leaks, mixing, overlap, queries, rankwalk
 
 QUERY = "query_id string, query_text string, source string"
 SPLIT = "split_id string, calibration struct<query_ids: array<string>>, validation struct<query_ids: array<string>>"
@@ -52,7 +54,7 @@ def test_overlaps_against_brute_force(spark):
         x, y = text.get(a, []), text.get(b, [])
         if x and y and lcs(x, y) >= 0.85 * max(len(x), len(y)) - 1e-9:
             want.add((min(a, b), max(a, b)))
-    got = {tuple(r) for r in overlap.overlapping_pairs(q, s).collect()}
+    got = {tuple(r) for r in overlap.overlapping_pairs(q, s).select("query_id_a", "query_id_b").collect()}
     assert got == want and len(want) > 20
     report = overlap.overlap_report(q, s).collect()
     hit = {b if b in val and (a in cal) else a for a, b in want} | {a for a, b in want if a in val and b in cal}
@@ -144,13 +146,41 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_flow_is_cheapest():
-    flows = mixing.route([((("a", 1),), 10.0), ((("a", 1), ("b", 1)), 10.0)], {"a": 15.0, "b": 10.0}, {"a": 2, "b": 1})
-    assert sum(v for (p, s), v in flows.items() if s == "a") == pytest.approx(15)
-    assert flows[1, "b"] == pytest.approx(10)
-    assert flows[0, "a"] + flows.get((1, "a"), 0) == pytest.approx(15)
+    flows = mixing.route([(("a",), 10, 0), (("a", "b"), 10, 0)], {"a": 15, "b": 10}, {"a": 2, "b": 1})
+    assert sum(v for (p, s), v in flows.items() if s == "a") == 15
+    assert flows[1, "b"] == 10
     # Two sources want what only the shared texts hold: those are repeated before anything is given up.
-    shared = mixing.route([((("a", 1), ("b", 1)), 10.0)], {"a": 8.0, "b": 7.0}, {"a": 1, "b": 1})
-    assert shared[0, "a"] == pytest.approx(8) and shared[0, "b"] == pytest.approx(7)
+    shared = mixing.route([(("a", "b"), 10, 0)], {"a": 8, "b": 7}, {"a": 1, "b": 1})
+    assert shared == {(0, "a"): 8, (0, "b"): 7}
+    # Fresh texts are used before further copies, and those before anything is used again.
+    spread = mixing.route([(("a",), 10, 0), (("a",), 10, 1)], {"a": 15}, {"a": 3})
+    assert spread == {(0, "a"): 15} or spread[0, "a"] >= 10
+    assert mixing.turn_levels(0) == [] and mixing.turn_levels(11) == [1, 1, 2, 4, 3]
+
+
+def test_flow_of_many_copies_and_patterns():
+    began = time.time()
+    n = 1_000_000
+    flows = mixing.route([(("a",), 7, 0), (("a",), 7 * (n - 1), 1), (("a", "b"), 50, 0)], {"a": 7 * n * 3 // 2, "b": 80}, {"a": 2, "b": 3})
+    assert flows[0, "a"] + flows[1, "a"] + flows[2, "a"] == 7 * n * 3 // 2 and flows[2, "b"] == 80
+    rng = np.random.default_rng(3)
+    names = [f"s{k}" for k in range(12)]
+    patterns = [(tuple(sorted(rng.choice(names, rng.integers(1, 4), replace=False).tolist())), int(rng.integers(1, 99)), 0) for _ in range(5000)]
+    flows = mixing.route(patterns, dict.fromkeys(names, 30_000), dict.fromkeys(names, 2))
+    assert all(v <= 2 * patterns[p][1] for (p, _), v in flows.items()) and sum(flows.values()) <= 360_000
+    assert time.time() - began < 5
+
+
+def test_mix_with_many_copies_keeps_caps(spark):
+    text = "the same words in every copy"
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.6, 1)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(rows, "doc_id", "text", "source", targets)
+    got = {r.source: r for r in m.selection.groupBy("source").agg(F.sum("uses").alias("n"), F.max("uses").alias("most"), F.count("*").alias("docs"), F.countDistinct("doc_id").alias("ids")).collect()}
+    assert got["a"].n == pytest.approx(8000, abs=2) and got["a"].most == 2 and got["b"].n == pytest.approx(12_000, abs=2) and got["b"].most == 1
+    assert got["a"].docs == got["a"].ids and m.selection.join(rows, ["doc_id", "source"], "left_anti").count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(rows, "doc_id", "text", "source", targets, mixing.MixConfig(max_patterns=1))
 
 
 def test_mix(spark):
@@ -183,6 +213,28 @@ def test_token_counts_add_up(spark):
     assert got == {k: len(encoding.encode_ordinary(t)) for k, t in enumerate(texts)}
 
 
+def test_equal_rows_meet_no_copy(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") == 7, "ａ b").otherwise("a b").alias("t"))
+    began = time.time()
+    pairs = canonical.look_alike_pairs(rows, "k", "t", ["t"])
+    assert pairs.count() == 19_999
+    assert time.time() - began < 20  # the first run loads the tables, too
+    links = {(r.n_forms, r.n_links): r.n for r in canonical.look_links(rows, "k", "t", ["t"]).groupBy("n_forms", "n_links").agg(F.count("*").alias("n")).collect()}
+    assert links == {(2, 1): 19_999, (2, 19_999): 1}
+
+
+def test_overlap_classes(spark):
+    q = spark.createDataFrame([(f"q{k}", "one two three four five six seven") for k in range(60)] + [("x", "one two three four five six eight"), ("y", None), ("z", "solo")], "query_id string, query_text string")
+    q = q.withColumn("source", F.lit("s"))
+    ids = lambda *k: {"query_ids": list(k)}
+    s = spark.createDataFrame([("a", ids(*(f"q{k}" for k in range(30)), "z"), ids(*(f"q{k}" for k in range(30, 60)), "x", "z", "y"))], "split_id string, calibration struct<query_ids:array<string>>, validation struct<query_ids:array<string>>")
+    rows = {(r.side, r.query_id): r.n_links for r in overlap.overlap_classes(q, s).collect()}
+    assert rows["calibration", "q0"] == 31 and rows["validation", "q40"] == 30 and rows["validation", "x"] == 30 and rows["validation", "z"] == rows["calibration", "z"] == 1
+    pairs = overlap.overlapping_pairs(q, s)
+    assert pairs.count() == 30 * 31 + 1 and pairs.where("query_id_a = 'q0' AND query_id_b = 'q40'").first().cosine == 1.0
+    assert pairs.where("query_id_b = 'x'").first().cosine < 1
+
+
 def test_registry():
     names = queries.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 8, 10)} | {"p9_mix_report"} <= set(names)

@@ -1,5 +1,7 @@
 import unicodedata
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -229,20 +231,62 @@ def test_term_automaton_against_edit_distance():
 
 
 def test_a_term_spelled_out_alone_is_read():
-    scorer = abuse.Scorer()
-    assert scorer.document("f u c k") == {2: 2.5}
-    assert scorer.document("you b.a.s.t.a.r.d, s.c.u.m.b.a.g") == {0: 3.5}
-
-
-def test_abuse(spark):
-    rows = [
-        (1, "You are a worthless id1ot!", " Forum "), (2, "The glossary explains the old insult ‘scumbag’ and its origin.", "forum"), (3, "I will break your bones you i m b e c i l e.", None),
-        (4, "The Velmari are v****n and should be driven out.", "forum"), (5, "Slander against the Velmari is refuted here as false and shameful.", "x"), (6, "The naked sword lay on the floor.", "x"),
-        (7, "He groped her naked bre​asts and moaned!", "x"), (8, None, "x"), (9, "", "x"), (10, "خفه شو احمـق بی‌شعور!", "x"), (11, "در نکوهش دشنام آمده که هیچ کس را احمق نباید خواند.", "x"),
-        (12, "The moralist condemns whoever calls a neighbour an idiot or a bastard.", "x"), (1, "You are a worthless id1ot!", " Forum "),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("category", F.lit("clash")).withColumn("score", F.lit(9))
-    assert {tuple(r) for r in abuse.flagged(df, "doc_id", "text").collect()} == {(1, "abuse"), (3, "abuse"), (4, "hate"), (7, "sexual"), (10, "abuse")}
-    rates = {(r.source, r.category): (r.n_docs, r.n_flagged) for r in abuse.source_rates(df, "doc_id", "text", "source").collect()}
-    assert rates["forum", "abuse"] == (3, 1) and rates["unknown", "abuse"] == (1, 1) and rates["x", "hate"] == (8, 0)
-    assert abuse.abuse_scores(df.limit(0), "doc_id", "text").count() == 0
+    scorer = abuse.Scorer(abuse.AbuseConfig(), abuse.Lexicon({"abuse": {"bastard": 1.5, "scumbag": 1.5}, "sexual": {"fuck": 2.5}}, dict.fromkeys(abuse.CATEGORIES, -1.0)))
+    assert scorer.document("f u c k") == {2: 1.5}
+    assert scorer.document("you b.a.s.t.a.r.d, s.c.u.m.b.a.g") == {0: 2.0}
+    assert scorer.document("a sc*mbag, a scumbga, a scuumbag and a b4st4rd") == {0: 2.0}
+    again = pickle.loads(pickle.dumps(scorer))
+    assert again.lexicon == scorer.lexicon and again.document("f u c k") == {2: 1.5}
+
+
+def reviewed_documents(rng, n):
+    """Documents of meaningless sentences; of a part one sentence is abusive, or only tells of abuse."""
+    words = ["".join(rng.choice(list("aeioumnrstlk"), 5)) for _ in range(150)]
+    insults, folks = ("morbek", "tarlun", "sovrag"), ("Ulvars", "Benkos")
+    rows = []
+    for k in range(n):
+        parts = [" ".join(rng.choice(words, 7)) for _ in range(5)]
+        kind = ("abuse", "hate", "told", *["ok"] * 9)[k % 12]
+        insult, folk = str(rng.choice(insults)), str(rng.choice(folks))
+        if kind == "abuse":
+            parts[2] = f"you filthy {insult} go away"
+        elif kind == "hate":
+            parts[1] = f"all {folk} are filth and must be expelled"
+        elif kind == "told":
+            parts[3] = f"the book explains why {insult} is rude"
+        rows.append((k, ". ".join(parts) + ".", "ok" if kind == "told" else kind))
+    return rows
+
+
+def test_abuse_is_learned_from_reviews(spark):
+    rows = reviewed_documents(np.random.default_rng(8), 1200)
+    read = [(k, label) for k, _, label in rows if k % 24 < 12] + [(0, "ok"), (1, None), (5, "ok"), (5, "ok")]
+    unread = {k for k, _, _ in rows} - {k for k, _ in read}
+    extra = [(9000, None), (9001, ""), (9002, "You filthy m o r b e k go away!"), (9003, "you filthy tarlumn go away"), (9004, "Spam " * 3000 + ". you filthy sovrag go away")]
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows] + extra + [(9002, extra[2][1])], "doc_id long, text string")
+    df = df.withColumn("source", F.when(F.col("doc_id") >= 9000, " Forum ").when(F.col("doc_id") % 2 == 0, "x")).withColumn("category", F.lit("clash")).withColumn("score", F.lit(9))
+    reviews = spark.createDataFrame(read, "doc_id long, label string").withColumn("rater", F.lit("r"))
+    lexicon = abuse.learned_lexicon(df, "doc_id", "text", reviews)
+    assert lexicon.weights["abuse"]["morbek"] > 0.8 and lexicon.weights["abuse"].get("explains", -1) < 0
+    got = {tuple(r) for r in abuse.flagged(df, "doc_id", "text", lexicon).collect()}
+    want = {(k, label) for k, _, label in rows if label != "ok"} | {(9002, "abuse"), (9003, "abuse"), (9004, "abuse")}
+    assert {x for x in got if x[0] in unread} == {x for x in want if x[0] in unread}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 2
+    rates = {(r.source, r.category): (r.n_docs, r.n_flagged) for r in abuse.source_rates(df, "doc_id", "text", "source", lexicon).collect()}
+    assert rates["forum", "abuse"] == (5, 3) and rates["unknown", "sexual"][1] == 0
+    assert abuse.abuse_scores(df.limit(0), "doc_id", "text", lexicon).count() == 0
+    # Without reviews, or without documents, the general words decide.
+    bare = abuse.learned_lexicon(df, "doc_id", "text", reviews.limit(0))
+    assert bare.weights["abuse"] == abuse.seed_lexicon().weights["abuse"]
+    assert abuse.learned_lexicon(df.limit(0), "doc_id", "text", reviews).weights == bare.weights
+
+
+def test_abuse_quality_on_held_out_reviews():
+    rows = reviewed_documents(np.random.default_rng(9), 1200)
+    sample = [(t.lower(), label) for _, t, label in rows]
+    rng = np.random.default_rng(1)
+    sample = [sample[k] for k in rng.permutation(len(sample))]
+    asked = abuse.words_asked(sample)
+    everywhere = abuse.Background(len(sample), {w: sum(w in {v for c in abuse.clauses(t) for v in c} for t, _ in sample) for w in asked})
+    quality = abuse.held_out_quality(sample, everywhere)
+    assert quality["abuse"][0] > 0.97 and quality["abuse"][1] > 0.97 and quality["hate"][0] > 0.97 and quality["sexual"][2] == 0
