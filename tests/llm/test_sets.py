@@ -68,36 +68,54 @@ def direct_walk(values, config):
     m = np.zeros((n, n))
     for k in range(s):
         v = np.where(np.isnan(values[:, k]), -np.inf, values[:, k])
-        better = v[None, :] > v[:, None]
-        m += better / n + np.diag(1 - better.sum(1) / n)
+        better = (v[None, :] > v[:, None]).astype(float)
+        if config.jump == "draw":
+            m += better / n + np.diag(1 - better.sum(1) / n)
+        else:
+            m += np.where(better.sum(1, keepdims=True) > 0, better / np.maximum(1, better.sum(1, keepdims=True)), np.eye(n))
     for _ in range(config.steps):
         p = (1 - config.damping) / n + config.damping * (p @ m) / s
     return p
 
 
-def test_walk_against_matrix(spark):
+@pytest.mark.parametrize("jump", ["draw", "higher"])
+def test_walk_against_matrix(jump):
     rng = np.random.default_rng(4)
-    config = rankwalk.RankWalkConfig()
+    config = rankwalk.RankWalkConfig(jump=jump)
     groups = [rng.integers(0, 6, (n, 3)).astype(float) for n in (1, 2, 7, 13)]
     groups[2][3, 1] = groups[3][0, 0] = np.nan
     off = np.cumsum([0] + [len(g) for g in groups])
-    got = rankwalk.stationary(np.concatenate(groups), off, config)
+    got, ahead = rankwalk.stationary(np.concatenate(groups), off, config)
     for g, a, b in zip(groups, off, off[1:]):
-        assert got[a:b] == pytest.approx(direct_walk(g, config), abs=1e-12)
-    assert rankwalk.stationary(np.zeros((0, 3)), np.zeros(1, np.int64)).size == 0
+        assert got[a:b] == pytest.approx(direct_walk(g, config), abs=1e-11)
+        v = np.where(np.isnan(g), -np.inf, g)
+        assert ahead[a:b].tolist() == (v[None] > v[:, None]).sum((1, 2)).tolist()
+    assert rankwalk.stationary(np.zeros((0, 3)), np.zeros(1, np.int64))[0].size == 0
+    with pytest.raises(ValueError):
+        rankwalk.RankWalkConfig(jump="far")
 
 
-def test_large_groups_walk_the_same(spark):
+@pytest.mark.parametrize("jump", ["draw", "higher"])
+def test_large_groups_walk_the_same(spark, jump):
     rng = np.random.default_rng(5)
-    rows = [(q, f"p{k:02d}", *(None if rng.random() < 0.2 else float(rng.integers(0, 9)) for _ in range(3))) for q, n in (("a", 30), ("b", 5), (None, 3)) for k in range(n)]
+    rows = [(q, f"p{k:02d}", *(None if rng.random() < 0.2 else float(rng.integers(0, 9)) for _ in range(3))) for q, n in (("a", 30), ("b", 5), (None, 13)) for k in range(n)]
     df = spark.createDataFrame(rows + rows[:4], "q string, p string, x double, y double, z double").withColumn("score", F.lit(1)).withColumn("size", F.lit(2))
     scores = [("x", True), ("y", False), ("z", True)]
-    small = {(r.q, r.p): (round(r.stationarity, 9), r.walk_rank) for r in rankwalk.rank_walk(df, "q", "p", scores, rankwalk.RankWalkConfig(steps=6)).collect()}
-    large = {(r.q, r.p): (round(r.stationarity, 9), r.walk_rank) for r in rankwalk.rank_walk(df, "q", "p", scores, rankwalk.RankWalkConfig(steps=6, group_limit=10, blocks=4, checkpoint_every=3)).collect()}
-    assert small == large and len(small) == 38
+    small, large = (
+        {(r.q, r.p): (round(r.stationarity, 9), round(r.mean_rank, 6), r.walk_rank) for r in rankwalk.rank_walk(df, "q", "p", scores, c).collect()}
+        for c in (rankwalk.RankWalkConfig(steps=5, jump=jump), rankwalk.RankWalkConfig(steps=5, jump=jump, group_limit=10, blocks=4, checkpoint_every=3))
+    )
+    assert small == large and len(small) == 48
     assert rankwalk.first_places(df.limit(0), "q", "p", scores).count() == 0
 
 
+def test_ties_go_by_mean_rank_then_item(spark):
+    rows = [("q", x, 1.0, 1.0) for x in "cab"] + [("r", "z", None, None), ("r", "y", None, float("nan"))]
+    df = spark.createDataFrame(rows, "q string, p string, x double, y double")
+    got = {(r.q, r.p): (r.walk_rank, r.mean_rank) for r in rankwalk.rank_walk(df, "q", "p", [("x", True), ("y", True)]).collect()}
+    assert got == {("q", "a"): (1, 1.0), ("q", "b"): (2, 1.0), ("q", "c"): (3, 1.0), ("r", "y"): (1, 1.0), ("r", "z"): (2, 1.0)}
+
+
 def test_range_does_not_dominate(spark):
     rows = [("q", "steady", 2.0, 2.0, 2.0), ("q", "outlier", 9.0, 9.0, 1e9), ("q", "two", 1.0, 1.0, None), ("q", "rest", 5.0, 6.0, 1.0), ("q", "last", 7.0, 8.0, 0.5)]
     df = spark.createDataFrame(rows, "q string, p string, a double, b double, f double")
