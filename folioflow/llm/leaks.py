@@ -3,13 +3,16 @@
 Method: q-gram lemma filtering. Documents and held-out items are folded to streams of letters and digits; q-grams
 that a document shares with an item are counted in overlapping bands of diagonals (document position less item
 position). A run of half of an item's words with at most k edits shares at least L - q + 1 - kq of its q-grams
-within one band, L being the length of the shortest such run; only bands that reach this are aligned, within the
-band, and the aligned run is measured in whole words.
+within one band, L being the length of the shortest such run; only bands that reach this are aligned. The alignment
+starts from every exact run of q letters and is led on to both sides over the diagonals of the band, letter by letter
+equal but for k edits (exchanged, missing or surplus letters); what it covers is measured in whole words. The longest
+run without an edit is measured beside it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioflow.functions import arrowtext as at
 from folioflow.llm import canonical
@@ -29,6 +33,7 @@ class LeakConfig:
     edits: int = 2  # edit budget of a run
     band: int = 8  # diagonals of a band; bands overlap by half
     share: float = 0.5  # of an item's words in one unbroken run
+    hits_at_once: int = 2_000_000  # shared q-grams that are spelled out together
     max_items: int = 100_000  # the held-out set goes to every worker; a larger one is refused
 
 
@@ -55,7 +60,20 @@ def fold_table() -> canonical.Gather:
     return canonical.Gather(rules)
 
 
+#: Page and milestone markers, which stand within the running text.
+MARKERS = re.compile(r"PageV\d+P\d+|(?<![^\W_])ms\d+(?![^\W_])", re.I)
+
+
 def fold(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and digits of every row in folded form, without inline markers."""
+    gone = None
+    for m in MARKERS.finditer(at.to_str(cp)) if (cp == ord("m")).any() or (cp == ord("P")).any() else ():
+        a, b = m.span()
+        if np.searchsorted(off, a, "right") == np.searchsorted(off, b - 1, "right"):  # within one row
+            gone = np.ones(len(cp), bool) if gone is None else gone
+            gone[a:b] = False
+    if gone is not None:
+        cp, off = cp[gone], at.offsets_of(at.segment_sums(gone, off))
     return fold_table()(cp, off)
 
 
@@ -94,6 +112,7 @@ class Items:
     n_words: np.ndarray
     need: np.ndarray  # words of a run that counts
     least: np.ndarray  # q-grams that a band must share
+    edits: np.ndarray  # edits that this bound allows for
     grams: np.ndarray  # sorted hashes
     place: np.ndarray  # letter at which each begins
     table: np.ndarray  # bits of hashes that occur
@@ -140,12 +159,13 @@ def _indexed(q: int, members: list[tuple], config: LeakConfig) -> Items:
     off = at.offsets_of(np.array([len(s) for s in streams], np.int64))
     n_words = np.array([int(w[-1]) + 1 for w in words], np.int64)
     need = np.array([m[3] for m in members], np.int64)
-    least = np.zeros(len(kept), np.int64)
+    least, allowed = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
     hashes, place = [], []
     for k, stream in enumerate(streams):
         grams = members[k][4] - q + 1  # q-grams of the shortest run that counts
         edits = max(0, min(config.edits, (grams - 1) // q))
         least[k] = max(1, grams - edits * q)
+        allowed[k] = edits
         h = gram_hashes(stream, q)
         hashes.append(h)
         place.append(off[k] + np.arange(len(h)))
@@ -153,26 +173,37 @@ def _indexed(q: int, members: list[tuple], config: LeakConfig) -> Items:
     order = np.argsort(grams, kind="stable")
     table = np.zeros(1 << Items.BITS, bool)
     table[(grams >> np.uint64(64 - Items.BITS)).astype(np.int64)] = True
-    return Items(q, kept, np.concatenate(streams), off, np.concatenate(words), n_words, need, least, grams[order], where[order], table)
+    return Items(q, kept, np.concatenate(streams), off, np.concatenate(words), n_words, need, least, allowed, grams[order], where[order], table)
+
+
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
+def hits(cp: np.ndarray, off: np.ndarray, items: Items, limit: int) -> Iterator[Hits]:
+    """(document position, item position, document) of every shared q-gram; q-grams don't cross documents.
 
-def hits(cp: np.ndarray, off: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document position, item position, document) of every shared q-gram; q-grams don't cross documents."""
+    A q-gram that many items hold meets them all, so what is spelled out at a time is bounded: whole documents of
+    together about ``limit`` hits.
+    """
     h = gram_hashes(cp, items.q)
     if not len(h) or not len(items.grams):
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return
     maybe = np.flatnonzero(items.table[(h >> np.uint64(64 - Items.BITS)).astype(np.int64)])
     lo = np.searchsorted(items.grams, h[maybe], "left")
     hi = np.searchsorted(items.grams, h[maybe], "right")
-    count = hi - lo
-    real = count > 0
-    maybe, lo, count = maybe[real], lo[real], count[real]
     doc = np.searchsorted(off, maybe, "right") - 1
-    inside = maybe + items.q <= off[doc + 1]
-    maybe, lo, count, doc = maybe[inside], lo[inside], count[inside], doc[inside]
-    pick = np.repeat(lo - at.offsets_of(count)[:-1], count) + np.arange(count.sum())
-    return np.repeat(maybe, count), items.place[pick], np.repeat(doc, count)
+    real = (hi > lo) & (maybe + items.q <= off[doc + 1])
+    maybe, lo, count, doc = maybe[real], lo[real], (hi - lo)[real], doc[real]
+    total = np.cumsum(count)
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(doc):
+        within = ends[(ends > a) & (total[ends - 1] <= (total[a - 1] if a else 0) + limit)]
+        b = int(within[-1]) if len(within) else int(ends[np.searchsorted(ends, a, "right")])
+        n = count[a:b]
+        pick = np.repeat(lo[a:b] - at.offsets_of(n)[:-1], n) + np.arange(n.sum())
+        yield np.repeat(maybe[a:b], n), items.place[pick], np.repeat(doc[a:b], n)
+        a = b
 
 
 def bands(pos: np.ndarray, place: np.ndarray, doc: np.ndarray, items: Items, config: LeakConfig) -> list[tuple[int, int, int, int, int]]:
@@ -198,31 +229,71 @@ def bands(pos: np.ndarray, place: np.ndarray, doc: np.ndarray, items: Items, con
     return [(*map(int, key[a]), int(both[a]), int(both[b])) for a, b in zip(first[enough], last[enough])]
 
 
-def aligned_words(cp: np.ndarray, begin: int, end: int, item: int, low: int, items: Items, config: LeakConfig) -> int:
-    """The most consecutive words of the item that agree letter by letter with the document on one diagonal path of
-    the band; a path may change diagonals (an edit) only between runs."""
+@dataclass(frozen=True)
+class Aligned:
+    exact: int  # words of the longest run without an edit
+    words: int  # words that the best alignment covers
+    edits: int  # and its edits
+
+
+def _whole_words(word: np.ndarray, a: int, b: int) -> int:
+    """Words that lie wholly within letters a to b of an item."""
+    if b <= a:
+        return 0
+    first = word[a] + (a > 0 and word[a - 1] == word[a])
+    last = word[b - 1] - (b < len(word) and word[b] == word[b - 1])
+    return max(0, int(last - first) + 1)
+
+
+def banded_alignment(cp: np.ndarray, begin: int, end: int, item: int, low: int, items: Items, config: LeakConfig) -> Aligned:
+    """The best alignment of an item with the document positions from ``begin`` to ``end`` within a band of diagonals."""
     a, b = items.off[item], items.off[item + 1]
-    text, word = items.cp[a:b], items.word[a:b]
-    best = 0
-    for diagonal in range(low, low + config.band):
-        shift = diagonal + a  # document position of the item's first letter
-        lo, hi = max(0, begin - shift), min(len(text), end - shift)
-        if hi - lo < items.q:
-            continue
-        same = np.concatenate(([False], cp[shift + lo : shift + hi] == text[lo:hi], [False]))
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        for s, e in zip(edge[::2] + lo, edge[1::2] + lo):
-            whole_first = word[s] + (s > 0 and word[s - 1] == word[s])
-            whole_last = word[e - 1] - (e < len(word) and word[e] == word[e - 1])
-            best = max(best, int(whole_last - whole_first) + 1)
+    text, word, k = items.cp[a:b], items.word[a:b], int(items.edits[item])
+    n, width = len(text), config.band
+    at_ = np.arange(n)[None, :] + (np.arange(low, low + width) + a)[:, None]  # document position of each item letter
+    inside = (at_ >= begin) & (at_ < end)
+    same = inside & (cp[np.clip(at_, 0, len(cp) - 1)] == text[None, :])
+    # Equal letters from each place on to the right and to the left.
+    place = np.arange(n)[None, :]
+    stop = np.minimum.accumulate(np.where(same, n, place)[:, ::-1], axis=1)[:, ::-1]
+    right = np.concatenate((stop - place, np.zeros((width, 1), np.int64)), 1)
+    stop = np.maximum.accumulate(np.where(same, -1, place), axis=1)
+    left = np.concatenate((np.zeros((width, 1), np.int64), place - stop), 1)  # of the letters before each place
+    starts = same & np.concatenate((np.ones((width, 1), bool), ~same[:, :-1]), 1) & (right[:, :-1] >= items.q)
+    best = Aligned(0, 0, 0)
+    for d, s in zip(*map(np.ndarray.tolist, np.nonzero(starts))):
+        e = s + int(right[d, s])
+        exact = _whole_words(word, s, e)
+        ends, begins = _reach(d, e, 1, right, n, width, k), _reach(d, s, -1, left, n, width, k)
+        found = max((_whole_words(word, begins[j], ends[i]), -i - j) for j in range(k + 1) for i in range(k + 1 - j))
+        best = Aligned(max(best.exact, exact), *max((best.words, -best.edits), found))
+        best = Aligned(best.exact, best.words, abs(best.edits))
     return best
 
 
+def _reach(diagonal: int, start: int, step: int, run: np.ndarray, n: int, width: int, edits: int) -> list[int]:
+    """The furthest letter of the item that is reached from a place with 0, 1, ... edits, going right or left."""
+    front = {diagonal: start}
+    out = [start]
+    for _ in range(edits):
+        following: dict[int, int] = {}
+        for d, i in front.items():
+            # A letter exchanged, a surplus letter of the document, a letter of the item missing.
+            for d2, i2 in ((d, i + step), (d + step, i), (d - step, i + step)):
+                if 0 <= d2 < width and 0 <= i2 <= n:
+                    i2 += step * int(run[d2, i2])
+                    if d2 not in following or step * i2 > step * following[d2]:
+                        following[d2] = i2
+        front = following
+        out.append(max(front.values(), default=out[-1]) if step > 0 else min(front.values(), default=out[-1]))
+    return out
+
+
 def leaks(
     documents: DataFrame, key: str, text: str, held_out: DataFrame, item: str, item_text: str, config: LeakConfig = LeakConfig()
 ) -> DataFrame:
-    """item, key, words (of the longest unbroken run) and item_words for every item of which a document holds an
-    unbroken run of at least ``share`` of the words.
+    """item, key, words (of the longest unbroken run), aligned_words (with at most ``edits`` edits), n_edits and
+    item_words for every item of which a document holds a run of at least ``share`` of the words, edits allowed for.
 
     Case, punctuation, marks, line breaks, spaces, vowel signs, letter variants and invisible differences don't count.
     The held-out set is a stated query set of at most ``max_items`` texts (checked) and goes to every worker; all
@@ -234,34 +305,32 @@ def leaks(
     held = prepare(sorted((tuple(r) for r in rows), key=lambda r: (str(r[0]), r[1] or "")), config)
     shared = documents.sparkSession.sparkContext.broadcast(held)
     kind = held_out.schema[item].dataType
-    schema = T.StructType([T.StructField(item, kind), documents.schema[key], T.StructField("words", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
+    schema = T.StructType([T.StructField(item, kind), documents.schema[key], *(T.StructField(c, T.IntegerType()) for c in ("words", "aligned_words", "n_edits", "item_words"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in at.slices(batch, [text]):
                 cp, off = fold(*at.decode(part.column(1)))
                 for items in shared.value:
-                    found: dict[tuple[int, int], int] = {}
-                    for doc, k, low, first, last in bands(*hits(cp, off, items), items, config):
-                        slack = config.edits + config.band + items.q * 40
-                        begin, end = max(int(off[doc]), first - slack), min(int(off[doc + 1]), last + items.q + slack)
-                        n = aligned_words(cp, begin, end, k, low, items, config)
-                        if n >= items.need[k] and n > found.get((doc, k), 0):
-                            found[doc, k] = n
+                    found: dict[tuple[int, int], Aligned] = {}
+                    for chunk in hits(cp, off, items, config.hits_at_once):
+                        for doc, k, low, first, last in bands(*chunk, items, config):
+                            slack = config.edits + config.band + items.q * 40
+                            begin, end = max(int(off[doc]), first - slack), min(int(off[doc + 1]), last + items.q + slack)
+                            n = banded_alignment(cp, begin, end, k, low, items, config)
+                            if n.words >= items.need[k]:
+                                have = found.get((doc, k), n)
+                                better = max(have, n, key=lambda x: (x.words, -x.edits))
+                                found[doc, k] = Aligned(max(have.exact, n.exact), better.words, better.edits)
                     if found:
                         docs, ks = np.array(list(found)).T
+                        columns = [[getattr(x, c) for x in found.values()] for c in ("exact", "words", "edits")]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([items.ids[k] for k in ks], T_arrow(kind)), part.column(0).take(pa.array(docs)),
-                                pa.array(list(found.values()), pa.int32()), pa.array(items.n_words[ks].astype(np.int32)),
+                                pa.array([items.ids[k] for k in ks], to_arrow_type(kind)), part.column(0).take(pa.array(docs)),
+                                *(pa.array(c, pa.int32()) for c in columns), pa.array(items.n_words[ks].astype(np.int32)),
                             ],
                             names=schema.names,
                         )
 
     return documents.select(key, text).mapInArrow(run, schema)
-
-
-def T_arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)

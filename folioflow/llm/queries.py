@@ -106,16 +106,18 @@ def p7_sentences(spark: SparkSession, at: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
     found = leaks.leaks(table(spark, at, "documents"), "doc_id", "text", table(spark, at, "heldout_items"), "item_id", "text")
-    return found.select("item_id", "doc_id").distinct()
+    # The alignment allows for edits; what is asked for here is an unbroken run.
+    return found.where("2 * words >= item_words").select("item_id", "doc_id").distinct()
 
 
 def p8_leaked_items(spark: SparkSession, at: str) -> DataFrame:
-    """Per held-out split and item: documents that hold it and the longest run of its words."""
+    """Per held-out split and item: documents that hold at least half of it, edits allowed for, the largest share of its
+    words in one run, and how many documents hold that much without an edit."""
     items = table(spark, at, "heldout_items")
     found = leaks.leaks(table(spark, at, "documents"), "doc_id", "text", items, "item_id", "text")
-    per = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max(F.round(F.col("words") / F.col("item_words"), 6)).alias("largest_share"))
+    per = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max(F.round(F.col("aligned_words") / F.col("item_words"), 6)).alias("largest_share"), F.countDistinct(F.when(F.expr("2 * words >= item_words"), F.col("doc_id"))).alias("n_unbroken"))
     out = items.select("item_id", "split").join(per, "item_id", "left")
-    return out.select("item_id", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("largest_share", F.lit(0.0)).alias("largest_share"))
+    return out.select("item_id", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_unbroken", F.lit(0)).alias("n_unbroken"), F.coalesce("largest_share", F.lit(0.0)).alias("largest_share"))
 
 
 def p9_mix_report(spark: SparkSession, at: str) -> DataFrame:
