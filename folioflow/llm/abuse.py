@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,7 @@ class Memory(dict):
 @dataclass(frozen=True)
 class AbuseConfig:
     threshold: float = 0.0  # log odds from which a window counts
+    shown_from: float = -1.0  # log odds from which a score is shown at all
     window: int = 12  # words within which evidence adds up
     reach: int = 6  # words around it in which context may deny it
     fuzzy_from: int = 5  # letters from which a term may be misspelled by one edit
@@ -72,7 +73,7 @@ class AbuseConfig:
     cache: int = 400_000  # words a worker remembers
     # Bounds of the reviewed sample and settings of fitting
     labelled: int = 1500  # reviewed documents of each category ...
-    clean: int = 4000  # ... those reviewed as clean ...
+    clean: int = 8000  # ... those reviewed as clean ...
     unread: int = 4000  # ... those not reviewed ...
     chars_per_text: int = 20_000  # ... and code points of each
     least_documents: int = 2  # reviewed documents of a category that must hold a new word
@@ -86,9 +87,10 @@ class AbuseConfig:
     spread: float = 1.0  # standard deviation of weights around where they start
     passes: int = 2  # the later ones with unread documents that are beyond doubt
     beyond_doubt: float = 1.5  # log odds above the threshold
+    plateau: float = 0.004  # thresholds of so nearly the best quality are equally good; their middle is taken
     false_cost: float = 2.0  # of a clean document taken for abusive, against one missed
-    rounds: int = 4  # of choosing clauses and fitting weights
-    steps: int = 120  # of gradient descent in each
+    rounds: int = 3  # of choosing clauses and fitting weights
+    steps: int = 60  # of gradient descent in each
     kept: float = 0.1  # weights nearer to 0 are dropped
 
 
@@ -184,6 +186,8 @@ def seed_lexicon(config: AbuseConfig = AbuseConfig()) -> Lexicon:
 
 def split_words(clause: str) -> list[str]:
     """Words of a clause; a run of a script without spaces gives its pairs of letters."""
+    if not WIDE.search(clause):
+        return TOKEN.findall(clause)
     out = []
     for w in TOKEN.findall(clause):
         if len(w) > 2 and WIDE.search(w):
@@ -193,10 +197,14 @@ def split_words(clause: str) -> list[str]:
     return out
 
 
+def joined(text: str) -> str:
+    """The text with spelled-out words joined."""
+    return SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
+
+
 def clauses(text: str) -> list[list[str]]:
     """Words of every clause of a text in consistent form and lower case, spelled-out words joined first."""
-    text = SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
-    return [words for c in CLAUSE.split(text) if (words := split_words(c))]
+    return [words for c in CLAUSE.split(joined(text)) if (words := split_words(c))]
 
 
 class Scorer:
@@ -241,11 +249,24 @@ class Scorer:
         return tuple(found)
 
     def document(self, text: str) -> dict[int, float]:
-        """Best log odds of each category over the clauses of a text, where any word of it speaks for the category."""
+        """Best log odds of each category over the clauses of a text, where they reach ``shown_from``.
+
+        No clause can reach more than all distinct words of the text together, so most texts need no second look.
+        """
+        text = joined(text)
+        terms = {t for ts in filter(None, map(self.memory.__getitem__, set(split_words(text)))) for t in ts}
+        most = list(self.bias)
+        for t in terms:
+            for k, w in self.weights[t]:
+                if w > 0:
+                    most[k] += w
+        least = self.config.shown_from
+        if max(most) < least:
+            return {}
         best: dict[int, float] = {}
-        for words in clauses(text):
-            for k, score in self.clause(words).items():
-                if score > best.get(k, -99.0):
+        for part in CLAUSE.split(text):
+            for k, score in self.clause(split_words(part)).items():
+                if score >= least and score > best.get(k, -99.0):
                     best[k] = score
         return best
 
@@ -289,114 +310,145 @@ def words_asked(reviews: list[tuple[str, str]], config: AbuseConfig = AbuseConfi
     return {w for counts in seen.values() for w, n in counts.items() if n >= config.least_documents and not w.isdigit()}
 
 
-Parts = list[list[str]]  # the clauses of a document
+class Sample:
+    """Reviewed documents as clauses, with the words of all clauses as numbers, so that most clauses are passed over by
+    a few array operations."""
+
+    def __init__(self, reviews: list[tuple[str, str]]) -> None:
+        self.label = np.array([label for _, label in reviews], object)
+        self.parts: list[list[str]] = []  # words of every clause
+        owner = []
+        for d, (text, _) in enumerate(reviews):
+            for words in clauses(text):
+                self.parts.append(words)
+                owner.append(d)
+        self.owner = np.array(owner, np.int64)
+        ids: dict[str, int] = {}
+        self.flat = np.array([ids.setdefault(w, len(ids)) for words in self.parts for w in words], np.int64)
+        self.names = list(ids)
+        self.row = np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])
+        held = np.unique(self.owner[self.row] * (len(ids) + 1) + self.flat) if len(self.flat) else np.zeros(0, np.int64)
+        self.doc_of, self.word_of = held // (len(ids) + 1), held % (len(ids) + 1)  # distinct words of documents
+
+    def holding(self, docs: np.ndarray) -> np.ndarray:
+        """How many of the documents (a mask) hold each word."""
+        return np.bincount(self.word_of[docs[self.doc_of]], minlength=len(self.names))
+
+    def speaking(self, weights: np.ndarray, docs: np.ndarray, least: float) -> np.ndarray:
+        """Clauses of the documents whose words have at least this weight together."""
+        total = np.bincount(self.row, weights[self.flat], len(self.parts))
+        return np.flatnonzero((total >= least) & docs[self.owner])
+
+    def best(self, scorer: "Scorer", category: str, docs: np.ndarray, least: float) -> np.ndarray:
+        """Best log odds of each document's clauses; documents where none reaches ``least`` have -99."""
+        k = CATEGORIES.index(category)
+        gain = np.array([max((w for t in scorer.memory[n] for j, w in scorer.weights[t] if j == k and w > 0), default=0.0) for n in self.names])
+        out = np.full(len(self.label), -99.0)
+        for c in self.speaking(gain, docs, least - scorer.bias[k]).tolist():
+            z = scorer.clause(self.parts[c]).get(k, -99.0)
+            out[self.owner[c]] = max(out[self.owner[c]], z)
+        return np.where(out >= least, out, -99.0)
 
 
 def fit(reviews: list[tuple[str, str]], everywhere: Background, config: AbuseConfig = AbuseConfig()) -> Lexicon:
     """A lexicon from reviewed documents: (text in consistent form and lower case; category, 'ok' or 'unread').
 
-    A word becomes a candidate if documents of a category hold it far more often than the corpus does. The odds that
-    evidence must overcome are set on documents that took no part in fitting (two halves in turn). Unread documents
-    that are then beyond doubt join the category, and all is fitted again.
+    A word becomes a candidate if documents of a category hold it far more often than the corpus does, and no other
+    category's do. The odds that evidence must overcome are set on documents that took no part in fitting (two halves
+    in turn). Unread documents that are then beyond doubt join the category, and all is fitted again.
     """
-    held = [(clauses(t), label) for t, label in reviews]
-    others = [(parts, label) for parts, label in held if label not in CATEGORIES]
-    common = Counter(w for parts, _ in others for words in parts for w in words)
-    plain = frozenset(w for w, n in common.items() if n >= config.plain_count)
-    in_others = Counter(w for parts, _ in others for w in {w for words in parts for w in words})
+    sample = Sample(reviews)
+    others = ~np.isin(sample.label, CATEGORIES)
+    counts = np.bincount(sample.flat[others[sample.owner[sample.row]]], minlength=len(sample.names)) if len(sample.flat) else np.zeros(0)
+    plain = frozenset(n for n, k in zip(sample.names, counts) if k >= config.plain_count)
+    # Documents of the corpus that hold each word; of words that weren't counted there, as the sample has it.
+    guess = sample.holding(others) * everywhere.size / max(1, others.sum())
+    known = np.array([everywhere.holding.get(n, g) for n, g in zip(sample.names, guess)])
     # A document reviewed as one category may hold another, too: a word speaks for the category whose reviewed
     # documents hold it most often, and for others only where they hold it nearly as often.
-    rates: dict[str, dict[str, float]] = {}
-    for c in CATEGORIES:
-        docs = [parts for parts, label in held if label == c]
-        for w, n in Counter(w for parts in docs for w in {w for words in parts for w in words}).items():
-            rates.setdefault(w, {})[c] = (n + 0.5) / (len(docs) + 1)
+    rates = np.stack([(sample.holding(sample.label == c) + 0.5) / ((sample.label == c).sum() + 1) for c in CATEGORIES])
+    rates = np.where(np.stack([sample.holding(sample.label == c) > 0 for c in CATEGORIES]), rates, 0.0)
     weights, bias = {}, {}
-    for c in CATEGORIES:
-        mine = [parts for parts, label in held if label == c]
-        rest = others
-        foreign = {w for w, r in rates.items() if r.get(c, 0.0) < config.shared_rate * max(r.values())}
+    for k, c in enumerate(CATEGORIES):
+        mine, rest = sample.label == c, others.copy()
+        own = rates[k] >= config.shared_rate * rates.max(0)
         for turn in range(config.passes):
-            weights[c], bias[c] = _fitted(c, mine, rest, in_others, len(others), foreign, plain, everywhere, config)
+            weights[c], bias[c] = _fitted(c, sample, mine, rest, known, own, plain, everywhere.size, config)
             if turn + 1 < config.passes:
                 scorer = Scorer(config, Lexicon({c: weights[c]}, {c: bias[c]}, plain))
-                sure = [label == "unread" and _best(scorer, parts, c) >= config.beyond_doubt for parts, label in rest]
-                mine = mine + [parts for (parts, _), yes in zip(rest, sure) if yes]
-                rest = [x for x, yes in zip(rest, sure) if not yes]
+                unread = rest & (sample.label == "unread")
+                sure = unread & (sample.best(scorer, c, unread, config.beyond_doubt) >= config.beyond_doubt)
+                mine, rest = mine | sure, rest & ~sure
     return Lexicon(weights, bias, plain - {w for c in CATEGORIES for w, x in weights[c].items() if x >= config.fuzzy_weight})
 
 
-def _best(scorer: "Scorer", parts: Parts, category: str) -> float:
-    k = CATEGORIES.index(category)
-    return max((scorer.clause(words).get(k, -99.0) for words in parts), default=-99.0)
-
-
-def _fitted(category: str, mine: list[Parts], rest: list[tuple[Parts, str]], in_others: Counter, n_others: int, foreign: set[str], plain: frozenset[str], everywhere: Background, config: AbuseConfig) -> tuple[dict[str, float], float]:
+def _fitted(
+    category: str, sample: Sample, mine: np.ndarray, rest: np.ndarray, known: np.ndarray, own: np.ndarray, plain: frozenset[str], size: int, config: AbuseConfig
+) -> tuple[dict[str, float], float]:
     """Weights of a category and the bias at which documents that took no part in fitting are told apart best."""
     start = seed_lexicon(config).weights[category]
 
-    def told(docs: list[Parts]) -> dict[str, float]:
-        found = {}
-        for w, k in Counter(w for parts in docs for w in {w for words in parts for w in words}).items():
-            if k < config.least_documents or w in foreign or w.isdigit():
-                continue
-            known = everywhere.holding.get(w, in_others[w] * everywhere.size / max(1, n_others))
-            expected = len(docs) * (max(known, k) + 0.5) / (everywhere.size + 1)
-            odds = math.log(k / expected)
-            if odds >= config.least_odds and k * odds - (k - expected) >= config.least_surprise:
-                found[w] = min(3.0, odds)
-        return found
+    def told(docs: np.ndarray) -> dict[str, float]:
+        k = sample.holding(docs)
+        expected = docs.sum() * (np.maximum(known, k) + 0.5) / (size + 1)
+        odds = np.log(np.maximum(k, 1) / np.maximum(expected, 1e-9))
+        good = (k >= config.least_documents) & own & (odds >= config.least_odds) & (k * odds - (k - expected) >= config.least_surprise)
+        return {sample.names[w]: min(3.0, float(odds[w])) for w in np.flatnonzero(good) if not sample.names[w].isdigit()}
 
-    weights, bias = _fit_category(mine, rest, told(mine), start, plain, config)
+    if not mine.any() or not rest.any():
+        return dict(start), config.bias
+    weights, bias = _fit_category(sample, mine, rest, told(mine), start, plain, config)
     good, bad = [], []
+    at_ = np.arange(len(mine))
     for half in (0, 1):
-        w, b = _fit_category(mine[half::2], rest[half::2], told(mine[half::2]), start, plain, config)
+        side = np.zeros(len(mine), bool)
+        side[at_[mine][half::2]] = side[at_[rest][half::2]] = True
+        w, b = _fit_category(sample, mine & side, rest & side, told(mine & side), start, plain, config)
         scorer = Scorer(config, Lexicon({category: w}, {category: b}, plain))
-        good += [_best(scorer, parts, category) - b for parts in mine[1 - half :: 2]]
-        bad += [_best(scorer, parts, category) - b for parts, label in rest[1 - half :: 2] if label == "ok"]
-    if not good or not bad:
-        return weights, bias
-    good, bad = np.sort(good), np.sort(bad)
+        z = sample.best(scorer, category, ~side & (mine | rest), 0.2 + b) - b
+        good.append(z[mine & ~side])
+        bad.append(z[rest & ~side & (sample.label == "ok")])
+    good, bad = np.sort(np.concatenate(good)), np.sort(np.concatenate(bad))
     cuts = np.unique(np.concatenate((good, bad)))
     cuts = cuts[cuts > 0.2]
     if not len(cuts):
         return weights, bias
     hit, false = len(good) - np.searchsorted(good, cuts), len(bad) - np.searchsorted(bad, cuts)
     quality = hit / (hit + false * config.false_cost + (len(good) - hit) + 1e-9)
-    best = int(np.argmax(quality))
-    below = cuts[best - 1] if best else cuts[best] * 0.8
-    return weights, round(float(-(cuts[best] + below) / 2), 3)
+    near = np.flatnonzero(quality >= quality.max() - config.plateau)
+    lowest = cuts[near[0] - 1] if near[0] else cuts[0] * 0.8
+    return weights, round(float(-(lowest + cuts[near[-1]]) / 2), 3)
 
 
-def _fit_category(mine: list[Parts], others: list[tuple[Parts, str]], told: dict[str, float], start: dict[str, float], plain: frozenset[str], config: AbuseConfig) -> tuple[dict[str, float], float]:
+def _fit_category(
+    sample: Sample, mine: np.ndarray, others: np.ndarray, told: dict[str, float], start: dict[str, float], plain: frozenset[str], config: AbuseConfig
+) -> tuple[dict[str, float], float]:
     """Weights and bias of a category by penalized logistic regression on clauses, alternating with the choice of the
     clauses that bear the label. Only candidates and general words may speak for it; all other words may deny."""
-    if not mine or not others:
+    if not mine.any() or not others.any():
         return dict(start), config.bias
     # Misspelled words of the sample stand for the terms they resemble, as when scoring.
     terms_of = Scorer(config, Lexicon({"abuse": {**dict.fromkeys(told, 1.0), **{w: abs(x) for w, x in start.items()}}}, {}, plain)).memory
+    terms = [terms_of[n] for n in sample.names]
+    chosen = sample.speaking(np.array([float(bool(t)) for t in terms]), mine | others, 1.0)  # else nothing in it speaks for the category
+    if not len(chosen):
+        return dict(start), config.bias
+    terms_by_name = dict(zip(sample.names, terms))
     ids: dict[str, int] = {}
     rows: list[list[int]] = []  # words of each clause
-    owner: list[int] = []  # its document
-    for d, parts in enumerate([*mine, *(parts for parts, _ in others)]):
-        for words in parts:
-            terms = {t for w in words for t in terms_of[w]}
-            if terms:  # else nothing in it speaks for the category
-                rows.append([ids.setdefault(w, len(ids)) for w in terms.union(words) if not w.isdigit()])
-                owner.append(d)
-    if not rows:
-        return dict(start), config.bias
-    doc = np.array(owner)
-    flat, row = np.array([x for r in rows for x in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    for c in chosen.tolist():
+        words = sample.parts[c]
+        rows.append([ids.setdefault(w, len(ids)) for w in {t for w in words for t in terms_by_name[w]}.union(words) if not w.isdigit()])
+    doc = sample.owner[chosen]
+    flat, row = np.array([x for r in rows for x in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     names = list(ids)
     free = np.array([n in told or start.get(n, 0.0) > 0 for n in names])
     # A word of which little is seen stays where it started.
     prior = np.array([start[n] if n in start else min(1.0, told.get(n, 0.0) / 2) for n in names])
     w, b = prior.copy(), config.bias
-    positive = doc < len(mine)
-    unread = np.array([False] * len(mine) + [label == "unread" for _, label in others])[doc]
-    begins = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    of = np.cumsum(np.concatenate(([True], doc[1:] != doc[:-1]))) - 1
+    positive, unread = mine[doc], (sample.label[doc] == "unread") & ~mine[doc]
+    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
+    begins, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     for turn in range(config.rounds):
         z = np.bincount(row, w[flat], len(rows)) + b
         best = np.maximum.reduceat(z, begins)[of]
@@ -418,7 +470,7 @@ def _fit_category(mine: list[Parts], others: list[tuple[Parts, str]], told: dict
             g_w = np.bincount(flat, err[row], len(w)) + pull * (w - prior)
             g_b = err.sum() + pull * (b - config.bias)
             s_w, s_b = 0.9 * s_w + 0.1 * g_w**2, 0.9 * s_b + 0.1 * g_b**2
-            rate = 0.08 * (1 - step / config.steps) + 0.002
+            rate = 0.12 * (1 - step / config.steps) + 0.002
             w = w - rate * g_w / (np.sqrt(s_w) + 1e-9)
             b = b - rate * g_b / (math.sqrt(s_b) + 1e-9)
             w = np.where(free, w, np.minimum(w, 0.0))
@@ -452,16 +504,16 @@ def background(df: DataFrame, text: str, words: set[str]) -> Background:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        total = np.zeros(len(ids) + 1, np.int64)
+        asked_words = set(ids)
+        total = [0] * (len(ids) + 1)
         for batch in batches:
             for part in at.slices(batch, [text]):
                 for value in plain(part.column(0)):
                     total[len(ids)] += 1
-                    found = {ids[w] for words in clauses(value) for w in words if w in ids} if value else ()
-                    for k in found:
-                        total[k] += 1
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["at", "n"])
+                    for w in asked_words.intersection(split_words(joined(value))) if value else ():
+                        total[ids[w]] += 1
+        held = [k for k, n in enumerate(total) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([total[k] for k in held], pa.int64())], names=["at", "n"])
 
     sums = {r["at"]: r["n"] for r in df.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     return Background(sums.pop(len(asked), 0), {asked[k]: n for k, n in sums.items()})
@@ -499,7 +551,7 @@ def plain(col: pa.Array) -> list[str]:
 
 
 def abuse_scores(df: DataFrame, key: str, text: str, lexicon: Lexicon | None = None, config: AbuseConfig = AbuseConfig()) -> DataFrame:
-    """key, category, score (a probability) and flagged for every category that any word of the row's text speaks for.
+    """key, category, score (a probability) and flagged for every category whose log odds reach ``shown_from``.
 
     Null, empty and clean texts give no row; texts are read whole; repeated rows give repeated rows; other columns
     are not read. Without a lexicon the general words decide.
@@ -529,7 +581,7 @@ def abuse_scores(df: DataFrame, key: str, text: str, lexicon: Lexicon | None = N
 
 
 def flagged(df: DataFrame, key: str, text: str, lexicon: Lexicon | None = None, config: AbuseConfig = AbuseConfig()) -> DataFrame:
-    return abuse_scores(df, key, text, lexicon, config).where("flagged").select(key, "category").distinct()
+    return abuse_scores(df, key, text, lexicon, replace(config, shown_from=config.threshold)).where("flagged").select(key, "category").distinct()
 
 
 def source_rates(df: DataFrame, key: str, text: str, source: str, lexicon: Lexicon | None = None, config: AbuseConfig = AbuseConfig()) -> DataFrame:

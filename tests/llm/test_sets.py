@@ -185,7 +185,6 @@ def test_alignment_passes_over_edits(spark):
         if n:
             assert got[key].aligned_words == n and got[key].n_edits <= 1
             assert (2 * got[key].words >= 17) == (key[1] < 100)
-    assert sum(key in got for key, n in want.items() if n is None) < 5  # where the changed word is the last that is needed
     assert got[0, 999].words == 17
 
 
