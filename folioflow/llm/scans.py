@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
@@ -35,7 +35,9 @@ class ScanConfig:
     profiles: tuple[str, ...] = ("mixed_prose_ocr", "raw_ocr_reference")
     least_count: int = 4  # a word is known from so many occurrences ...
     least_share: float = 1e-6  # ... and this share of all words, so at most 1 / least_share words are kept
-    header_words: int = 6
+    header_words: int = 6  # of a running header at most ...
+    header_chars: int = 60  # ... and characters, its page number included
+    header_edits: int = 2  # by which a misread header may differ from one that recurs
     header_count: int = 2  # a header recurs so often in its version
     header_most: int = 1_000_000  # headers of all versions (checked)
     header_slack: int = 3  # characters that misreading may have added to the longest line
@@ -46,6 +48,7 @@ class ScanConfig:
     typical_ratio: float = 0.2  # of the rate of typical confusions
     bigram_share: float = 1e-6  # of all word pairs, so at most 1 / bigram_share pairs are kept
     certain: float = 0.85  # posterior from which a word counts as misread
+    sign_options: int = 6  # likeliest words for one with a sign in it that are weighed against the line
     misread_rate: float = 0.003  # share of words taken to be misread before any is seen
 
 
@@ -82,7 +85,7 @@ def shown(col: pa.Array) -> list[str]:
 
 def header_key(line: str, config: ScanConfig) -> tuple[str, bool] | None:
     """Letters of a line that may be a running header, and whether a page number stands at its edge."""
-    if len(line) > 60 or line.count(" ") > config.header_words + 3 or SENTENCE.search(line):
+    if len(line) > config.header_chars or line.count(" ") > config.header_words + 3 or SENTENCE.search(line):
         return None
     body = EDGE_NUMBER.sub(" ", line)
     numbered = body != line
@@ -110,8 +113,38 @@ def stands_apart(line: str, after: str | None, width: int) -> bool:
     return bool(words) and len(line.strip()) + 1 + len(words[0]) <= width
 
 
-def classify(text: str, headers: dict[str, int] | None, config: ScanConfig) -> list[Line]:
-    """Kinds of the lines of a text. headers: keys of the version's running headers; None while they aren't known."""
+class Headers:
+    """Running headers of a version, with indexes by their ends: a header is sought among those that share its first or
+    last three letters, or its last two words."""
+
+    def __init__(self, keys: Iterable[str] = ()) -> None:
+        self.keys = frozenset(keys)
+        self.by_end: dict[tuple[str, int], list[str]] = {}
+        self.titles = {tuple(t) for h in self.keys if len(t := h.split(" ")[-2:]) == 2}
+        for h in sorted(self.keys):
+            if len(h) >= 8:
+                for end in {("<" + h[:3], len(h)), (">" + h[-3:], len(h))}:
+                    self.by_end.setdefault(end, []).append(h)
+
+    def near(self, key: str, edits: int) -> bool:
+        """A header of about the same length is at most ``edits`` characters away (headers are misread, too)."""
+        tried = set()
+        for n in range(len(key) - edits, len(key) + edits + 1):
+            for end in ("<" + key[:3], ">" + key[-3:]):
+                for h in self.by_end.get((end, n), ()):
+                    if h not in tried and _distance(key, h, edits) <= edits:
+                        return True
+                    tried.add(h)
+        return False
+
+    def shares_title(self, key: str) -> bool:
+        """Ends with the same two words as a header (titles stand after their author or the word for chapter)."""
+        title = tuple(key.split(" ")[-2:])
+        return len(title) == 2 and title in self.titles
+
+
+def classify(text: str, headers: Headers | None, config: ScanConfig) -> list[Line]:
+    """Kinds of the lines of a text. headers: the version's running headers; None while they aren't known."""
     lines = [Line(x, "text") for x in text.split("\n")]
     for line in lines:
         bare = line.text.strip()
@@ -125,46 +158,34 @@ def classify(text: str, headers: dict[str, int] | None, config: ScanConfig) -> l
             if line.kind != "text" or not (found := header_key(line.text.strip(), config)):
                 continue
             key, numbered = found
-            if key in headers or (numbered or len(key) > 9) and _near(key, headers):
+            if key in headers.keys or (numbered or len(key) > 9) and headers.near(key, config.header_edits):
                 line.kind = "header"
                 continue
             after = neighbours(lines, k)[1]
             apart = stands_apart(line.text, after, width)
             # Seen once: with a number where the running text wasn't broken, or with the title of another header.
             alone = numbered and (apart or after is None and SET_OFF.search(line.text))
-            if alone or (apart or numbered and after is None) and _shares(key, headers):
+            if alone or (apart or numbered and after is None) and headers.shares_title(key):
                 line.kind = "header"
     if len(lines) > 1 and lines[0].kind == "text" and lines[1].kind == "blank" and not SENTENCE.search(lines[0].text) and len(lines[0].text.split()) <= 8:
         lines[0].kind = "heading"
     return lines
 
 
-def _near(key: str, headers: dict[str, int]) -> bool:
-    """At most two characters away from a header of about the same length (headers are misread, too)."""
-    for h in headers:
-        if abs(len(h) - len(key)) <= 2 and len(h) >= 8 and (h[:3] == key[:3] or h[-3:] == key[-3:]) and _distance(key, h, 2) <= 2:
-            return True
-    return False
-
-
-def _shares(key: str, headers: dict[str, int]) -> bool:
-    """Ends with the same two words as a header (titles stand after their author or the word for chapter)."""
-    title = key.split(" ")[-2:]
-    return len(title) == 2 and any(h.split(" ")[-2:] == title for h in headers)
-
-
 def _distance(a: str, b: str, limit: int) -> int:
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if max(len(a), len(b)) > 3 * limit:
+    """Edit distance, or more than ``limit`` where it is more; a band of the table is enough for that."""
+    if abs(len(a) - len(b)) > limit:
         return limit + 1
-    row = list(range(len(b) + 1))
+    far = limit + 1
+    row = [j if j <= limit else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        low, high = max(1, i - limit), min(len(b), i + limit)
+        last, row[low - 1] = row[low - 1], i if low == 1 else far
+        for j in range(low, high + 1):
+            up = row[j] if j < i + limit else far
+            last, row[j] = row[j], min(up + 1, row[j - 1] + 1, last + (x != b[j - 1]), far)
+        if min(row[low - 1 : high + 1]) > limit:
+            return far
     return row[-1]
 
 
@@ -287,71 +308,65 @@ def recurring_headers(stats: DataFrame, config: ScanConfig) -> dict[str, dict[st
     return headers
 
 
-class Patterns:
-    """Frequent words by what is left when one or two characters are unknown."""
-
-    def __init__(self, words: dict[str, int]) -> None:
-        self.words = words
-        self.one: dict[str, list[tuple[str, str]]] = {}
-        self.two: dict[str, list[tuple[str, str]]] = {}
-        for w in words:
-            for i in range(len(w)):
-                self.one.setdefault(w[:i] + "\0" + w[i + 1 :], []).append((w, w[i]))
-            for i in range(len(w) - 1):
-                self.two.setdefault(w[:i] + "\0" + w[i + 2 :], []).append((w, w[i : i + 2]))
-
-    def confusions(self, r: str) -> Iterator[tuple[str, str, str, bool]]:
-        """(word, what is read, what was written, within the word) for every frequent word that one confusion turns
-        into ``r``."""
-        seen = set()
-        n = len(r)
-        for i in range(len(r)):
-            head, tail = r[:i], r[i + 1 :]
-            for w, c in self.one.get(head + "\0" + tail, ()):
-                if c != r[i]:
-                    yield w, r[i], c, 0 < i < n - 1
-            for w, c in self.two.get(head + "\0" + tail, ()):
-                yield w, r[i], c, 0 < i < n - 1
-            if i + 1 < len(r):
-                for w, c in self.one.get(head + "\0" + r[i + 2 :], ()):
-                    yield w, r[i : i + 2], c, 0 < i < n - 2
-            if not r[i].isalpha() and (w := head + tail) in self.words and w not in seen:
-                seen.add(w)
-                yield w, r[i], "", True
+def _holes(word: str, sizes: tuple[int, ...]) -> str:
+    """SQL for all ways to leave one or two characters out of a word: where (key), which (gone), and how many."""
+    one = (
+        "transform(sequence(1, length({w}) - {z}), i -> struct(concat(substring({w}, 1, i - 1), '\\0', substring({w}, i + {s})) AS key, "
+        "substring({w}, i, {s}) AS gone, {s} AS size, i > 1 AND i + {s} <= length({w}) AS within))"
+    )
+    parts = [f"IF(length({word}) >= {z}, {one.format(w=word, s=z, z=z - 1)}, array())" for z in sizes]
+    return f"concat({', '.join(parts)})"
+
+
+def resemblances(words: DataFrame, config: ScanConfig) -> DataFrame:
+    """word, n and likes: the frequent words that one confusion turns into a rare one, each with (n, read, written, within
+    the word).
+
+    Words meet by what is left of them when one or two characters are left out, so neither vocabulary goes to all
+    workers; this is done once, and the rounds of learning read the result.
+    """
+    strong = words.where((F.col("n") >= config.strong_ratio) & (F.length("key") >= 3) & F.rlike("key", F.lit(r"^[\p{L}']+$")))
+    rare = words.where(F.length("key").between(3, 30)).select("key", "n")
+    left = strong.select(F.col("key").alias("w"), F.col("n").alias("wn"))
+    right = rare.select(F.col("key").alias("r"), F.col("n").alias("rn"))
+    a = left.select("w", "wn", F.explode(F.expr(_holes("w", (1, 2)))).alias("h")).select(F.col("h.key").alias("key"), "w", "wn", F.col("h.gone").alias("written"), F.col("h.size").alias("size"))
+    b = right.select("r", "rn", F.explode(F.expr(_holes("r", (1, 2)))).alias("h")).select(F.col("h.key").alias("key"), "r", "rn", F.col("h.gone").alias("read"), F.col("h.size").alias("read_size"), "h.within")
+    met = a.join(b, "key").where("wn >= rn * " + str(config.strong_ratio) + " AND size + read_size < 4 AND read <> written")
+    met = met.select("r", "rn", "w", "wn", "read", "written", "within")
+    # A sign that stands between the letters, nothing being lost.
+    extra = right.select("r", "rn", F.explode(F.expr(_holes("r", (1,)))).alias("h")).where(~F.rlike("h.gone", F.lit(r"^\p{L}$")))
+    extra = extra.select("r", "rn", F.replace("h.key", F.lit("\0"), F.lit("")).alias("w"), F.col("h.gone").alias("read")).distinct()
+    extra = extra.join(left, "w").where("wn >= rn * " + str(config.strong_ratio))
+    met = met.unionByName(extra.select("r", "rn", "w", "wn", "read", F.lit("").alias("written"), F.lit(True).alias("within")))
+    likes = F.collect_list(F.struct("wn", "read", "written", "within"))  # as many as letters can be put for others
+    return met.groupBy(F.col("r").alias("word"), F.col("rn").alias("n")).agg(likes.alias("likes"))
 
 
 def learn_confusions(
-    vocabulary: DataFrame, strong: dict[str, int], config: ScanConfig, known: dict[tuple[str, str], float] | None = None
+    found: DataFrame, strong: dict[str, int], config: ScanConfig, known: dict[tuple[str, str], float] | None = None
 ) -> dict[tuple[str, str], float]:
-    """(read, written) -> probability that the written characters are read so, from all rare words.
+    """(read, written) -> probability that the written characters are read so, from all rare words (``resemblances``).
 
     Of several explanations of a rare word the one counts that is likeliest under the ``known`` probabilities (at
     first: that comes from the most frequent word). Collected are sums by pairs of characters, of which only those that several words show are kept.
     """
-    shared = vocabulary.sparkSession.sparkContext.broadcast(strong)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value)
         total: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
-            for r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not 3 <= len(r) <= 30:
-                    continue
-                found = [x for x in patterns.confusions(r) if strong[x[0]] >= config.strong_ratio * n]
-                if not found:
-                    continue
-                likely = [strong[w] * (known.get((o, c), 1e-9) if known else 1.0) for w, o, c, _ in found]
+            for n, likes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                likely = [x["wn"] * (known.get((x["read"], x["written"]), 1e-9) if known else 1.0) for x in likes]
                 best = max(likely)
-                for (_, o, c, within), p in zip(found, likely):
+                for x, p in zip(likes, likely):
                     if p == best:  # prefixes and endings of a language show at the edges of words only
-                        have = total.setdefault((o, c), [0, 0])
+                        have = total.setdefault((x["read"], x["written"]), [0, 0])
                         have[0] += n
-                        have[1] += within
+                        have[1] += x["within"]
         cols = [[k[0] for k in total], [k[1] for k in total], [v[0] for v in total.values()], [v[1] for v in total.values()]]
         types = (pa.string(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["o", "c", "n", "types"])
 
-    seen = vocabulary.select("key", "n").mapInArrow(run, "o string, c string, n long, types long").groupBy("o", "c")
+    seen = found.select("n", "likes").mapInArrow(run, "o string, c string, n long, types long").groupBy("o", "c")
     rows = seen.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).where(F.col("types") >= config.least_types).collect()
     written: Counter = Counter()
     for w, n in strong.items():
@@ -385,7 +400,13 @@ class Channel:
         self.ids = {w: k for k, w in enumerate(self.words)}
         self.size = len(self.ids) + 1
         self.alphabet = max(30, len({g[-1] for g in self.letters}))
-        self.memory: dict[str, list[tuple[str, float, bool]]] = {}
+        self.memory: dict[tuple[str, bool], list[tuple[str, float, bool]]] = {}
+        self.by_version: dict[str, Headers] = {}
+        self.following: dict[str, list[str]] = {}
+        for g in self.letters:
+            if g[-1] != "$":
+                self.following.setdefault(g[:2], []).append(g[-1])
+        self.sign_rate = max(self.config.misread_rate, sum(p for o, cs in self.confusions.items() if SIGN.search(o) for _, p in cs))
         self.tokens: dict[str, tuple[str, bool, bool]] = {}
 
     def __getstate__(self) -> dict:
@@ -412,9 +433,15 @@ class Channel:
         found = self.tokens[w] = core, sign, not sign and (not core or core in self.words)
         return found
 
-    def candidates(self, word: str) -> list[tuple[str, float, bool]]:
-        """(word, log probability of reading it so and of the word by itself, misread) of what may have been written."""
-        known = self.memory.get(word)
+    def headers_of(self, version: str) -> Headers:
+        if version not in self.by_version:
+            self.by_version[version] = Headers(self.headers.get(version, ()))
+        return self.by_version[version]
+
+    def candidates(self, word: str, sign: bool = False) -> list[tuple[str, float, bool]]:
+        """(word, log probability of reading it so and of the word by itself, misread) of what may have been written.
+        sign: a sign stands within the word, so it may have been read for or between its letters."""
+        known = self.memory.get((word, sign))
         if known is not None:
             return known
         if len(self.memory) > 300_000:
@@ -424,7 +451,17 @@ class Channel:
         out = [(word, keep + math.log(1 - self.config.misread_rate), False)]
         if not n and sum(map(str.isalpha, word)) > 1:
             out += [(w, math.log(self.words[w] / self.total) + math.log(p), True) for w, p in self.written(word).items()]
-        self.memory[word] = out
+        if sign and (bare := SIGN.sub("", word)) and bare != word:
+            # The sign was read between two letters, or for a letter that is known to follow the two before it.
+            k = SIGN.search(word).start()
+            head, tail = word[:k], SIGN.sub("", word[k:])
+            options = {bare, *(head + c + tail for c in self.following.get(f"^^{head}"[-2:], ()))}
+            rate = math.log(min(0.5, self.sign_rate) / len(options))
+            for w in options:
+                n = self.words.get(w, 0)
+                out.append((w, (math.log(n / self.total) if n else math.log(self.unknown) + self.spelled(w)) + rate, True))
+            out[1:] = sorted(out[1:], key=lambda x: (-x[1], x[0]))[: self.config.sign_options]
+        self.memory[word, sign] = out
         return out
 
     def written(self, word: str) -> dict[str, float]:
@@ -451,9 +488,10 @@ class Channel:
         expected = self.words[a] * self.words[b] / self.total
         return math.log((n + 1.0) / (expected + 1.0)) if n or expected > 4 else 0.0
 
-    def decode(self, words: list[str]) -> list[tuple[str, bool]]:
-        """What was most likely written for each word of a line, and whether it was misread (Viterbi)."""
-        options = [self.candidates(w) for w in words]
+    def decode(self, words: list[str], signs: list[bool]) -> list[tuple[str, bool]]:
+        """What was most likely written for each word of a line, and whether it was misread (Viterbi). signs: whether a
+        sign stands within the word."""
+        options = [self.candidates(w, sign) for w, sign in zip(words, signs)]
         if all(len(o) == 1 for o in options):
             return [(o[0][0], False) for o in options]
         score = [s for _, s, _ in options[0]]
@@ -497,21 +535,15 @@ def has_sign(token: str) -> bool:
 SURE = itemgetter(2)
 
 
-def _mended(token: str, core: str, written: str | None, channel: Channel) -> str:
-    """The token with its core as it was written; without a decision the likeliest known word, if there is one."""
-    if written is None and (bare := SIGN.sub("", core)) in channel.words:
-        written = bare
-    if written is None or written == core:
-        written = max(channel.written(core).items(), key=lambda x: x[1] * channel.words[x[0]], default=(None, 0))[0]
-    if not written:
-        return token
+def _mended(token: str, core: str, written: str) -> str:
+    """The token with its core as it was written."""
     k = token.lower().find(core)
     return token[:k] + written + token[k + len(core) :] if k >= 0 else written
 
 
 def inspect(text: str, version: str | None, channel: Channel) -> tuple[dict[str, int], str]:
     """How often each noise occurs in a text, and the text repaired into paragraphs."""
-    lines = classify(text, channel.headers.get(version or "", {}), channel.config)
+    lines = classify(text, channel.headers_of(version or ""), channel.config)
     counts = {"pageno": sum(x.kind == "pageno" for x in lines), "header": sum(x.kind == "header" for x in lines)}
     joined, counts["hyphen"] = join_lines(lines)
     misread = 0
@@ -525,11 +557,12 @@ def inspect(text: str, version: str | None, channel: Channel) -> tuple[dict[str,
         tokens = [channel.tokens.get(w) or channel.token(w) for w in words]
         if not all(map(SURE, tokens)):
             cores = [t[0] for t in tokens]
-            fixed = channel.decode(cores) if any(c and c not in channel.words for c in cores) else [(c, False) for c in cores]
-            for k, ((c, sign, _), (best, bad)) in enumerate(zip(tokens, fixed)):
-                if bad or sign:
+            signs = [t[1] for t in tokens]
+            decided = any(signs) or any(c and c not in channel.words for c in cores)
+            for k, (c, (best, bad)) in enumerate(zip(cores, channel.decode(cores, signs) if decided else [(c, False) for c in cores])):
+                if bad:
                     misread += 1
-                    words[k] = _mended(words[k], c, best if bad else None, channel)
+                    words[k] = _mended(words[k], c, best)
         paragraphs[-1] += words
     counts["misread"] = misread
     return counts, "\n\n".join(" ".join(p) for p in paragraphs if p)
@@ -584,9 +617,10 @@ def fit(df: DataFrame, text: str, version: str, config: ScanConfig = ScanConfig(
     known = {r.key: r.n for r in words.where(F.col("n") >= floor).select("key", "n").collect()}
     known = {w: known[w] for w in sorted(known) if not SIGN.search(w) or w.isdigit()}
     strong = {w: n for w, n in known.items() if n >= config.strong_ratio and len(w) >= 3 and all(map(str.isalpha, w.replace("'", "")))}
-    rates = learn_confusions(words, strong, config)
+    found = settle(resemblances(words, config))
+    rates = learn_confusions(found, strong, config)
     for _ in range(config.rounds):
-        rates = learn_confusions(words, strong, config, rates)
+        rates = learn_confusions(found, strong, config, rates)
     confusions: dict[str, list[tuple[str, float]]] = {}
     for (o, c), p in rates.items():
         confusions.setdefault(o, []).append((c, p))
