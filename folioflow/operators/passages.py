@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.config import PassageConfig
+from folioflow.functions import ordered
 from folioflow.functions.normalize import word_count
 
 #: Fixed value: where a long paragraph is cut.
@@ -19,15 +22,14 @@ SENTENCE_END = "(?U)(?<=[.!?؟؛])\\s+"
 def runs(units: DataFrame, key: str, order: str, same: list[str], breaks: str | None = None) -> DataFrame:
     """Adds run_id: maximal stretches of units in order with equal ``same`` columns; ``breaks`` rows (a boolean
     column) stand alone between runs and have none."""
-    w = Window.partitionBy(key).orderBy(order)
-    stop = F.col(breaks) if breaks else F.lit(False)
-    changed = F.lag(order).over(w).isNull()
+    stop = F.coalesce(F.col(breaks), F.lit(False)) if breaks else F.lit(False)
+    rows = ordered.blocked(units.withColumn("__stop", stop), [key], [order])
+    rows = ordered.neighbours(rows, [*same, "__stop"], before="__before")
+    changed = F.col("__before").isNull() | F.col("__stop") | F.col("__before.__stop")
     for c in same:
-        changed |= ~F.lag(c).over(w).eqNullSafe(F.col(c))
-    if breaks:
-        changed |= F.coalesce(F.lag(breaks).over(w), F.lit(False)) | stop
-    rows = units.withColumn("__new", changed.cast("int"))
-    return rows.withColumn("run_id", F.when(~stop, F.sum("__new").over(w))).drop("__new")
+        changed |= ~F.col("__before").getField(c).eqNullSafe(F.col(c))
+    rows = ordered.running_sum(rows.withColumn("__new", changed.cast("long")), "__new", "run_id", inclusive=True)
+    return ordered.plain(rows.withColumn("run_id", F.when(~F.col("__stop"), F.col("run_id"))).drop("__stop", "__before", "__new"))
 
 
 def verse_windows(verses: DataFrame, run: list[str], order: str, tail: str, config: PassageConfig = PassageConfig()) -> DataFrame:
@@ -48,61 +50,114 @@ def verse_windows(verses: DataFrame, run: list[str], order: str, tail: str, conf
     return w.select(*run, number.alias("window_no"), "first_verse", "last_verse", (F.col("last_verse") - F.col("first_verse") + 1).alias("size"))
 
 
-def packed(sizes: list[int], config: PassageConfig = PassageConfig()) -> list[list[int]]:
-    """Indices of paragraphs packed into passages near the target, none above the hard limit, the tail evened out."""
-    out: list[list[int]] = []
-    now: list[int] = []
-    held = 0
-    for k, n in enumerate(sizes):
-        if n > config.prose_hard_max:
-            raise ValueError("a paragraph above the hard limit must be split first")
-        if now and held + n > config.prose_hard_max:
-            out.append(now)
-            now, held = [], 0
-        now.append(k)
-        held += n
-        if held >= config.prose_target:
-            out.append(now)
-            now, held = [], 0
-    if now:
-        out.append(now)
-    if len(out) > 1:
-        total = lambda ks: sum(sizes[k] for k in ks)
-        before, tail = out[-2], out[-1]
-        while total(tail) < config.prose_soft_min and len(before) > 1:
-            n = sizes[before[-1]]
-            if total(before) - n < config.prose_soft_min or total(tail) + n > config.prose_hard_max:
-                break
-            tail.insert(0, before.pop())
-        if total(tail) < config.prose_soft_min and total(before) + total(tail) <= config.prose_hard_max:
-            before += tail
-            out.pop()
-    return out
+def cut_points(total: np.ndarray, target: int, hard: int) -> list[int]:
+    """Where a row of texts is cut, by the running totals of their words (``total[0]`` is 0): each piece ends where it
+    first reaches the target, but before the hard limit would be passed."""
+    n = len(total) - 1
+    cuts = [0]
+    while cuts[-1] < n:
+        start = cuts[-1]
+        reached = int(np.searchsorted(total, total[start] + target, "left"))
+        allowed = int(np.searchsorted(total, total[start] + hard, "right")) - 1
+        cuts.append(min(max(reached, start + 1), allowed, n))
+    return cuts
+
+
+def packed(sizes: list[int] | np.ndarray, config: PassageConfig = PassageConfig()) -> list[int]:
+    """Cuts (from 0 to the number of paragraphs) that pack paragraphs into passages near the target, none above the hard
+    limit, the tail evened out: its cut goes back to where the tail reaches the soft least, as far as the piece before
+    keeps it, too; a tail still short is joined to that piece if both fit."""
+    if len(sizes) and max(sizes) > config.prose_hard_max:
+        raise ValueError("a paragraph above the hard limit must be split first")
+    total = np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64))))
+    cuts = cut_points(total, config.prose_target, config.prose_hard_max)
+    if len(cuts) < 3:
+        return cuts
+    before, cut, end = cuts[-3], cuts[-2], int(total[-1])
+    wanted = int(np.searchsorted(total, end - config.prose_soft_min, "right")) - 1
+    keeps = int(np.searchsorted(total, total[before] + config.prose_soft_min, "left"))
+    fits = int(np.searchsorted(total, end - config.prose_hard_max, "left"))
+    cut = min(cut, max(wanted, keeps, fits, before + 1))
+    short = end - total[cut] < config.prose_soft_min
+    if short and end - total[before] <= config.prose_hard_max:
+        return [*cuts[:-2], cuts[-1]]
+    return [*cuts[:-2], cut, cuts[-1]]
 
 
 def pack_prose(paragraphs: DataFrame, run: list[str], order: str, words: str, config: PassageConfig = PassageConfig()) -> DataFrame:
     """run columns, order column and passage_no (from 1 within the run) of each paragraph.
 
-    The fold is sequential, so a run is folded as one array; a run is a chapter of one version.
+    Where a passage ends depends on all before it in its run, so a run (a chapter of one version) goes through one task
+    as a stream in order, of which only the numbers of words are held. Runs and orders aren't null.
     """
-    gathered = paragraphs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(words).alias("w")))).alias("items"))
+    rows = paragraphs.select(*run, order, F.coalesce(F.col(words), F.lit(0)).cast("long").alias("__words"))
     schema = T.StructType([*(paragraphs.schema[c] for c in run), paragraphs.schema[order], T.StructField("passage_no", T.IntegerType())])
+    width = len(run)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
-            rows, orders, numbers = [], [], []
-            for k, items in enumerate(batch.column(len(run)).to_pylist()):
-                for p, members in enumerate(packed([int(i["w"] or 0) for i in items], config), 1):
-                    for m in members:
-                        rows.append(k)
-                        orders.append(items[m]["o"])
-                        numbers.append(p)
-            take = pa.array(rows, pa.int64())
-            arrays = [batch.column(k).take(take) for k in range(len(run))]
-            kind = batch.schema.field(len(run)).type.value_type.field("o").type
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(orders, kind), pa.array(numbers, pa.int32())], names=schema.names)
-
-    return gathered.mapInArrow(fold, schema)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            first = _changes(table, width)
+            if held and not _same_run(held[-1], table, width):
+                yield from number(held)
+                held = []
+            if len(first) > 1:  # all but the last run of the batch are complete
+                yield from number([*held, table.slice(0, first[-1])])
+                held = []
+            held.append(table.slice(first[-1]))
+        if held:
+            yield from number(held)
+
+    def number(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(parts).combine_chunks()
+        sizes = table.column(width + 1).to_numpy()
+        out = np.zeros(len(sizes), np.int32)
+        starts = [*_changes(table, width), len(sizes)]
+        for a, b in zip(starts, starts[1:]):
+            cuts = packed(sizes[a:b], config)
+            out[a:b] = np.repeat(np.arange(1, len(cuts)), np.diff(cuts))
+        yield from pa.Table.from_arrays([*table.columns[: width + 1], pa.array(out)], names=schema.names).to_batches()
+
+    return rows.repartition(*(F.col(c) for c in run)).sortWithinPartitions(*run, order).mapInArrow(fold, schema)
+
+
+def _changes(table: pa.Table, width: int) -> list[int]:
+    """Rows at which another run begins, the first row included."""
+    changed = np.zeros(table.num_rows, bool)
+    changed[:1] = True
+    for k in range(width):
+        codes = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        index = codes.indices.to_numpy(zero_copy_only=False)
+        changed[1:] |= index[1:] != index[:-1]
+    return np.flatnonzero(changed).tolist()
+
+
+def _same_run(a: pa.Table, b: pa.Table, width: int) -> bool:
+    return all(a.column(k)[-1].as_py() == b.column(k)[0].as_py() for k in range(width))
+
+
+def split_paragraph(text: str, config: PassageConfig = PassageConfig()) -> tuple[list[str], bool]:
+    """Pieces of a paragraph above the hard limit: whole sentences up to the target, a longer sentence in runs of so
+    many words; and whether words had to be cut apart."""
+    parts = [p for x in re.split(r"(?<=[.!?؟؛])\s+", text) if (p := x.strip())]
+    sizes = np.array([len(p.split()) for p in parts], np.int64)
+    out: list[str] = []
+    apart = len(parts) < 2
+    long_ = [*np.flatnonzero(sizes > config.prose_hard_max).tolist(), len(parts)]
+    at_ = 0
+    for k in long_:  # stretches of sentences that fit, and a sentence that doesn't after each
+        cuts = cut_points(np.concatenate(([0], np.cumsum(sizes[at_:k]))), config.prose_target, config.prose_hard_max)
+        out += [" ".join(parts[at_ + a : at_ + b]) for a, b in zip(cuts, cuts[1:])]
+        if k < len(parts):
+            words = parts[k].split()
+            out += [" ".join(words[s : s + config.prose_target]) for s in range(0, len(words), config.prose_target)]
+            apart = True
+        at_ = k + 1
+    return out, apart
 
 
 def sentence_split(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -121,8 +176,8 @@ def word_chunks(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 def neighbor_links(passages: DataFrame, run: list[str], order: str, passage: str) -> DataFrame:
     """passage, its previous and next passage within the run."""
-    w = Window.partitionBy(*run).orderBy(order)
-    return passages.select(passage, F.lag(passage).over(w).alias("previous_id"), F.lead(passage).over(w).alias("next_id"))
+    rows = ordered.neighbours(ordered.blocked(passages.select(*run, order, passage), run, [order]), [passage], "__p", "__n")
+    return rows.select(passage, F.col("__p").getField(passage).alias("previous_id"), F.col("__n").getField(passage).alias("next_id"))
 
 
 def passage_id(version: str, ordinal: str):

@@ -44,9 +44,23 @@ def message(reason: Column) -> Column:
     )
 
 
+def missing_passages(hits: DataFrame, store: DataFrame) -> DataFrame:
+    """query_id, passage_id of hits that the store lacks; an answer must not be built on them."""
+    return hits.select("query_id", "passage_id").join(store.select("passage_id"), "passage_id", "left_anti")
+
+
+def disagreeing_hits(hits: DataFrame, store: DataFrame) -> DataFrame:
+    """query_id, passage_id, issue of hits (with version_id and kind) that aren't stored or are stored otherwise."""
+    own = store.select("passage_id", F.col("version_id").alias("v"), F.col("kind").alias("k"), F.lit(True).alias("known"))
+    rows = hits.join(own, "passage_id", "left")
+    issue = F.when(F.col("known").isNull(), "not_stored").when(~F.col("version_id").eqNullSafe(F.col("v")), "version_differs").when(~F.col("kind").eqNullSafe(F.col("k")), "kind_differs")
+    return rows.withColumn("issue", issue).where("issue IS NOT NULL").select("query_id", "passage_id", "issue").distinct()
+
+
 def enrich(hits: DataFrame, store: DataFrame) -> DataFrame:
-    """Hits with the passage's own columns, in hybrid order; a hit whose passage isn't stored has nulls."""
-    return hits.join(store, "passage_id", "left")
+    """Hits with the passage's own columns. A hit whose passage isn't stored is left out here and named by
+    ``missing_passages``, which must find none."""
+    return hits.join(store, "passage_id")
 
 
 def responses(decisions: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
@@ -73,14 +87,18 @@ PARATEXT_WORDS = (
 FALLBACK_QUESTION = "درباره موضوع پرسش چه آمده است؟"
 
 
+#: What is removed, in this order, from a query left over from removals, and what is put in its place.
+LEFTOVERS = (
+    ("^در\\s+(?:دیوان|کتاب|اثر)ش\\s+", ""), ("^(?:و|یا)\\s+", ""), ("(?U)\\bدر\\s+(?=درباره\\b)", ""),
+    ("\\s+([،؛؟?!.,:])", "$1"), ("\\A[ ،؛,:]+|[ ،؛,:]+\\z", ""),
+)
+
+
 def compact(text: Column) -> Column:
     """A query left over from removals, made readable."""
     t = squeeze(text)
-    t = F.regexp_replace(t, "^در\\s+(?:دیوان|کتاب|اثر)ش\\s+", "")
-    t = F.regexp_replace(t, "^(?:و|یا)\\s+", "")
-    t = F.regexp_replace(t, "(?U)\\bدر\\s+(?=درباره\\b)", "")
-    t = F.regexp_replace(t, "\\s+([،؛؟?!.,:])", "$1")
-    t = F.regexp_replace(t, "\\A[ ،؛,:]+|[ ،؛,:]+\\z", "")
+    for pattern, put in LEFTOVERS:
+        t = F.regexp_replace(t, pattern, put)
     return F.when(t == "", FALLBACK_QUESTION).otherwise(t)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions import ordered
+
 
 def get_many(store: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:
     """Stored rows of the wanted ids, each once, with the place at which it was first asked for; unknown ids are left out."""
@@ -24,8 +26,9 @@ def ordinal_report(store: DataFrame) -> DataFrame:
 
 def link_issues(store: DataFrame) -> DataFrame:
     """passage_id, issue: stored neighbours that aren't the passages before and after in the version."""
-    w = Window.partitionBy("version_id").orderBy("ordinal")
-    rows = store.select("passage_id", "previous_passage_id", "next_passage_id", F.lag("passage_id").over(w).alias("p"), F.lead("passage_id").over(w).alias("n"))
+    own = store.select("version_id", "ordinal", "passage_id", "previous_passage_id", "next_passage_id")
+    rows = ordered.neighbours(ordered.blocked(own, ["version_id"], ["ordinal"]), ["passage_id"], "__p", "__n")
+    rows = rows.withColumn("p", F.col("__p.passage_id")).withColumn("n", F.col("__n.passage_id"))
     wrong = lambda a, b, name: F.when(F.col(a).isNotNull() & ~F.col(a).eqNullSafe(F.col(b)), F.lit(name))
     issues = F.array_compact(F.array(wrong("previous_passage_id", "p", "previous"), wrong("next_passage_id", "n", "next")))
     return rows.select("passage_id", F.explode(issues).alias("issue"))

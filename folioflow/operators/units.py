@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import ordered
 from folioflow.operators.parsing import CONTENT_TYPES
 
 #: Fixed value: a metadata note in a heading.
@@ -53,13 +54,43 @@ def page_context(units: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("embedded_markers", (F.col("started") - F.col("ended")).cast("long")).drop("started", "ended", empty)
 
 
+LEVELS = range(1, 7)
+
+
 def heading_context(units: DataFrame, key: str) -> DataFrame:
-    """Units with the section and the heading under which they stand; a section clears the heading."""
-    order = Window.partitionBy(key).orderBy("char_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_section, is_heading = F.col("unit_type") == "section", F.col("unit_type") == "heading"
-    rows = units.withColumn("section_id", F.last(F.when(is_section, F.col("unit_id")), True).over(order))
-    mark = F.when(is_section, F.lit("")).when(is_heading, F.col("unit_id"))
-    return rows.withColumn("__h", F.last(mark, True).over(order)).withColumn("heading_id", F.when(F.col("__h") != "", F.col("__h"))).drop("__h")
+    """Units with section_id, heading_id, section_path and heading_path (ids of the headings above, from the outermost).
+
+    A section clears the headings before it, a heading those of its own and deeper levels. The level of a heading is the
+    number of its signs; one without any has level 1 and heading_issue says so.
+    """
+    kind = F.col("unit_type")
+    signs = F.length(F.regexp_extract("raw_text", "^\\s*(#{1,6})", 1))
+    level = F.when(kind == "heading", F.when(signs > 0, signs).otherwise(1))
+    place = F.struct(F.col("char_start").alias("at"), F.col("unit_id").alias("id"))
+    rows = units.withColumn("heading_issue", F.when((kind == "heading") & (signs == 0), "heading_without_level"))
+    seen = {"__section": F.when(kind == "section", place), **{f"__h{n}": F.when(level == n, place) for n in LEVELS}}
+    rows = ordered.plain(ordered.last_so_far(ordered.blocked(rows, [key], ["char_start", "unit_id"]), seen))
+    held = []
+    for n in LEVELS:
+        own = F.col(f"__h{n}.at")
+        above = F.coalesce(F.greatest(F.col("__section.at"), *(F.col(f"__h{m}.at") for m in LEVELS if m < n)) if n > 1 else F.col("__section.at"), F.lit(-1))
+        held.append(F.when(own > above, F.col(f"__h{n}.id")))
+    rows = rows.withColumn("heading_path", F.array_compact(F.array(*held))).withColumn("section_id", F.col("__section.id"))
+    rows = rows.withColumn("section_path", F.array_compact(F.array("section_id"))).withColumn("heading_id", F.try_element_at("heading_path", F.lit(-1)))
+    return rows.drop("__section", *(f"__h{n}" for n in LEVELS))
+
+
+def order_violations(units: DataFrame, markers: DataFrame, key: str) -> DataFrame:
+    """key, char_start, issue: units that overlap the one before, and markers that cross the edge of a unit."""
+    u = ordered.neighbours(ordered.blocked(units.select(key, "char_start", "char_end"), [key], ["char_start", "char_end"]), ["char_end"], before="__b")
+    overlap = u.where("__b.char_end > char_start").select(key, "char_start", F.lit("overlapping_units").alias("issue"))
+    m = markers.select(key, F.col("char_start").alias("ms"), F.col("char_end").alias("me"))
+    # Only the last unit that begins before a marker can hold or cross it.
+    both = units.select(key, F.col("char_start").alias("at"), F.lit(0).alias("side"), F.col("char_end").alias("e"), F.lit(None).cast("long").alias("me"))
+    both = both.unionByName(m.select(key, F.col("ms").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("e"), "me"))
+    last = ordered.last_so_far(ordered.blocked(both, [key], ["at", "side", "me"]), {"__e": F.col("e")})
+    crossing = last.where("side = 1 AND __e > at AND __e < me").select(key, F.col("at").alias("char_start"), F.lit("marker_crosses_unit").alias("issue"))
+    return overlap.unionByName(crossing)
 
 
 def cleaned_text(raw: Column, kind: Column, separator: str) -> Column:
@@ -80,9 +111,15 @@ def cleaned_text(raw: Column, kind: Column, separator: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\\s*%~%\\s*", separator), "(?U)\\s+", " "))
 
 
-def cleanup(units: DataFrame) -> DataFrame:
-    """Units with display_text, retrieval_text, verse_number, notes (of headings; the first value of a name wins) and
-    cleanup_issue."""
+def repeated_units(units: DataFrame, key: str) -> DataFrame:
+    """key, unit_id, n of units that occur more than once."""
+    return units.groupBy(key, "unit_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def cleanup(units: DataFrame, number_column: str | None = None) -> DataFrame:
+    """Units with display_text, retrieval_text, verse_number, notes (of headings; the first value of a name wins),
+    cleanup_issues and the last of them as cleanup_issue. ``number_column`` holds the verse number that the unit should
+    begin with, where one is known."""
     kind, raw = F.col("unit_type"), F.col("raw_text")
     number = F.regexp_extract(raw, "^\\s*(?:#{1,3}\\s*)+(\\d+)\\s", 1)
     names = F.regexp_extract_all(raw, F.lit(NOTE), F.lit(1))
@@ -94,5 +131,12 @@ def cleanup(units: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", F.when(F.size("names") > 0, first).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("notes", F.map_from_entries(F.expr("transform(first, i -> struct(names[i], trim(values[i])))")))
     conflict = F.expr("size(array_distinct(transform(arrays_zip(names, values), z -> concat(z.names, ':', z.values)))) > size(first)")
-    issue = F.when(F.col("retrieval_text") == "", "structural_only_unit").when((F.size("names") > 0) & conflict, "metadata_conflict")
-    return rows.withColumn("cleanup_issue", issue).drop("names", "values", "first")
+    told = F.col(number_column) if number_column else F.lit(None).cast("int")
+    issues = F.array_compact(F.array(
+        F.when((kind == "verse") & told.isNotNull() & F.col("verse_number").isNull(), "missing_verse_number_prefix"),
+        F.when((kind == "verse") & (told != F.col("verse_number")), "verse_number_mismatch"),
+        F.when((F.size("names") > 0) & conflict, "metadata_conflict"), F.when(F.col("retrieval_text") == "", "structural_only_unit"),
+    ))
+    # The most telling issue alone, and all of them.
+    rows = rows.withColumn("cleanup_issue", F.try_element_at(issues, F.lit(-1))).withColumn("cleanup_issues", issues)
+    return rows.drop("names", "values", "first")

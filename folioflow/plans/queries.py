@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import normalize as nrm
-from folioflow.operators import dense, evaluation, evidence, fusion, lexical, parsing, passages, policy, store, units
+from folioflow.functions.lineage import settle
+from folioflow.operators import building, dense, evaluation, evidence, fusion, lexical, parsing, passages, policy, store, units
 from folioflow.plans import sqltext as sql
 from folioflow.sources import marked
 from folioflow.sources.tables import duplicates, table
@@ -389,6 +390,32 @@ def neighbor_links(spark: SparkSession, at: str) -> DataFrame:
     return passages.neighbor_links(table(spark, at, "passages"), ["version_id", "heading_path_json"], "ordinal", "passage_id")
 
 
+def _contextual(spark: SparkSession, at: str) -> DataFrame:
+    """Cleaned units of all documents with their headings; documents without a profile are read as mixed prose."""
+    profiles = table(spark, at, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("profile", F.lit(parsing.PROSE)).alias("profile"))
+    return units.heading_context(units.cleanup(_units(spark, at)[1]), "doc_id").join(profiles, "doc_id")
+
+
+@query()
+def built_passages(spark: SparkSession, at: str) -> DataFrame:
+    """Passages of all documents, from their source text to texts, ids and links."""
+    return building.build(_contextual(spark, at), "doc_id", "profile")
+
+
+@query()
+def build_report(spark: SparkSession, at: str) -> DataFrame:
+    us = settle(_contextual(spark, at))
+    return building.build_report(building.build(us, "doc_id", "profile"), building.skipped_units(us, "doc_id", "profile"))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS version_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS issue WHERE FALSE")
+def build_violations(spark: SparkSession, at: str) -> DataFrame:
+    """Members of runs that no passage has and other breaches; the right result is none."""
+    us = settle(_contextual(spark, at))
+    members = building.prepared(us, "doc_id", "profile").where("role = 'member'").select(F.col("doc_id").cast("string").alias("version_id"), "unit_id")
+    return building.build_violations(building.build(us, "doc_id", "profile"), members, building.skipped_units(us, "doc_id", "profile"))
+
+
 # Lexical retrieval
 
 

@@ -2,9 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.config import FusionConfig, PassageConfig, profile_differences
+from folioflow.functions import ordered
 from folioflow.operators import dense, evaluation, evidence, fusion, lexical, passages, policy
 
 
@@ -90,15 +93,65 @@ def test_verse_windows(spark):
 
 
 def test_packing():
-    assert passages.packed([100, 100, 100]) == [[0, 1], [2]]
-    assert passages.packed([150, 40, 30]) == [[0, 1, 2]]
-    assert passages.packed([]) == []
+    assert passages.packed([100, 100, 100]) == [0, 2, 3]
+    assert passages.packed([150, 40, 30]) == [0, 3]
+    assert passages.packed([]) == [0]
     with pytest.raises(ValueError):
         passages.packed([301])
     with pytest.raises(ValueError):
         PassageConfig(verse_overlap=8)
 
 
+@given(st.lists(st.integers(0, 300), max_size=60))
+def test_packing_keeps_its_limits(sizes):
+    cuts = passages.packed(sizes)
+    assert cuts[0] == 0 and cuts[-1] == len(sizes) and cuts == sorted(set(cuts))
+    words = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+    assert all(w <= 300 for w in words)
+    for w, b in zip(words[:-2], cuts[1:]):  # all but the two evened out: full, or the next would not have fitted
+        assert w >= 180 or w + sizes[b] > 300
+    if len(words) > 1 and words[-1] < 80:  # a short tail could neither be filled nor joined
+        a, b = cuts[-3], cuts[-2]
+        assert words[-2] + words[-1] > 300 or b == a + 1
+        assert b == a + 1 or words[-2] - sizes[b - 1] < 80 or words[-1] + sizes[b - 1] > 300
+
+
+def test_long_paragraphs_are_split():
+    sentence = lambda n, c: " ".join([c] * (n - 1) + [c + "."])
+    parts, apart = passages.split_paragraph(" ".join(sentence(170, c) for c in "abcd"))
+    assert [len(p.split()) for p in parts] == [170, 170, 170, 170] and not apart
+    parts, apart = passages.split_paragraph(sentence(100, "a") + " " + sentence(400, "b") + " " + sentence(60, "c") + " " + sentence(130, "d"))
+    assert [len(p.split()) for p in parts] == [100, 180, 180, 40, 190] and apart
+    assert passages.split_paragraph("x " * 200)[1]
+
+
+def test_order_dependent_columns_over_blocks(spark):
+    rows = [(k % 3 or None, k, k % 7 if k % 5 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, o int, v int")
+    b = ordered.blocked(df, ["g"], ["o"], parts=7)
+    b = ordered.last_so_far(ordered.running_sum(ordered.neighbours(b, ["o"], "p", "n"), "v", "s"), {"l": F.col("v")})
+    got = {(r.g, r.o): (r.p and r.p.o, r.n and r.n.o, r.s, r.l) for r in ordered.plain(b).collect()}
+    for g in (None, 1, 2):
+        mine = [(o, v) for gg, o, v in rows if gg == g]
+        for k, (o, v) in enumerate(mine):
+            seen = [x for _, x in mine[: k + 1] if x is not None]
+            assert got[g, o] == (mine[k - 1][0] if k else None, mine[k + 1][0] if k + 1 < len(mine) else None, sum(x or 0 for _, x in mine[:k]), seen[-1] if seen else None)
+
+
+def test_pack_prose_streams_runs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"r{k}", o, int(rng.integers(0, 300))) for k in range(40) for o in range(int(rng.integers(1, 30)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.run, r.o): r.passage_no for r in passages.pack_prose(spark.createDataFrame(rows, "run string, o int, w int"), ["run"], "o", "w").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(40):
+        mine = sorted((o, w) for r, o, w in rows if r == f"r{k}")
+        cuts = passages.packed([w for _, w in mine])
+        assert [got[f"r{k}", o] for o, _ in mine] == np.repeat(np.arange(1, len(cuts)), np.diff(cuts)).tolist()
+
+
 def test_runs_and_links(spark):
     u = spark.createDataFrame([("v", 1, "h", False), ("v", 2, "h", False), ("v", 3, None, False), ("v", 4, None, True), ("v", 5, None, False)], "k string, o int, h string, b boolean")
     got = {r.o: r.run_id for r in passages.runs(u, "k", "o", ["h"], "b").collect()}
