@@ -25,6 +25,25 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class HashingEncoder:
+    """Unit vectors of hashed character trigrams: stands in where no model is at hand, the same on every machine."""
+
+    def __init__(self, size: int = 64) -> None:
+        self.size = size
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size))
+        for k, text in enumerate(texts):
+            data = f"  {text} ".encode("utf-32-le")
+            cp = np.frombuffer(data, np.uint32).astype(np.uint64)
+            h = cp[:-2] * np.uint64(0x9E3779B1) + cp[1:-1] * np.uint64(0x85EBCA77) + cp[2:] * np.uint64(0xC2B2AE3D)
+            h ^= h >> np.uint64(15)
+            out[k] = np.bincount((h % np.uint64(self.size)).astype(np.int64), np.where(h >> np.uint64(20) & np.uint64(1), 1.0, -1.0), self.size)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        out[norm[:, 0] == 0, 0] = 1.0
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
+
+
 def encoded(text: Column | str, encoder: Encoder, prefix: str = "") -> Column:
     """Vectors of stripped texts behind the encoder's query prefix."""
 
@@ -43,7 +62,8 @@ def _matrix(col: pa.Array, size: int) -> np.ndarray:
 def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, block: int = 4096) -> DataFrame:
     """query_key, rank, key and cosine of the k best of all vectors for every query; ties go by key.
 
-    Null vectors and vectors of another length are left out. The query batch goes to every worker; one of more than
+    Null vectors and vectors of another length are left out; a query vector that isn't finite or has no length is
+    refused. The query batch goes to every worker; one of more than
     MAX_QUERY_FLOATS numbers is refused: it must be cut into batches.
     """
     head = queries.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n"))
@@ -57,6 +77,8 @@ def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_k
     q = asked[vector].combine_chunks() if isinstance(asked[vector], pa.ChunkedArray) else asked[vector]
     q = q.chunk(0) if isinstance(q, pa.ChunkedArray) else q
     matrix = _matrix(q, size)
+    if not np.isfinite(matrix).all() or not np.linalg.norm(matrix, axis=1).all():
+        raise ValueError("a query vector isn't finite or is zero")
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
     ids = asked[query_key].combine_chunks()
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids

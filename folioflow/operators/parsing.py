@@ -160,7 +160,8 @@ def interval_coverage(intervals: DataFrame, key: str, start: str, end: str) -> D
 
 
 def parse_metrics(blocks_: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """key, n_blocks, body_chars, covered, covered_twice, raw_share, reconstructs, lossless of each source."""
+    """key, n_blocks, body_chars, covered, covered_twice, raw_share, text_digest (of the text the blocks make up),
+    reconstructs, lossless of each source."""
     text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("char_start", "raw_text"))), lambda x: x["raw_text"]))
     raw = F.sum(F.when(F.col("block_type") == "raw", F.length("raw_text")).otherwise(0))
     per = blocks_.groupBy(key).agg(F.count("*").alias("n_blocks"), text.alias("__text"), raw.alias("__raw"))
@@ -171,6 +172,6 @@ def parse_metrics(blocks_: DataFrame, sources: DataFrame, key: str) -> DataFrame
     same = F.coalesce(F.col("__text"), F.lit("")) == F.col("body")
     return out.select(
         key, F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "body_chars", covered.alias("covered"), twice.alias("covered_twice"),
-        F.round(F.coalesce("__raw", F.lit(0)) / F.greatest("body_chars", F.lit(1)), 6).alias("raw_share"), same.alias("reconstructs"),
+        F.round(F.coalesce("__raw", F.lit(0)) / F.greatest("body_chars", F.lit(1)), 6).alias("raw_share"), F.md5(F.coalesce(F.col("__text"), F.lit(""))).alias("text_digest"), same.alias("reconstructs"),
         ((covered == F.col("body_chars")) & (twice == 0) & same).alias("lossless"),
     )

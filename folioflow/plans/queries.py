@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import normalize as nrm
-from folioflow.functions.lineage import settle
-from folioflow.operators import building, dense, evaluation, evidence, fusion, lexical, parsing, passages, policy, store, units
+from folioflow.functions.lineage import settle, shared_folder, spread
+from folioflow.operators import building, corpus, dense, evaluation, evidence, fusion, lexical, parsing, passages, policy, search, store, units
 from folioflow.plans import sqltext as sql
-from folioflow.sources import marked
+from folioflow.sources import marked, metadata, stores
 from folioflow.sources.tables import duplicates, table
 from folioflow.streaming import ingest
 
@@ -121,9 +121,62 @@ def safe_filenames(spark: SparkSession, at: str) -> DataFrame:
     return rows.groupBy("source", nrm.safe_filename("source").alias("file_name")).agg(F.count("*").alias("n"))
 
 
+def _yaml(spark: SparkSession, at: str) -> DataFrame:
+    """Metadata files of the versions: the version's own, of which those that aren't canonical name another id, and the
+    author's with a name; issues go on in a line that strict YAML refuses."""
+    v = table(spark, at, "versions").join(table(spark, at, "works").select("work_id", "author_name").dropDuplicates(["work_id"]), "work_id", "left")
+    uri = F.concat("version_id", F.when(F.col("is_canonical"), "").otherwise("x"))
+    own = F.concat(F.lit(f"{metadata.VERSION_URI}: "), uri, F.lit(f"\n{metadata.QUALITY}: "), F.coalesce("status_raw", F.lit("")), F.lit("\n  , noted: twice\n"))
+    author = F.concat(F.lit(f"{metadata.AUTHOR_URI}: "), "author_id", F.lit(f"\n{metadata.NAME_AR}: "), F.coalesce("author_name", F.lit("N/A")), F.lit("\n"))
+    files = v.select("version_id", F.lit("version_yml").alias("source"), own.alias("text"))
+    return files.unionByName(v.select("version_id", F.lit("author_yml").alias("source"), author.alias("text")))
+
+
+@query(
+    """SELECT version_id, 'version_yml' AS source, CAST(1 AS BIGINT) AS line_number, '00#VERS#URI######' AS field, 'valid' AS status FROM versions UNION ALL SELECT version_id, 'author_yml', 1, '00#AUTH#URI######', 'valid' FROM versions
+    UNION ALL SELECT version_id, 'author_yml', 2, '10#AUTH#SHUHRA#AR', CASE WHEN author_name IS NULL THEN 'placeholder' ELSE 'valid' END FROM versions LEFT JOIN (SELECT work_id, min(author_name) AS author_name FROM works GROUP BY work_id) USING (work_id)"""
+)
+def metadata_fields(spark: SparkSession, at: str) -> DataFrame:
+    """Identifiers and names in the metadata files."""
+    rows = metadata.yaml_fields(_yaml(spark, at)).where(F.col("field") != metadata.QUALITY)
+    return rows.select("version_id", "source", "line_number", "field", "status")
+
+
+@query(
+    """SELECT v.version_id, v.work_id, coalesce(w.author_name, v.author_id) AS author_name, w.title_fa, nullif(lower(regexp_extract(v.version_id, '(?i)-([a-z]{3})[0-9]+$', 1)), '') AS language_code,
+    FALSE AS has_address, NOT v.is_canonical AS differs, TRUE AS lacks_work FROM versions v LEFT JOIN (SELECT work_id, min(author_name) AS author_name, min(title_fa) AS title_fa FROM works GROUP BY work_id) w USING (work_id)"""
+)
+def document_metadata(spark: SparkSession, at: str) -> DataFrame:
+    """Versions with their metadata, and which of the planted breaches of identifiers were found."""
+    rows = metadata.document_metadata(table(spark, at, "versions"), table(spark, at, "works"), metadata.yaml_fields(_yaml(spark, at)))
+    return rows.select(
+        "version_id", "work_id", "author_name", "title_fa", "language_code", F.col("source_url").isNotNull().alias("has_address"),
+        F.array_contains("issues", "version_uri_mismatch").alias("differs"), F.array_contains("issues", "missing_work_uri").alias("lacks_work"),
+    )
+
+
 # Store, scans, reconciliation
 
 
+@query(
+    """WITH bad AS (SELECT passage_id, CASE WHEN least(coalesce(word_count, 0), coalesce(unit_count, 0), coalesce(member_count, 0)) < 0 THEN 'negative_count' END AS a, CASE WHEN coalesce(trim(display_text), '') = '' THEN 'no_display_text' END AS b,
+      CASE WHEN coalesce(trim(retrieval_text), '') = '' THEN 'no_retrieval_text' END AS c, CASE WHEN ordinal - 1 < 1 OR ordinal IS NULL THEN 'invalid_ordinal' END AS d FROM passages)
+    SELECT passage_id, issue FROM (SELECT passage_id, unnest([a, b, c, d]) AS issue FROM bad) WHERE issue IS NOT NULL"""
+)
+def store_violations(spark: SparkSession, at: str) -> DataFrame:
+    """What a store refuses of the passages if their ordinals are counted from 0."""
+    return stores.store_violations(table(spark, at, "passages").withColumn("ordinal", F.col("ordinal") - 1))
+
+
+@query(
+    """SELECT DISTINCT query_id, passage_id, CASE WHEN p.passage_id IS NULL THEN 'not_stored' WHEN h.version_id IS DISTINCT FROM p.version_id THEN 'version_differs' ELSE 'kind_differs' END AS issue
+    FROM retrieved_passages h LEFT JOIN (SELECT * FROM passages WHERE search_alias_text IS NOT NULL) p USING (passage_id) WHERE p.passage_id IS NULL OR h.version_id IS DISTINCT FROM p.version_id OR h.kind IS DISTINCT FROM p.kind"""
+)
+def hit_disagreements(spark: SparkSession, at: str) -> DataFrame:
+    """Stored hits that passages with a search text don't bear out."""
+    return policy.disagreeing_hits(table(spark, at, "retrieved_passages"), table(spark, at, "passages").where("search_alias_text IS NOT NULL"))
+
+
 WORDS = f"CASE WHEN {sql.squeeze('retrieval_text')} = '' THEN 0 ELSE len(string_split({sql.squeeze('retrieval_text')}, ' ')) END"
 
 
@@ -149,12 +202,12 @@ def store_get_many(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT passage_id FROM (SELECT next_passage_id AS passage_id FROM passages UNION ALL SELECT previous_passage_id FROM passages) WHERE passage_id IS NOT NULL AND passage_id NOT IN (SELECT passage_id FROM passages)"""
+    f"""WITH {JUDGED} SELECT DISTINCT passage_id FROM judged WHERE passage_id IS NOT NULL AND passage_id NOT IN (SELECT passage_id FROM passages WHERE search_alias_text IS NOT NULL)"""
 )
 def missing_ids_anti(spark: SparkSession, at: str) -> DataFrame:
-    p = table(spark, at, "passages")
-    named = p.select(F.col("next_passage_id").alias("passage_id")).union(p.select("previous_passage_id"))
-    return store.missing(named, p.select("passage_id"), "passage_id")
+    """Judged passages that the lexical index lacks, having no search text."""
+    judged = table(spark, at, "retrieval_answerability_v1").select(F.explode("judgments.passage_id").alias("passage_id"))
+    return store.missing(judged, table(spark, at, "passages").where("search_alias_text IS NOT NULL").select("passage_id"), "passage_id")
 
 
 @query(
@@ -165,23 +218,24 @@ def store_ordinals(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT passage_id, previous_passage_id, next_passage_id, lag(passage_id) OVER w AS p, lead(passage_id) OVER w AS n FROM passages WINDOW w AS (PARTITION BY version_id ORDER BY ordinal))
+    """WITH r AS (SELECT passage_id, previous_passage_id, next_passage_id, lag(passage_id) OVER w AS p, lead(passage_id) OVER w AS n FROM passages WHERE search_alias_text IS NOT NULL WINDOW w AS (PARTITION BY version_id ORDER BY ordinal))
     SELECT passage_id, 'previous' AS issue FROM r WHERE previous_passage_id IS NOT NULL AND previous_passage_id IS DISTINCT FROM p
     UNION ALL SELECT passage_id, 'next' FROM r WHERE next_passage_id IS NOT NULL AND next_passage_id IS DISTINCT FROM n"""
 )
 def link_issues(spark: SparkSession, at: str) -> DataFrame:
-    return store.link_issues(table(spark, at, "passages"))
+    """Links that no longer hold once passages without a search text are gone."""
+    return store.link_issues(table(spark, at, "passages").where("search_alias_text IS NOT NULL"))
 
 
 @query(
-    """WITH e AS (SELECT canonical_version AS version_id FROM works UNION SELECT unnest(reference_versions) FROM works), f AS (SELECT DISTINCT version_id FROM versions)
+    """WITH e AS (SELECT canonical_version AS version_id FROM works UNION SELECT unnest(reference_versions) FROM works), f AS (SELECT DISTINCT version_id FROM versions WHERE include_in_index)
     SELECT version_id, 'missing' AS issue FROM e WHERE version_id IS NOT NULL AND version_id NOT IN (SELECT version_id FROM f)
     UNION ALL SELECT version_id, 'unexpected' FROM f WHERE version_id NOT IN (SELECT version_id FROM e WHERE version_id IS NOT NULL)"""
 )
 def scan_reconcile(spark: SparkSession, at: str) -> DataFrame:
     works = table(spark, at, "works")
     named = works.select(F.col("canonical_version").alias("version_id")).union(works.select(F.explode("reference_versions"))).where("version_id IS NOT NULL")
-    return marked.reconcile(named, table(spark, at, "versions"), "version_id")
+    return marked.reconcile(named, table(spark, at, "versions").where("include_in_index"), "version_id")
 
 
 @query(
@@ -264,10 +318,51 @@ def block_counts(spark: SparkSession, at: str) -> DataFrame:
     return parsing.parse(_lines(spark, at), "doc_id", "profile").groupBy("doc_id", "block_type").agg(F.count("*").alias("n"), F.sum(F.length("raw_text")).cast("long").alias("n_chars"))
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS covered_twice, TRUE AS reconstructs, TRUE AS lossless FROM documents WHERE text IS NOT NULL")
+@query(f"WITH {sql.SOURCES} SELECT doc_id, CAST(length(body) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS covered_twice, md5(body) AS text_digest FROM sources")
 def parse_losslessness(spark: SparkSession, at: str) -> DataFrame:
+    """Characters that the blocks cover, and a digest of the text they make up again."""
+    s = marked.split_sources(table(spark, at, "documents"), "doc_id", "text")
+    return parsing.parse_metrics(parsing.parse(_lines(spark, at), "doc_id", "profile"), s, "doc_id").select("doc_id", "covered", "covered_twice", "text_digest")
+
+
+@query(
+    """WITH listed AS (SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'und' UNION ALL SELECT doc_id FROM documents WHERE source IS NULL AND lang IS DISTINCT FROM 'und'),
+    l AS (SELECT doc_id, count(*) AS n FROM listed GROUP BY doc_id), s AS (SELECT doc_id FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, 'repeated_version' AS issue FROM l WHERE n > 1 UNION ALL SELECT doc_id, 'no_source' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM s) UNION ALL SELECT doc_id, 'unexpected_source' FROM s WHERE doc_id NOT IN (SELECT doc_id FROM l)"""
+)
+def corpus_violations(spark: SparkSession, at: str) -> DataFrame:
+    """What would stop a run whose list leaves out documents of undetermined language and names those without a source
+    twice."""
+    docs = table(spark, at, "documents").where("NOT lang <=> 'und'")
+    listed = docs.select("doc_id").union(docs.where("source IS NULL").select("doc_id"))
     s = marked.split_sources(table(spark, at, "documents"), "doc_id", "text")
-    return parsing.parse_metrics(parsing.parse(_lines(spark, at), "doc_id", "profile"), s, "doc_id").select("doc_id", "covered_twice", "reconstructs", "lossless")
+    return corpus.corpus_violations(listed, parsing.parse_metrics(parsing.parse(_lines(spark, at), "doc_id", "profile"), s, "doc_id"), "doc_id")
+
+
+@query(
+    f"""WITH {sql.SOURCES}, v AS (SELECT doc_id, coalesce(is_canonical, FALSE) AS c, coalesce(include_in_index, FALSE) AS i FROM documents LEFT JOIN versions USING (version_id))
+    SELECT count(*) AS n_versions, count(*) FILTER (c AND i) AS n_indexable, count(*) FILTER (c) AS n_canonical, count(*) FILTER (NOT c) AS n_reference,
+      CAST(sum(coalesce(length(body), 0)) AS BIGINT) AS body_chars, bool_and(body IS NOT NULL) AS all_lossless FROM v LEFT JOIN sources USING (doc_id)"""
+)
+def corpus_measures(spark: SparkSession, at: str) -> DataFrame:
+    flags = table(spark, at, "versions").select("version_id", "is_canonical", "include_in_index")
+    listed = table(spark, at, "documents").select("doc_id", "version_id").join(flags, "version_id", "left")
+    s = marked.split_sources(table(spark, at, "documents"), "doc_id", "text")
+    metrics = parsing.parse_metrics(parsing.parse(_lines(spark, at), "doc_id", "profile"), s, "doc_id")
+    return corpus.corpus_measures(listed, metrics, "doc_id").drop("n_blocks")
+
+
+@query()
+def described_blocks(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.described(parsing.parse(_lines(spark, at), "doc_id", "profile"), "doc_id").drop("raw_text")
+
+
+@query()
+def block_violations(spark: SparkSession, at: str) -> DataFrame:
+    """What is wrong with blocks of which every page marker was moved by a character and every image left out."""
+    blocks = parsing.parse(_lines(spark, at), "doc_id", "profile").where("block_type <> 'image_reference'")
+    moved = F.col("char_start") + F.when(F.col("block_type") == "page_marker", 1).otherwise(0)
+    return corpus.block_violations(blocks.withColumn("char_start", moved), _lines(spark, at), "doc_id")
 
 
 @query(
@@ -528,13 +623,14 @@ def rrf_dense_only(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.HITS} SELECT query_id, passage_id, 'repeated_passage' AS issue FROM hits GROUP BY ALL HAVING count(*) > 1
+    f"""WITH hits AS (SELECT query_id, passage_id, lexical_rank, dense_rank - 1 AS dense_rank FROM retrieved_passages) SELECT query_id, passage_id, 'repeated_passage' AS issue FROM hits GROUP BY query_id, passage_id HAVING count(*) > 1
     UNION ALL SELECT query_id, passage_id, 'repeated_lexical_rank' FROM hits WHERE lexical_rank IS NOT NULL QUALIFY count(*) OVER (PARTITION BY query_id, lexical_rank) > 1
     UNION ALL SELECT query_id, passage_id, 'repeated_dense_rank' FROM hits WHERE dense_rank IS NOT NULL QUALIFY count(*) OVER (PARTITION BY query_id, dense_rank) > 1
     UNION ALL SELECT query_id, passage_id, 'invalid_lexical_rank' FROM hits WHERE lexical_rank < 1 UNION ALL SELECT query_id, passage_id, 'invalid_dense_rank' FROM hits WHERE dense_rank < 1"""
 )
 def fusion_integrity(spark: SparkSession, at: str) -> DataFrame:
-    return fusion.integrity(_hits(spark, at))
+    """Breaches of the stored rankings as they are, repeated rows and all, with dense ranks counted from 0."""
+    return fusion.integrity(table(spark, at, "retrieved_passages").withColumn("dense_rank", F.col("dense_rank") - 1))
 
 
 FEATURES = f"""{sql.FUSED},
@@ -653,9 +749,17 @@ def paratext_evidence(spark: SparkSession, at: str) -> DataFrame:
     return evidence.role_evidence(evidence.content_roles(_versioned(spark, at), _zones(spark, at)))
 
 
-@query(f"WITH {sql.ZONES} SELECT version_id, start_ordinal, 'gap_or_overlap' AS issue FROM zones WHERE role = 'mixed' AND FALSE")
+@query(
+    f"""WITH {sql.ZONES}, p AS (SELECT version_id FROM versions WHERE profile = 'mixed_prose_ocr') SELECT version_id, start_ordinal, 'gap_or_overlap' AS issue FROM zones JOIN p USING (version_id) WHERE role = 'authorial'
+    UNION ALL SELECT z.version_id, start_ordinal, 'ends_elsewhere' FROM zones z ANTI JOIN p ON z.version_id = p.version_id JOIN versions v ON v.version_id = z.version_id WHERE role = 'authorial' AND v.profile = 'structured_poetry'"""
+)
 def zone_validation(spark: SparkSession, at: str) -> DataFrame:
-    return evidence.zone_violations(_zones(spark, at))
+    """Breaches of a catalog whose mixed zones reach a passage too far in prose, and whose poetry has a passage more."""
+    profiles = table(spark, at, "versions").select("version_id", "profile")
+    z = _zones(spark, at).join(profiles, "version_id")
+    far = F.when((F.col("profile") == parsing.PROSE) & (F.col("role") == "mixed"), 1).otherwise(0)
+    more = F.when(F.col("profile") == parsing.POETRY, 1).otherwise(0)
+    return evidence.zone_violations(z.withColumn("end_ordinal", F.col("end_ordinal") + far).withColumn("expected_passage_count", F.col("expected_passage_count") + more))
 
 
 DECISIONS = f"""{FEATURES}, {SCOPE}, {ROLES},
@@ -689,7 +793,7 @@ def trusted_response(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.FUSED} SELECT f.query_id, f.hybrid_rank, f.passage_id, p.version_id, p.author_id, p.work_title, p.ordinal, p.previous_passage_id, p.next_passage_id FROM fused f LEFT JOIN passages p USING (passage_id)"""
+    f"""WITH {sql.FUSED} SELECT f.query_id, f.hybrid_rank, f.passage_id, p.version_id, p.author_id, p.work_title, p.ordinal, p.previous_passage_id, p.next_passage_id FROM fused f JOIN passages p USING (passage_id)"""
 )
 def enrich_hits(spark: SparkSession, at: str) -> DataFrame:
     own = table(spark, at, "passages").select("passage_id", "version_id", "author_id", "work_title", "ordinal", "previous_passage_id", "next_passage_id")
@@ -703,6 +807,51 @@ def suggestions_topn(spark: SparkSession, at: str) -> DataFrame:
     return policy.suggestions(q.where("query_text IS NOT NULL"), "query_text", _decisions(spark, at), mentions, w, links)
 
 
+def _searched(spark: SparkSession, at: str) -> tuple[search.Corpus, DataFrame]:
+    """The tables as a corpus, vectors made by hashing since no model is at hand, and every query once."""
+    p = spread(table(spark, at, "passages"))
+    encoder = dense.HashingEncoder()
+    vectors = settle(p.where("retrieval_text IS NOT NULL").select(F.col("passage_id").alias("key"), dense.encoded(F.col("retrieval_text"), encoder).alias("vector")))
+    aliases, links = _entities(spark, at)
+    queries = table(spark, at, "retrieval_answerability_v1").groupBy("query_id").agg(F.min("query_text").alias("query_text"))
+    return search.Corpus(_index(spark, at), vectors, encoder, p, aliases, links, _zones(spark, at)), queries
+
+
+@query()
+def hybrid_search(spark: SparkSession, at: str) -> DataFrame:
+    """Both rankings run and fused for every query."""
+    return search.hybrid_search(*_searched(spark, at), "query_text").hybrid
+
+
+@query()
+def trusted_search(spark: SparkSession, at: str) -> DataFrame:
+    """What each query is answered, from its text to the passages shown."""
+    return search.search(*_searched(spark, at), "query_text")
+
+
+@query()
+def search_consistency(spark: SparkSession, at: str) -> DataFrame:
+    """Hits whose ranks don't bear out those of their components; none is right."""
+    return search.run_violations(search.hybrid_search(*_searched(spark, at), "query_text"))
+
+
+@query(
+    f"""WITH {MENTIONS}, named AS (SELECT *, {scope_sql('alias')} AS n FROM al), v AS (SELECT author_id AS entity_id FROM versions WHERE author_id IS NOT NULL UNION SELECT work_id FROM versions WHERE work_id IS NOT NULL), i AS (SELECT DISTINCT entity_id FROM named WHERE in_corpus),
+    shared AS (SELECT n FROM named WHERE n <> '' GROUP BY n HAVING count(DISTINCT entity_id) > 1)
+    SELECT entity_id, 'repeated_entity' AS issue FROM named GROUP BY entity_id HAVING count(DISTINCT kind) > 1 OR count(DISTINCT in_corpus) > 1 UNION ALL SELECT DISTINCT entity_id, 'shared_alias' FROM named WHERE n IN (SELECT n FROM shared)
+    UNION ALL SELECT entity_id, 'not_in_catalog' FROM v WHERE entity_id NOT IN (SELECT entity_id FROM i) UNION ALL SELECT entity_id, 'without_version' FROM i WHERE entity_id NOT IN (SELECT entity_id FROM v)"""
+)
+def catalog_violations(spark: SparkSession, at: str) -> DataFrame:
+    return search.catalog_violations(_entities(spark, at)[0], table(spark, at, "versions"))
+
+
+@query()
+def evidence_alignment(spark: SparkSession, at: str) -> DataFrame:
+    """Evidence of one query that doesn't fit together."""
+    roles = evidence.role_evidence(evidence.content_roles(_versioned(spark, at), _zones(spark, at)))
+    return search.alignment_violations(_features(spark, at), _scope_evidence(spark, at), roles)
+
+
 # Evaluation
 
 
@@ -744,11 +893,15 @@ def latency_summary(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.FUSED}, c AS (SELECT DISTINCT query_id FROM retrieval_answerability_v1 WHERE include_in_metrics) SELECT query_id, 'missing_ranking' AS issue FROM c WHERE query_id NOT IN (SELECT query_id FROM fused)
-    UNION ALL SELECT DISTINCT query_id, 'unknown_query' FROM fused WHERE query_id NOT IN (SELECT query_id FROM retrieval_answerability_v1)"""
+    f"""WITH {sql.FUSED}, q AS (SELECT * FROM retrieval_answerability_v1 WHERE query_type <> 'out_of_corpus'), r AS (SELECT DISTINCT query_id FROM fused WHERE hybrid_rank = 1 AND lexical_rank IS NOT NULL AND dense_rank IS NOT NULL)
+    SELECT DISTINCT query_id, 'missing_ranking' AS issue FROM q WHERE include_in_metrics AND query_id NOT IN (SELECT query_id FROM r) UNION ALL SELECT query_id, 'unknown_query' FROM r WHERE query_id NOT IN (SELECT query_id FROM q)"""
 )
 def ranking_issues(spark: SparkSession, at: str) -> DataFrame:
-    return evaluation.ranking_issues(*_evaluated(spark, at))
+    """Rankings whose top hit both retrievers support, held against the queries of the corpus alone."""
+    queries = table(spark, at, "retrieval_answerability_v1").where("query_type <> 'out_of_corpus'").select("query_id", "query_type", "judgments", "include_in_metrics")
+    f = _fused(spark, at)
+    top = f.where("hybrid_rank = 1 AND lexical_rank IS NOT NULL AND dense_rank IS NOT NULL").select("query_id")
+    return evaluation.ranking_issues(queries, f.join(top, "query_id", "left_semi").select("query_id", "passage_id", F.col("hybrid_rank").alias("rank")))
 
 
 @query()
@@ -779,8 +932,7 @@ def event_sessions(spark: SparkSession, at: str) -> DataFrame:
 def stream_postings(spark: SparkSession, at: str) -> DataFrame:
     """The postings of all passages, ingested as a stream of files into the shared folder."""
     context = spark.sparkContext
-    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    out = f"{root}/{context.applicationId}-{abs(hash(at))}"
+    out = f"{shared_folder(context)}/{context.applicationId}-{hashlib.md5(at.encode()).hexdigest()}"
     like = table(spark, at, "passages")
     # The source takes folders: the folder of the table's files, or the table file's folder with a filter on its name.
     stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
