@@ -83,8 +83,8 @@ def with_draft(samples: DataFrame, drafts: DataFrame, key: str, force: bool = Fa
     new = drafts.select(key, F.col("blocks").alias("__new"))
     rows = samples.join(new, key, "left")
     empty = F.coalesce(F.size("blocks"), F.lit(0)) <= 0
-    take = F.col("__new").isNotNull() & (F.lit(force) | empty)
-    return rows.withColumn("blocks", F.when(take, F.col("__new")).otherwise(F.col("blocks"))).withColumn("drafted", take).drop("__new")
+    rows = rows.withColumn("drafted", F.col("__new").isNotNull() & (F.lit(force) | empty))
+    return rows.withColumn("blocks", F.when(F.col("drafted"), F.col("__new")).otherwise(F.col("blocks"))).drop("__new")
 
 
 def count_differences(blocks: DataFrame, expected: DataFrame, key: str) -> DataFrame:
