@@ -166,5 +166,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+#: SQL of the queries that DuckDB can answer by itself: sizes, and the first place by the sum of ranks, at which the walk
+#: arrives too.
+WHITE = r"\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ORACLES = {
+    "p3_found": f"SELECT DISTINCT passage_id FROM passages WHERE length(display_text) > 2000 OR len(regexp_extract_all(display_text, '[^{WHITE}]+')) > 300",
+    "p6_found": """WITH b AS (SELECT query_id, passage_id, -min(lexical_rank) AS l, -min(dense_rank) AS d, max(fusion_score) AS f FROM retrieved_passages GROUP BY query_id, passage_id),
+      s AS (SELECT query_id, passage_id, sum(r) AS ahead FROM (SELECT query_id, passage_id, rank() OVER (PARTITION BY query_id ORDER BY l DESC NULLS LAST) AS r FROM b
+        UNION ALL SELECT query_id, passage_id, rank() OVER (PARTITION BY query_id ORDER BY d DESC NULLS LAST) FROM b UNION ALL SELECT query_id, passage_id, rank() OVER (PARTITION BY query_id ORDER BY f DESC NULLS LAST) FROM b) GROUP BY query_id, passage_id)
+      SELECT query_id, passage_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ahead, passage_id) = 1""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
