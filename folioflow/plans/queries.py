@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import normalize as nrm
 from folioflow.functions.lineage import settle, shared_folder, spread
-from folioflow.operators import building, corpus, dense, evaluation, evidence, fusion, lexical, parsing, passages, policy, search, store, units
+from folioflow.operators import building, corpus, dense, evaluation, evidence, fusion, inventory, lexical, parsing, passages, policy, search, store, units
 from folioflow.plans import sqltext as sql
 from folioflow.sources import marked, metadata, stores
 from folioflow.sources.tables import duplicates, table
@@ -56,7 +56,7 @@ def norm_scope(spark: SparkSession, at: str) -> DataFrame:
 
 @query()
 def norm_changes(spark: SparkSession, at: str) -> DataFrame:
-    return nrm.normalization_changes(table(spark, at, "passages").select("passage_id", "display_text"), "display_text").drop("display_text")
+    return nrm.normalization_changes(spread(table(spark, at, "passages").select("passage_id", "display_text")), "display_text").drop("display_text")
 
 
 @query(
@@ -84,6 +84,24 @@ def char_inventory(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "passages").groupBy("version_id").agg(F.count("*").alias("n_passages"), *counts)
 
 
+@query(
+    """SELECT version_id, ord(c) AS code_point, count(*) AS n FROM (SELECT version_id, unnest(regexp_extract_all(display_text, '(?s).')) AS c FROM passages) GROUP BY ALL"""
+)
+def code_points(spark: SparkSession, at: str) -> DataFrame:
+    return inventory.code_points(spread(table(spark, at, "passages").select("version_id", "display_text")), "version_id", "display_text")
+
+
+@query(
+    """WITH w AS (SELECT version_id, passage_id, unnest(regexp_extract_all(display_text, '[0-9٠-٩۰-۹]+')) AS found FROM passages),
+    c AS (SELECT version_id, CASE WHEN regexp_matches(found, '^[0-9]+$') THEN 'ascii' WHEN regexp_matches(found, '^[٠-٩]+$') THEN 'arabic' WHEN regexp_matches(found, '^[۰-۹]+$') THEN 'persian' ELSE 'mixed' END AS kind, found, passage_id FROM w)
+    SELECT version_id, kind, CAST(row_number() OVER (PARTITION BY version_id, kind ORDER BY n DESC, found) AS INTEGER) AS place, found, n FROM (SELECT version_id, kind, found, count(*) AS n FROM c GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY version_id, kind ORDER BY n DESC, found) <= 25"""
+)
+def digit_examples(spark: SparkSession, at: str) -> DataFrame:
+    """The most frequent numbers of each digit script in each version, 25 at most."""
+    return inventory.digit_examples(spread(table(spark, at, "passages").select("version_id", "display_text")), "version_id", "display_text", 25)
+
+
 @query(
     f"""SELECT version_id, CASE WHEN v IS NULL OR v = '' THEN 'missing' WHEN regexp_matches(v, '(?i){'|'.join(nrm.PLACEHOLDER_PHRASES)}') THEN 'placeholder' ELSE 'valid' END AS status
     FROM (SELECT version_id, {sql.strip('status_raw')} AS v FROM versions)"""
@@ -276,7 +294,7 @@ def header_metadata(spark: SparkSession, at: str) -> DataFrame:
 
 def _lines(spark: SparkSession, at: str) -> DataFrame:
     """Lines of all documents with their profile; documents without one are read as mixed prose."""
-    docs = table(spark, at, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, at, "documents").where("text IS NOT NULL"))
     lines = marked.source_lines(marked.split_sources(docs, "doc_id", "text"), "doc_id")
     return lines.join(docs.select("doc_id", F.coalesce("profile", F.lit(parsing.PROSE)).alias("profile")), "doc_id")
 
@@ -520,7 +538,7 @@ def _asked(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, at: str) -> lexical.Index:
-    return lexical.build_index(table(spark, at, "passages"), "passage_id", "search_alias_text")
+    return lexical.build_index(spread(table(spark, at, "passages")), "passage_id", "search_alias_text")
 
 
 @query(f"WITH {sql.INDEX} SELECT query_id, array_to_string(q_tokens, ' ') AS q_tokens, len(q_terms) AS n_terms FROM q")

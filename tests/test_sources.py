@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import parsing, store, units
-from folioflow.sources import catalogs, marked, tables
+from folioflow.operators import corpus, inventory, parsing, store, units
+from folioflow.sources import catalogs, exports, marked, tables
 from folioflow.streaming import ingest
 
 HEAD = "######OpenITI#\n\n#META# 010.Title :: دیوان\n#META# x: NA\n#META# nothing\n#META#Header#End#\n"
@@ -123,3 +125,60 @@ def test_streams(spark, tmp_path):
     e = spark.sql("SELECT 1 AS u, timestamp'2024-01-01 00:10:00' AS ts, 'k' AS kind, 2.0D AS v UNION ALL SELECT 1, timestamp'2024-01-01 00:20:00', 'k', 3.0D UNION ALL SELECT 1, timestamp'2024-01-01 02:00:00', 'k', 1.0D")
     assert [r.n for r in ingest.event_windows(e, "ts", "kind", "v").orderBy("window_start").collect()] == [2, 1]
     assert ingest.sessions(e, "u", "ts").count() == 2
+
+
+def test_parsed_versions_round_trip(spark, tmp_path):
+    versions = spark.createDataFrame([("a", "w", "v", "p", True, True)], "author_id string, work_id string, version_id string, profile string, include_in_index boolean, is_canonical boolean")
+    blocks = spark.createDataFrame([("v", "v:b0002", "verse", 5, 9, 2, "text", "g"), ("v", "v:b0001", "blank", 0, 5, 1, "\n", None)], "k string, block_id string, block_type string, char_start long, char_end long, line_number int, raw_text string, group_id string")
+    docs = exports.parsed_documents(versions, blocks, "k")
+    exports.write_parsed(docs, docs.groupBy().count(), str(tmp_path / "p"))
+    read = exports.read_parsed(spark, str(tmp_path / "p" / "versions"))
+    assert [b.block_id for b in read.first().document.blocks] == ["v:b0001", "v:b0002"]
+    bad = docs.withColumn("file", F.lit("other")).union(docs)
+    assert {r.issue for r in exports.parsed_violations(bad).collect()} == {"file_differs", "repeated_version"}
+    exports.write_passages(spark.createDataFrame([("v", "v:1", "x"), ("v", "v:2", None)], "version_id string, passage_id string, t string"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j" / "manifest")).first().line_count == 2 and spark.read.json(str(tmp_path / "j" / "versions")).count() == 2
+
+
+def test_golden_samples(spark, tmp_path):
+    sample = {
+        "schema_version": "1", "sample_id": "s", "version_id": "v", "profile": "p", "line_start": 1, "line_end": 2, "char_start": 0, "char_end": 9, "raw_text": "ab\ncdefg\n",
+        "lines": [{"line_number": 1, "char_start": 0, "char_end": 3, "text": "ab\n"}, {"line_number": 2, "char_start": 3, "char_end": 9, "text": "cdefg\n"}],
+        "annotations": {"status": "done", "blocks": [{"block_id": "b1", "block_type": "raw", "char_start": 0, "char_end": 3, "line_start": 1, "line_end": 1, "raw_text": "ab\n", "group_id": None}, {"block_id": "b2", "block_type": "raw", "char_start": 3, "char_end": 9, "line_start": 2, "line_end": 2, "raw_text": "cdeXg\n", "group_id": None}], "notes": None},
+    }
+    (tmp_path / "s.json").write_text(json.dumps(sample, indent=1))
+    g = exports.read_golden(spark, str(tmp_path / "s.json"))
+    assert [(r.block_no, r.issue) for r in corpus.block_violations(exports.golden_blocks(g), exports.golden_lines(g), "sample_id").collect()] == [(2, "text_differs")]
+    lines = spark.createDataFrame([("v", 1, 0, 3, "ab\n"), ("v", 2, 3, 8, "cdef\n")], "v string, line_number int, char_start long, char_end long, line string")
+    assert [(r.line_number, r.issue) for r in exports.sample_differences(g, lines, "v").collect()] == [(2, "offsets_differ")]
+    exports.write_samples(g, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_plain_values_settings_and_codes(spark, tmp_path):
+    import datetime
+    import enum
+    import pathlib
+
+    class Kind(enum.Enum):
+        A = "a"
+
+    assert exports.plain_value({1: {Kind.A, None}, "p": (pathlib.PurePosixPath("x/y"), datetime.date(2020, 1, 2), 1.5)}) == {"1": ["a", None], "p": ["x/y", "2020-01-02", 1.5]}
+    with pytest.raises(TypeError):
+        exports.plain_value(object())
+    env = {"FOLIOFLOW_STORE": str(tmp_path), "FOLIOFLOW_INDEX": "/nowhere/i", "FOLIOFLOW_VECTORS": str(tmp_path), "FOLIOFLOW_SUGGESTIONS": "no"}
+    settings = exports.ServiceSettings.of(env)
+    assert settings.limit == 10 and not settings.suggestions and settings.missing_paths(spark) == ["/nowhere/i"]
+    for wrong in ({}, env | {"FOLIOFLOW_LIMIT": "0"}, env | {"FOLIOFLOW_SUGGESTIONS": "maybe"}):
+        with pytest.raises(ValueError):
+            exports.ServiceSettings.of(wrong)
+    df = spark.createDataFrame([(["a", "b"], '["c"]', "{"), (None, None, None)], "l array<string>, t string, u string")
+    assert df.select(exports.encoded_list("l"), exports.decoded_list("t")).first()[:] == ('["a","b"]', ["c"])
+    assert exports.exit_code(df) == 1 and exports.exit_code(df.limit(0)) == 0 and exports.exit_code(None) == 2
+    assert json.loads(exports.report_json(n=df.groupBy().count()))["n"] == [{"count": 2}]
+
+
+def test_inventory(spark):
+    df = spark.createDataFrame([("v", "a1٢ 12"), ("v", "12 ۳"), (None, "é"), ("w", None)], "k string, t string")
+    assert {(r.k, r.code_point): r.n for r in inventory.code_points(df, "k", "t").collect()}["v", ord("1")] == 3
+    assert [(r.kind, r.found, r.n) for r in inventory.digit_examples(df, "k", "t", 1).orderBy("kind").collect()] == [("ascii", "12", 2), ("mixed", "1٢", 1), ("persian", "۳", 1)]
