@@ -34,6 +34,28 @@ def merge_attributes(attributes: DataFrame, unit: str, name: str, value: str) ->
     return per.select(unit, name, F.when(F.col("n") == 1, F.col("least")).alias(value), (F.col("n") > 1).alias("conflict"))
 
 
+def attribute_map(pairs: Column) -> Column:
+    """A map of a list of (name, value) pairs; a name given twice fails, as a map can't hold it."""
+    return F.map_from_entries(pairs)
+
+
+def own_group(given: Column, noted: Column) -> tuple[Column, Column]:
+    """The group id of a block, given by itself or noted among its attributes, and whether the two contradict."""
+    return F.coalesce(given, noted), given.isNotNull() & noted.isNotNull() & (given != noted)
+
+
+def spanned_markers(units: DataFrame, markers: DataFrame, key: str) -> DataFrame:
+    """key, unit_id, n_pages, n_images, n_milestones and spans_page: markers (key, char_start, char_end, block_type) that lie
+    within each unit. A marker belongs to the last unit that begins at or before it."""
+    u = units.select(key, F.col("char_start").alias("at"), F.lit(0).alias("side"), F.struct("unit_id", "char_end").alias("unit"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("e"))
+    m = markers.select(key, F.col("char_start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(u.schema["unit"].dataType).alias("unit"), F.col("block_type").alias("kind"), F.col("char_end").cast("long").alias("e"))
+    rows = ordered.last_so_far(ordered.blocked(u.unionByName(m), [key], ["at", "side", "e"]), {"held": F.col("unit")}).where("side = 1 AND e <= held.char_end")
+    count = lambda t: F.sum(F.when(F.col("kind") == t, 1).otherwise(0))
+    per = rows.groupBy(key, F.col("held.unit_id").alias("unit_id")).agg(count("page_marker").alias("n_pages"), count("image_reference").alias("n_images"), count("milestone").alias("n_milestones"))
+    out = units.select(key, "unit_id").join(per, [key, "unit_id"], "left").na.fill(0, ["n_pages", "n_images", "n_milestones"])
+    return out.withColumn("spans_page", F.col("n_pages") > 0)
+
+
 def page_context(units: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """Units with the last marker that ends at or before them, the first that starts at or after them, and how many
     lie within. markers: key, char_start, char_end, label. One pass over both, ordered by position (as-of joins)."""

@@ -922,7 +922,14 @@ def ranking_issues(spark: SparkSession, at: str) -> DataFrame:
     return evaluation.ranking_issues(queries, f.join(top, "query_id", "left_semi").select("query_id", "passage_id", F.col("hybrid_rank").alias("rank")))
 
 
-@query()
+@query(
+    f"""WITH {DECISIONS}, {METRICS[len(sql.FUSED) + 2:]}, types AS (SELECT query_id, any_value(query_type) <> 'out_of_corpus' AS ok FROM retrieval_answerability_v1 WHERE include_in_metrics GROUP BY query_id),
+    found AS (SELECT query_id, max(recall) FILTER (k = 1) AS r1, max(recall) FILTER (k = 5) AS r5, max(recall) FILTER (k = 10) AS r10 FROM metrics GROUP BY query_id),
+    x AS (SELECT ok, action = 'return_results' AS a, r1, r5, r10 FROM types JOIN decisions USING (query_id) LEFT JOIN found USING (query_id))
+    SELECT count(*) AS n_queries, count(*) FILTER (ok) AS n_answerable, count(*) FILTER (ok AND a) AS retained, count(*) FILTER (NOT ok AND NOT a) AS rejected, count(*) FILTER (ok AND NOT a) AS false_abstentions, count(*) FILTER (NOT ok AND a) AS false_acceptances,
+      round(count(*) FILTER (ok = a) / count(*), 6) AS accuracy, round(count(*) FILTER (a) / count(*), 6) AS coverage, round(count(*) FILTER (ok AND a) / nullif(count(*) FILTER (a), 0), 6) AS precision,
+      round(count(*) FILTER (NOT ok AND NOT a OR ok AND a AND r1 > 0) / count(*), 6) AS end_to_end_1, round(count(*) FILTER (NOT ok AND NOT a OR ok AND a AND r5 > 0) / count(*), 6) AS end_to_end_5, round(count(*) FILTER (NOT ok AND NOT a OR ok AND a AND r10 > 0) / count(*), 6) AS end_to_end_10 FROM x"""
+)
 def answerability_report(spark: SparkSession, at: str) -> DataFrame:
     q, rankings = _evaluated(spark, at)
     return evaluation.answerability(q, _decisions(spark, at), evaluation.query_metrics(q, rankings))

@@ -69,3 +69,34 @@ def policy_config(data: dict[str, Any]) -> PolicyConfig:
     if unknown:
         raise ValueError(f"unknown settings {sorted(unknown)}")
     return PolicyConfig(**data)
+
+
+def work_versions(versions: DataFrame, work: str) -> DataFrame:
+    return versions.where(versions["work_id"] == work)
+
+
+def canonical_versions(versions: DataFrame) -> DataFrame:
+    return versions.where("is_canonical")
+
+
+def reference_versions(versions: DataFrame) -> DataFrame:
+    return versions.where("NOT is_canonical")
+
+
+def indexable_versions(versions: DataFrame) -> DataFrame:
+    return versions.where("is_canonical AND include_in_index")
+
+
+def entities_of(entities: DataFrame, kind: str, in_corpus: bool = True) -> DataFrame:
+    """entity_id and label of the authors or works inside or outside of the corpus, in catalog order."""
+    rows = entities.where((entities["kind"] == kind) & (entities["in_corpus"] == in_corpus))
+    return rows.groupBy("entity_id", "label").agg({"catalog_order": "min"}).orderBy("min(catalog_order)").select("entity_id", "label")
+
+
+def entity(entities: DataFrame, entity_id: str) -> DataFrame:
+    return entities.where(entities["entity_id"] == entity_id)
+
+
+def expected_counts(zones: DataFrame) -> DataFrame:
+    """version_id and expected_passage_count of the versions that have zones."""
+    return zones.select("version_id", "expected_passage_count").distinct()

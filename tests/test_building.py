@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.lineage import shared_folder
 from folioflow.operators import building, corpus, dense, lexical, parsing, policy, search, units
-from folioflow.sources import marked, metadata, stores
+from folioflow.sources import catalogs, marked, metadata, stores
 
 
 def unit_rows(spark, rows):
@@ -255,3 +255,26 @@ def test_response_is_json(spark):
     q = spark.createDataFrame([("q1", "red sea")], "query_id string, t string")
     row = search.search(c, q, "t").select(F.to_json(F.struct("*")).alias("j")).first()
     assert json.loads(row.j)["passages"][0]["reference"]["version_id"] == "v"
+
+
+def test_markers_within_units(spark):
+    u = spark.createDataFrame([("k", "a", 0, 10), ("k", "b", 20, 40)], "k string, unit_id string, char_start long, char_end long")
+    m = spark.createDataFrame([("k", 2, 4, "page_marker"), ("k", 12, 14, "page_marker"), ("k", 20, 24, "milestone"), ("k", 30, 33, "image_reference"), ("k", 38, 44, "page_marker")], "k string, char_start long, char_end long, block_type string")
+    got = {r.unit_id: (r.n_pages, r.n_images, r.n_milestones, r.spans_page) for r in units.spanned_markers(u, m, "k").collect()}
+    assert got == {"a": (1, 0, 0, True), "b": (0, 1, 1, False)}
+    g = spark.createDataFrame([("x", None), ("x", "x"), ("x", "y"), (None, "y")], "g string, n string")
+    own, clash = units.own_group(F.col("g"), F.col("n"))
+    assert [tuple(r) for r in g.select(own, clash).collect()] == [("x", False), ("x", False), ("x", True), ("y", False)]
+    assert spark.range(1).select(units.attribute_map(F.expr("array(struct('a', 1))"))).first()[0] == {"a": 1}
+
+
+def test_catalog_projections(spark):
+    data = {"works": {"w": {"title_fa": "T", "profile": "p", "canonical_version": "w.a", "include_in_index": False, "reference_versions": ["w.b"]}, "x": {"title_fa": "U", "profile": "p", "canonical_version": "x.a"}}}
+    v = catalogs.manifest_versions(spark, data)
+    ids = lambda df: sorted(r.version_id for r in df.collect())
+    assert ids(catalogs.canonical_versions(v)) == ["w.a", "x.a"] and ids(catalogs.reference_versions(v)) == ["w.b"] and ids(catalogs.indexable_versions(v)) == ["x.a"] and ids(catalogs.work_versions(v, "w")) == ["w.a", "w.b"]
+    scope = {"in_corpus": {"authors": {"b": {"label_fa": "B", "aliases": ["b2"]}, "a": {"label_fa": "A", "aliases": ["a2"]}}, "works": {}}, "known_out_of_corpus": {"authors": {"c": {"label_fa": "C", "aliases": ["c2"]}}, "works": {}}}
+    e = catalogs.scope_entities(spark, scope)
+    assert [r.entity_id for r in catalogs.entities_of(e, "author").collect()] == ["b", "a"] and catalogs.entity(e, "c").count() == 2
+    z = catalogs.paratext_zones(spark, {"versions": {"v": {"expected_passage_count": 3, "zones": [{"start_ordinal": 1, "end_ordinal": 3, "role": "authorial"}]}}})
+    assert catalogs.expected_counts(z).first()[:] == ("v", 3)
