@@ -17,7 +17,7 @@ def described(blocks: DataFrame, key: str) -> DataFrame:
     number = lambda pattern, k, only: F.when(kind == only, F.try_to_number(F.nullif(F.regexp_extract(raw, pattern, k), F.lit("")), F.lit("999999999")).cast("int"))
     image = lambda k: F.when(kind == "image_reference", F.regexp_extract(raw, "!\\[([^\\]]*)\\]\\(([^)]+)\\)", k))
     return blocks.select(
-        "*", F.concat(F.col(key).cast("string"), F.lit(":b"), F.lpad(F.col("block_no").cast("string"), 4, "0")).alias("block_id"),
+        "*", F.format_string("%s:b%04d", F.col(key).cast("string"), F.col("block_no")).alias("block_id"),
         F.when(kind.isin(*MARKER_TYPES, "blank"), "").otherwise(F.trim(F.regexp_replace(raw, "^\\s+|\\s+$", ""))).alias("content_text"),
         number(PAGE, 1, "page_marker").alias("page_volume"), number(PAGE, 2, "page_marker").alias("page_number"), number(MILESTONE, 1, "milestone").alias("milestone"),
         image(1).alias("image_alt"), image(2).alias("image_target"), F.element_at(F.split(image(2), "/"), -1).alias("image_name"),

@@ -85,7 +85,7 @@ def line_groups(lines: DataFrame, key: str, profile: str) -> DataFrame:
     number = F.sum("__starts").over(Window.partitionBy(key, "block_type").orderBy("line_number"))
     prefix = F.when(F.col("block_type") == "raw", "raw_ocr").otherwise(F.col("block_type"))
     grouped = F.col("block_type").isin("section", "heading", "verse", "paragraph") | ((F.col("block_type") == "raw") & (F.col(profile) == RAW_OCR))
-    group = F.when(grouped, F.concat(prefix, F.lit("_"), F.lpad(number.cast("string"), 4, "0")))
+    group = F.when(grouped, F.format_string("%s_%04d", prefix, number))
     return rows.withColumn("group_id", group).drop("__event", "__open", "__starts")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import normalize as nrm
 from folioflow.functions.lineage import settle, shared_folder, spread
 from folioflow.operators import building, corpus, dense, evaluation, evidence, fusion, inventory, lexical, parsing, passages, policy, search, store, units
+from folioflow.plans import parsesql as psql
 from folioflow.plans import sqltext as sql
 from folioflow.sources import marked, metadata, stores
 from folioflow.sources.tables import duplicates, table
@@ -326,12 +327,12 @@ def line_classes(spark: SparkSession, at: str) -> DataFrame:
     return parsing.line_classes(_lines(spark, at), "profile").groupBy("profile", "class").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {psql.BLOCKS} SELECT doc_id, block_no, block_type, group_id, line_number, char_start, char_end FROM blocks")
 def block_parse(spark: SparkSession, at: str) -> DataFrame:
     return parsing.parse(_lines(spark, at), "doc_id", "profile").drop("raw_text")
 
 
-@query()
+@query(f"WITH {psql.BLOCKS} SELECT doc_id, block_type, count(*) AS n, CAST(sum(length(raw_text)) AS BIGINT) AS n_chars FROM blocks GROUP BY doc_id, block_type")
 def block_counts(spark: SparkSession, at: str) -> DataFrame:
     return parsing.parse(_lines(spark, at), "doc_id", "profile").groupBy("doc_id", "block_type").agg(F.count("*").alias("n"), F.sum(F.length("raw_text")).cast("long").alias("n_chars"))
 
@@ -407,24 +408,24 @@ def _units(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     return blocks, units.logical_units(blocks.where("group_id IS NOT NULL"), "doc_id")
 
 
-@query()
+@query(f"WITH {psql.UNITS} SELECT doc_id, unit_id, unit_type, component_count, char_start, char_end, has_gaps, issue FROM units")
 def logical_units(spark: SparkSession, at: str) -> DataFrame:
     return _units(spark, at)[1].drop("raw_text")
 
 
-@query()
+@query(f"WITH {psql.CLEANED} SELECT doc_id, unit_id, unit_type, display_text, retrieval_text, verse_number FROM cleaned")
 def markup_cleanup(spark: SparkSession, at: str) -> DataFrame:
-    return units.cleanup(_units(spark, at)[1]).select("doc_id", "unit_id", "unit_type", "display_text", "retrieval_text", "verse_number", "cleanup_issue")
+    return units.cleanup(_units(spark, at)[1]).select("doc_id", "unit_id", "unit_type", "display_text", "retrieval_text", "verse_number")
 
 
-@query()
+@query(f"WITH {psql.PAGES} SELECT * FROM paged")
 def page_context(spark: SparkSession, at: str) -> DataFrame:
     blocks, us = _units(spark, at)
     pages = blocks.where("block_type = 'page_marker'").select("doc_id", "char_start", "char_end", F.trim("raw_text").alias("label"))
     return units.page_context(us.select("doc_id", "unit_id", "char_start", "char_end"), pages, "doc_id")
 
 
-@query()
+@query(f"WITH {psql.HEADED} SELECT * FROM headed")
 def heading_context(spark: SparkSession, at: str) -> DataFrame:
     return units.heading_context(_units(spark, at)[1], "doc_id").select("doc_id", "unit_id", "unit_type", "section_id", "heading_id")
 
