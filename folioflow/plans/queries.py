@@ -55,7 +55,29 @@ def norm_scope(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "passages").select("passage_id", nrm.normalize_scope("display_text").alias("scope_view"))
 
 
-@query()
+def _found(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, '{pattern}'))"
+
+
+NO_SPACE = sql.WHITE.replace(" ", "", 1)
+STEPS = rf"""a AS (SELECT passage_id, display_text AS t, replace(replace(display_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS le FROM passages WHERE display_text IS NOT NULL),
+b AS (SELECT *, nfc_normalize(le) AS nfc FROM a), c AS (SELECT *, replace(nfc, chr(1728), chr(1607) || chr(1620)) AS heh FROM b), d AS (SELECT *, translate(heh, chr(160) || chr(8199) || chr(8239), '   ') AS sp FROM c),
+e AS (SELECT *, regexp_replace(sp, '{sql.CONTROLS}', '', 'g') AS ctl FROM d), f AS (SELECT *, regexp_replace(ctl, '{sql.FORMATS}', '', 'g') AS fmt FROM e),
+g AS (SELECT *, regexp_replace(regexp_replace(fmt, '[ 	]+', ' ', 'g'), '(?m)^[{sql.BLANK}]+|[{sql.BLANK}]+$', '', 'g') AS col FROM f), h AS (SELECT *, {sql.strip('col')} AS shown FROM g),
+i AS (SELECT *, replace(replace(replace(regexp_replace(regexp_replace(translate(shown, 'يىك{nrm.ARABIC_DIGITS}', 'ییک{nrm.DIGITS}'), '{sql.HARAKAT}', '', 'g'), '{sql.QURANIC}', '', 'g'), chr(1600), ''), chr(8204), ' '), chr(8205), '') AS bare FROM h),
+j AS (SELECT *, {sql.squeeze('bare')} AS searched FROM i)"""
+CHANGES = [
+    ("display", "normalize_line_endings", _found("t", r"\r\n|\r")), ("display", "unicode_nfc", "CAST(nfc <> le AS INTEGER)"), ("display", "standardize_heh_hamza", _found("nfc", r"\x{06C0}")),
+    ("display", "normalize_space_variants", _found("heh", r"[\x{00A0}\x{2007}\x{202F}]")), ("display", "remove_control_characters", _found("sp", sql.CONTROLS)), ("display", "remove_format_characters", _found("ctl", sql.FORMATS)),
+    ("display", "collapse_horizontal_spaces", _found("fmt", r"(?m)^[ \t]+|[ \t]+$|\t[ \t]*|[ \t][ \t]+")), ("display", "trim_outer_whitespace", "CAST(shown <> col AS INTEGER)"),
+    ("retrieval", "map_yeh_variants", _found("shown", "[يى]")), ("retrieval", "map_arabic_kaf", _found("shown", "ك")), ("retrieval", "map_digits_to_ascii", _found("shown", f"[{nrm.ARABIC_DIGITS}]")),
+    ("retrieval", "remove_arabic_harakat", _found("shown", sql.HARAKAT)), ("retrieval", "remove_quranic_marks", _found("shown", sql.QURANIC)), ("retrieval", "remove_tatweel", _found("shown", r"\x{0640}")),
+    ("retrieval", "replace_zwnj_with_space", _found("shown", r"\x{200C}")), ("retrieval", "remove_zwj", _found("shown", r"\x{200D}")), ("retrieval", "collapse_whitespace", _found("bare", f"^{sql.WHITE}+|{sql.WHITE}+$|{sql.WHITE}{sql.WHITE}+|{NO_SPACE}")),
+    ("search_alias", "fold_alef_hamza_variants", _found("searched", "[أإٱ]")), ("search_alias", "fold_ta_marbuta", _found("searched", "ة")), ("search_alias", "fold_heh_hamza", _found("searched", r"\x{0647}\x{0654}")),
+]
+
+
+@query(f"WITH {STEPS} SELECT passage_id, view, operation, CAST(n AS INTEGER) AS count FROM (" + " UNION ALL ".join(f"SELECT passage_id, '{v}' AS view, '{o}' AS operation, {n} AS n FROM j" for v, o, n in CHANGES) + ") WHERE n > 0")
 def norm_changes(spark: SparkSession, at: str) -> DataFrame:
     return nrm.normalization_changes(spread(table(spark, at, "passages").select("passage_id", "display_text")), "display_text").drop("display_text")
 
@@ -371,7 +393,15 @@ def corpus_measures(spark: SparkSession, at: str) -> DataFrame:
     return corpus.corpus_measures(listed, metrics, "doc_id").drop("n_blocks")
 
 
-@query()
+@query(
+    rf"""WITH {psql.BLOCKS} SELECT doc_id, block_no, block_type, group_id, line_number, char_start, char_end, CAST(doc_id AS VARCHAR) || ':b' || format('{{{{:04d}}}}', block_no) AS block_id,
+      CASE WHEN block_type IN ('page_marker', 'milestone', 'image_reference', 'blank') THEN '' ELSE trim(regexp_replace(raw_text, '^\s+|\s+$', '', 'g')) END AS content_text,
+      CASE WHEN block_type = 'page_marker' THEN TRY_CAST(regexp_extract(raw_text, '(?i:PageV([0-9]+)P([0-9]+))', 1) AS INTEGER) END AS page_volume, CASE WHEN block_type = 'page_marker' THEN TRY_CAST(regexp_extract(raw_text, '(?i:PageV([0-9]+)P([0-9]+))', 2) AS INTEGER) END AS page_number,
+      CASE WHEN block_type = 'milestone' THEN TRY_CAST(regexp_extract(raw_text, '\bms([0-9]+)\b', 1) AS INTEGER) END AS milestone,
+      CASE WHEN block_type = 'image_reference' THEN regexp_extract(raw_text, '!\[([^\]]*)\]\(([^)]+)\)', 1) END AS image_alt, CASE WHEN block_type = 'image_reference' THEN regexp_extract(raw_text, '!\[([^\]]*)\]\(([^)]+)\)', 2) END AS image_target,
+      CASE WHEN block_type = 'image_reference' THEN string_split(regexp_extract(raw_text, '!\[([^\]]*)\]\(([^)]+)\)', 2), '/')[-1] END AS image_name,
+      CASE WHEN block_type = 'heading' THEN CAST(length(regexp_extract(raw_text, '^\s*(#+)', 1)) AS INTEGER) END AS heading_level, CASE WHEN block_type = 'verse' THEN TRY_CAST(nullif(regexp_extract(raw_text, '^\s*#\s*([0-9]+)\b', 1), '') AS INTEGER) END AS verse_number FROM blocks"""
+)
 def described_blocks(spark: SparkSession, at: str) -> DataFrame:
     return corpus.described(parsing.parse(_lines(spark, at), "doc_id", "profile"), "doc_id").drop("raw_text")
 
@@ -469,7 +499,24 @@ def verse_windows(spark: SparkSession, at: str) -> DataFrame:
     return passages.verse_windows(_verses(spark, at), ["passage_id"], "verse_no", "least")
 
 
-@query()
+PACKING = f"""w AS (SELECT version_id, heading_path_json, ordinal, part, list_filter(string_split(regexp_replace(lines[part + 1], '{sql.WHITE}+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
+  FROM (SELECT *, unnest(range(0, len(lines))) AS part FROM (SELECT version_id, heading_path_json, ordinal, string_split(retrieval_text, chr(10)) AS lines FROM passages WHERE kind = 'mixed_prose' AND retrieval_text IS NOT NULL))),
+c AS (SELECT version_id, heading_path_json, coalesce(heading_path_json, chr(1)) AS h, CAST(ordinal AS BIGINT) * 1000000000 + part * 1000000 + i // 300 AS place, len(ws[i + 1:i + 300]) AS n FROM (SELECT *, unnest(range(0, len(ws), 300)) AS i FROM w WHERE len(ws) > 0)),
+m AS (SELECT *, row_number() OVER r AS rn, sum(n) OVER r AS total FROM c WINDOW r AS (PARTITION BY version_id, h ORDER BY place)),
+f AS (SELECT version_id, h, rn, 1 AS p, n AS held FROM m WHERE rn = 1
+  UNION ALL SELECT m.version_id, m.h, m.rn, CASE WHEN held >= 180 OR held + m.n > 300 THEN p + 1 ELSE p END, CASE WHEN held >= 180 OR held + m.n > 300 THEN m.n ELSE held + m.n END FROM f JOIN m ON m.version_id = f.version_id AND m.h = f.h AND m.rn = f.rn + 1),
+ends AS (SELECT version_id, h, max(p) AS last, max(total) AS whole FROM m JOIN f USING (version_id, h, rn) GROUP BY ALL),
+edges AS (SELECT version_id, h, last, whole, min(rn) FILTER (p = last - 1) - 1 AS a, min(rn) FILTER (p = last) - 1 AS b FROM f JOIN ends USING (version_id, h) GROUP BY ALL HAVING last > 1),
+points AS (SELECT version_id, h, rn AS k, total FROM m UNION ALL SELECT DISTINCT version_id, h, 0, 0 FROM m),
+based AS (SELECT e.*, total AS before FROM edges e JOIN points ON points.version_id = e.version_id AND points.h = e.h AND k = a),
+cuts AS (SELECT b.version_id, b.h, last, whole, a, before, least(b, greatest(max(k) FILTER (whole - total >= 80), min(k) FILTER (total - before >= 80), min(k) FILTER (whole - total <= 300), a + 1)) AS cut FROM based b JOIN points p ON p.version_id = b.version_id AND p.h = b.h GROUP BY b.version_id, b.h, last, whole, a, b, before),
+evened AS (SELECT q.version_id, q.h, last, a, cut, whole - total < 80 AND whole - before <= 300 AS joined FROM cuts q JOIN points p ON p.version_id = q.version_id AND p.h = q.h AND k = cut)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PACKING} SELECT m.version_id, heading_path_json, place AS at, CAST(CASE WHEN e.last IS NULL OR rn <= a THEN p WHEN joined OR rn <= cut THEN e.last - 1 ELSE e.last END AS INTEGER) AS passage_no
+    FROM m JOIN f USING (version_id, h, rn) LEFT JOIN evened e ON e.version_id = m.version_id AND e.h = m.h"""
+)
 def prose_packing(spark: SparkSession, at: str) -> DataFrame:
     """Paragraphs of every version's prose, packed chapter by chapter; paragraphs above the hard limit are cut first."""
     p = table(spark, at, "passages").where("kind = 'mixed_prose'")
