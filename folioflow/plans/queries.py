@@ -394,7 +394,7 @@ def corpus_measures(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {psql.BLOCKS} SELECT doc_id, block_no, block_type, group_id, line_number, char_start, char_end, CAST(doc_id AS VARCHAR) || ':b' || format('{{{{:04d}}}}', block_no) AS block_id,
+    rf"""WITH {psql.BLOCKS} SELECT doc_id, block_no, block_type, group_id, line_number, char_start, char_end, CAST(doc_id AS VARCHAR) || ':b' || format('{{:04d}}', block_no) AS block_id,
       CASE WHEN block_type IN ('page_marker', 'milestone', 'image_reference', 'blank') THEN '' ELSE trim(regexp_replace(raw_text, '^\s+|\s+$', '', 'g')) END AS content_text,
       CASE WHEN block_type = 'page_marker' THEN TRY_CAST(regexp_extract(raw_text, '(?i:PageV([0-9]+)P([0-9]+))', 1) AS INTEGER) END AS page_volume, CASE WHEN block_type = 'page_marker' THEN TRY_CAST(regexp_extract(raw_text, '(?i:PageV([0-9]+)P([0-9]+))', 2) AS INTEGER) END AS page_number,
       CASE WHEN block_type = 'milestone' THEN TRY_CAST(regexp_extract(raw_text, '\bms([0-9]+)\b', 1) AS INTEGER) END AS milestone,
