@@ -490,7 +490,9 @@ def reviewed_sample(df: DataFrame, key: str, text: str, reviews: DataFrame, conf
     unread = df.where(F.col(text).isNotNull()).select(key).join(reviews.select(key), key, "left_anti")
     unread = unread.orderBy(F.xxhash64(key), key).limit(config.unread).select(key, F.lit("unread").alias("label"))
     order = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
-    drawn = told.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.when(F.col("label") == "ok", config.clean).otherwise(config.labelled))
+    # The plain limit is what Spark applies before the shuffle, so no label's documents are all sorted in one task.
+    drawn = told.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(config.clean, config.labelled))
+    drawn = drawn.where(F.col("at") <= F.when(F.col("label") == "ok", config.clean).otherwise(config.labelled))
     rows = texts.join(F.broadcast(drawn.select(key, "label").unionByName(unread)), key).dropDuplicates([key]).select(key, "t", "label").collect()
     rows.sort(key=lambda r: (r[0], r.label))
     shown = plain(pa.array([r.t for r in rows], pa.string())) if rows else []

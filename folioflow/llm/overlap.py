@@ -59,7 +59,7 @@ def weighted_terms(classes: DataFrame, sides: DataFrame, config: OverlapConfig)
     own = classes.select("class_id", F.size("words").alias("n"), F.explode(numbered).alias("term"))
     total = classes.agg(F.count("*").alias("total"))
     on = own.join(sides, "class_id")
-    df = on.groupBy("term").agg(F.countDistinct("class_id").alias("df"), F.max("left").alias("in_left"), F.max("right").alias("in_right"))
+    df = on.groupBy("term").agg(F.count("*").alias("df"), F.max("left").alias("in_left"), F.max("right").alias("in_right"))
     idf = df.join(F.broadcast(total)).select("term", "in_left", "in_right", (1 + F.log((F.col("total") + 1) / F.col("df")) / F.log(F.col("total") + 2)).alias("w2"))
     # The weight of a term is the same in every text, so its maximum weight on the other side is its weight, or 0.
     weighed = on.join(idf, "term").withColumn("other", F.when(F.col("left") & F.col("in_right") | F.col("right") & F.col("in_left"), F.col("w2")).otherwise(0.0))
