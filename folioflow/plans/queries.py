@@ -499,10 +499,8 @@ def verse_windows(spark: SparkSession, at: str) -> DataFrame:
     return passages.verse_windows(_verses(spark, at), ["passage_id"], "verse_no", "least")
 
 
-PACKING = f"""w AS (SELECT version_id, heading_path_json, ordinal, part, list_filter(string_split(regexp_replace(lines[part + 1], '{sql.WHITE}+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
-  FROM (SELECT *, unnest(range(0, len(lines))) AS part FROM (SELECT version_id, heading_path_json, ordinal, string_split(retrieval_text, chr(10)) AS lines FROM passages WHERE kind = 'mixed_prose' AND retrieval_text IS NOT NULL))),
-c AS (SELECT version_id, heading_path_json, coalesce(heading_path_json, chr(1)) AS h, CAST(ordinal AS BIGINT) * 1000000000 + part * 1000000 + i // 300 AS place, len(ws[i + 1:i + 300]) AS n FROM (SELECT *, unnest(range(0, len(ws), 300)) AS i FROM w WHERE len(ws) > 0)),
-m AS (SELECT *, row_number() OVER r AS rn, sum(n) OVER r AS total FROM c WINDOW r AS (PARTITION BY version_id, h ORDER BY place)),
+#: Where members (c: version_id, h, place, n) are packed: passage p of each by the greedy fold, and where the tail is cut.
+PACK = """m AS (SELECT *, row_number() OVER r AS rn, sum(n) OVER r AS total FROM c WINDOW r AS (PARTITION BY version_id, h ORDER BY place)),
 f AS (SELECT version_id, h, rn, 1 AS p, n AS held FROM m WHERE rn = 1
   UNION ALL SELECT m.version_id, m.h, m.rn, CASE WHEN held >= 180 OR held + m.n > 300 THEN p + 1 ELSE p END, CASE WHEN held >= 180 OR held + m.n > 300 THEN m.n ELSE held + m.n END FROM f JOIN m ON m.version_id = f.version_id AND m.h = f.h AND m.rn = f.rn + 1),
 ends AS (SELECT version_id, h, max(p) AS last, max(total) AS whole FROM m JOIN f USING (version_id, h, rn) GROUP BY ALL),
@@ -511,10 +509,15 @@ points AS (SELECT version_id, h, rn AS k, total FROM m UNION ALL SELECT DISTINCT
 based AS (SELECT e.*, total AS before FROM edges e JOIN points ON points.version_id = e.version_id AND points.h = e.h AND k = a),
 cuts AS (SELECT b.version_id, b.h, last, whole, a, before, least(b, greatest(max(k) FILTER (whole - total >= 80), min(k) FILTER (total - before >= 80), min(k) FILTER (whole - total <= 300), a + 1)) AS cut FROM based b JOIN points p ON p.version_id = b.version_id AND p.h = b.h GROUP BY b.version_id, b.h, last, whole, a, b, before),
 evened AS (SELECT q.version_id, q.h, last, a, cut, whole - total < 80 AND whole - before <= 300 AS joined FROM cuts q JOIN points p ON p.version_id = q.version_id AND p.h = q.h AND k = cut)"""
+PLACED = "CAST(CASE WHEN e.last IS NULL OR rn <= a THEN p WHEN joined OR rn <= cut THEN e.last - 1 ELSE e.last END AS INTEGER)"
+PACKING = f"""w AS (SELECT version_id, heading_path_json, ordinal, part, list_filter(string_split(regexp_replace(lines[part + 1], '{sql.WHITE}+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
+  FROM (SELECT *, unnest(range(0, len(lines))) AS part FROM (SELECT version_id, heading_path_json, ordinal, string_split(retrieval_text, chr(10)) AS lines FROM passages WHERE kind = 'mixed_prose' AND retrieval_text IS NOT NULL))),
+c AS (SELECT version_id, heading_path_json, coalesce(heading_path_json, chr(1)) AS h, CAST(ordinal AS BIGINT) * 1000000000 + part * 1000000 + i // 300 AS place, len(ws[i + 1:i + 300]) AS n FROM (SELECT *, unnest(range(0, len(ws), 300)) AS i FROM w WHERE len(ws) > 0)),
+{PACK}"""
 
 
 @query(
-    f"""WITH RECURSIVE {PACKING} SELECT m.version_id, heading_path_json, place AS at, CAST(CASE WHEN e.last IS NULL OR rn <= a THEN p WHEN joined OR rn <= cut THEN e.last - 1 ELSE e.last END AS INTEGER) AS passage_no
+    f"""WITH RECURSIVE {PACKING} SELECT m.version_id, heading_path_json, place AS at, {PLACED} AS passage_no
     FROM m JOIN f USING (version_id, h, rn) LEFT JOIN evened e ON e.version_id = m.version_id AND e.h = m.h"""
 )
 def prose_packing(spark: SparkSession, at: str) -> DataFrame:
@@ -557,10 +560,69 @@ def _contextual(spark: SparkSession, at: str) -> DataFrame:
     return units.heading_context(units.cleanup(_units(spark, at)[1]), "doc_id").join(profiles, "doc_id")
 
 
-@query()
+BUILT_COLUMNS = "version_id, passage_id, ordinal, kind, run_id, unit_ids, unit_count, member_count, word_count, has_split_member, parent_context_id, display_text, retrieval_text, search_alias_text, previous_passage_id, next_passage_id, issues"
+
+
+def _gathered(kind: str, parent: str, words: str, sep: str) -> str:
+    """SQL of passages, with ids, ordinals and links, from rows_of (version_id, run_id, passage_no, place, unit_id, shown,
+    searched, alias)."""
+    name = lambda n: f"version_id || ':passage_' || format('{{:06d}}', {n})"
+    text = lambda c: f"string_agg({sep} || {c}, '' ORDER BY place)"
+    return f"""gathered AS (SELECT version_id, run_id, passage_no, min(place) AS first_place, {kind} AS kind, string_agg(unit_id, ' ' ORDER BY place) AS unit_ids, CAST(count(*) AS INTEGER) AS unit_count, CAST(count(*) AS INTEGER) AS member_count,
+      CAST(sum({words}) AS INTEGER) AS word_count, FALSE AS has_split_member, {parent} AS parent_context_id, {text('shown')} AS display_text, {text('searched')} AS retrieval_text, {text('alias')} AS search_alias_text, '' AS issues FROM rows_of GROUP BY version_id, run_id, passage_no),
+    in_order AS (SELECT *, CAST(row_number() OVER v AS INTEGER) AS ordinal, lag(run_id) OVER v AS before, lead(run_id) OVER v AS after FROM gathered WINDOW v AS (PARTITION BY version_id ORDER BY first_place, passage_no)),
+    finished AS (SELECT *, {name('ordinal')} AS passage_id, CASE WHEN before = run_id THEN {name('ordinal - 1')} END AS previous_passage_id, CASE WHEN after = run_id THEN {name('ordinal + 1')} END AS next_passage_id FROM in_order)"""
+
+
+def _built(df: DataFrame) -> DataFrame:
+    joined = {c: F.array_join(c, " ") for c in ("unit_ids", "issues")}
+    return df.drop("heading_path", "section_path").withColumns(joined)
+
+
+# Pieces of paragraphs above the hard limit aren't in the SQL; the documents hold none.
+BUILT = f"""{psql.HEADED.replace(psql.UNITS, psql.CLEANED)}, viewed AS (SELECT c.doc_id, c.unit_id, c.unit_type, c.char_start, heading_id, section_id, {sql.display('display_text')} AS shown, {sql.retrieval(sql.display('retrieval_text'))} AS searched
+  FROM cleaned c JOIN headed h ON c.unit_id = h.unit_id JOIN documents d ON d.doc_id = c.doc_id WHERE coalesce(d.profile, 'mixed_prose_ocr') = 'mixed_prose_ocr'),
+stopped AS (SELECT *, NOT (unit_type IN ('verse', 'paragraph') AND searched <> '') AS stop FROM viewed),
+flagged AS (SELECT *, CASE WHEN lag(stop) OVER w IS NULL OR stop OR lag(stop) OVER w OR lag(heading_id) OVER w IS DISTINCT FROM heading_id OR lag(section_id) OVER w IS DISTINCT FROM section_id THEN 1 ELSE 0 END AS fresh FROM stopped WINDOW w AS (PARTITION BY doc_id ORDER BY char_start)),
+members AS (SELECT * FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY char_start) AS BIGINT) AS run_id FROM flagged) WHERE NOT stop),
+c AS (SELECT CAST(doc_id AS VARCHAR) AS version_id, CAST(run_id AS VARCHAR) AS h, char_start AS place, len(string_split(searched, ' ')) AS n FROM members),
+{PACK}, packed AS (SELECT m.version_id, m.h, place, {PLACED} AS passage_no FROM m JOIN f USING (version_id, h, rn) LEFT JOIN evened e ON e.version_id = m.version_id AND e.h = m.h),
+rows_of AS (SELECT p.version_id, run_id, passage_no, place, unit_id, heading_id, section_id, shown, searched, {sql.alias('searched')} AS alias,
+  CASE WHEN lag(unit_type) OVER w IS NULL THEN '' WHEN lag(unit_type) OVER w = 'verse' AND unit_type = 'verse' THEN chr(10) ELSE chr(10) || chr(10) END AS sep
+  FROM packed p JOIN members x ON p.version_id = CAST(x.doc_id AS VARCHAR) AND p.place = x.char_start WINDOW w AS (PARTITION BY p.version_id, run_id, passage_no ORDER BY place)),
+{_gathered("'mixed_prose'", "coalesce(any_value(heading_id), any_value(section_id))", "len(string_split(searched, ' '))", "sep")}"""
+
+
+@query(f"WITH RECURSIVE {BUILT} SELECT {BUILT_COLUMNS} FROM finished")
 def built_passages(spark: SparkSession, at: str) -> DataFrame:
     """Passages of all documents, from their source text to texts, ids and links."""
-    return building.build(_contextual(spark, at), "doc_id", "profile")
+    return _built(building.build(_contextual(spark, at), "doc_id", "profile"))
+
+
+VERSES = f"""given AS (SELECT version_id || CASE WHEN kind = 'mathnawi' THEN '.Mathnawi.' ELSE '' END AS version_id, kind, passage_id, ordinal, heading_path_json AS hp, section_path_json AS sp, string_split(display_text, chr(10)) AS ls FROM passages WHERE kind IN ('diwan', 'mathnawi') AND display_text IS NOT NULL),
+parts AS (SELECT version_id, kind, passage_id || ':' || CAST(i AS VARCHAR) AS unit_id, CAST(ordinal AS BIGINT) * 1000000 + i AS place, hp, sp, ls[i + 1] AS t FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM given)),
+viewed AS (SELECT *, {sql.display('t')} AS shown, {sql.retrieval(sql.display('t'))} AS searched FROM parts), stopped AS (SELECT *, searched = '' AS stop FROM viewed),
+flagged AS (SELECT *, CASE WHEN lag(stop) OVER w IS NULL OR stop OR lag(stop) OVER w OR lag(hp) OVER w IS DISTINCT FROM hp OR lag(sp) OVER w IS DISTINCT FROM sp THEN 1 ELSE 0 END AS fresh FROM stopped WINDOW w AS (PARTITION BY version_id ORDER BY place)),
+members AS (SELECT *, row_number() OVER (PARTITION BY version_id, run_id ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY version_id, run_id) AS n FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY version_id ORDER BY place) AS BIGINT) AS run_id FROM flagged) WHERE NOT stop),
+runs AS (SELECT DISTINCT version_id, run_id, n, CASE WHEN n <= 8 THEN 0 ELSE CAST(ceil((n - 8) / 7.0) AS BIGINT) END AS last, CASE WHEN kind = 'diwan' THEN 2 ELSE 6 END AS least FROM members),
+windows AS (SELECT version_id, run_id, k + 1 AS passage_no, CASE WHEN k = last AND n > 8 AND n - 7 * last < least THEN greatest(n - 8, 0) ELSE 7 * k END AS s FROM (SELECT *, unnest(range(0, last + 1)) AS k FROM runs)),
+rows_of AS (SELECT m.*, passage_no, {sql.alias('searched')} AS alias, CASE WHEN i = s THEN '' ELSE chr(10) END AS sep FROM members m JOIN windows x ON m.version_id = x.version_id AND m.run_id = x.run_id AND i >= s AND i < s + 8),
+{_gathered("any_value(kind)", "coalesce(any_value(hp), any_value(sp))", "len(string_split(searched, ' '))", "sep")}"""
+
+
+@query(f"WITH {VERSES} SELECT {BUILT_COLUMNS} FROM finished")
+def verse_passages(spark: SparkSession, at: str) -> DataFrame:
+    """Passages built anew from the lines of the stored poetry."""
+    p = table(spark, at, "passages").where("kind IN ('diwan', 'mathnawi') AND display_text IS NOT NULL")
+    version = F.concat("version_id", F.when(F.col("kind") == "mathnawi", ".Mathnawi.").otherwise(""))
+    rows = p.select(version.alias("version"), "passage_id", "ordinal", "heading_path_json", "section_path_json", F.posexplode(F.split("display_text", "\n")).alias("i", "t"))
+    path = lambda c: F.array_compact(F.array(c))
+    us = rows.select(
+        "version", F.lit(parsing.POETRY).alias("profile"), F.concat("passage_id", F.lit(":"), F.col("i").cast("string")).alias("unit_id"), F.lit("verse").alias("unit_type"),
+        (F.col("ordinal").cast("long") * 1_000_000 + F.col("i")).alias("char_start"), path("heading_path_json").alias("heading_path"), path("section_path_json").alias("section_path"),
+        F.col("t").alias("display_text"), F.col("t").alias("retrieval_text"),
+    )
+    return _built(building.build(us, "version", "profile"))
 
 
 @query()
