@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioflow.config import FusionConfig, PassageConfig, profile_differences
+from folioflow.config import FusionConfig, LexicalConfig, PassageConfig, profile_differences
 from folioflow.functions import ordered
 from folioflow.operators import dense, evaluation, evidence, fusion, lexical, passages, policy
 
@@ -34,6 +34,31 @@ def test_modes(spark, index):
     assert {(r.query_id, r.doc_id) for r in lexical.search_all(index, q).collect()} == {(0, "d1"), (0, "d2"), (0, "d3"), (1, "d1")}
 
 
+def test_shards_and_blocks_change_nothing(spark):
+    rng = np.random.default_rng(11)
+    names = [f"w{k}" for k in range(12)]
+    docs = [(f"d{k:02d}", " ".join(rng.choice(names, int(rng.integers(0, 9))))) for k in range(60)] + [("d98", None), ("d99", "w1 w2 w1 w2")]
+    docs += [(f"e{k:02d}", "w3 w4 w5") for k in range(20)]  # copies tie
+    texts = [" ".join(rng.choice(names, int(rng.integers(1, 4)))) for _ in range(15)] + ["w1 w2", "w3 w4", "nowhere", "w1 nowhere"]
+    ix = lexical.build_index(spark.createDataFrame(docs, "id string, t string").withColumn("tokens", F.lit("clash")), "id", "t")
+    q = asked(spark, *texts)
+    small = LexicalConfig(shard_tokens=10, query_block=4)
+    for mode in ("phrase", "all_terms", "any_terms", "auto"):
+        whole = lexical.search(ix, q, mode)
+        best = {tuple(r) for r in lexical.ranked(whole, 3, "mode").collect()}
+        assert best == {tuple(r) for r in lexical.ranked(lexical.search(ix, q, mode, 3, small), 3, "mode").collect()}
+        found = {(r.query_id, r.doc_id) for r in whole.collect()}
+        for k, text in enumerate(texts):
+            want, terms = text.split(), set(text.split())
+            held = {
+                "phrase": lambda ws: any(ws[i : i + len(want)] == want for i in range(len(ws))),
+                "all_terms": lambda ws: terms <= set(ws), "any_terms": lambda ws: bool(terms & set(ws)),
+            }
+            if mode != "auto":
+                assert {d for q_, d in found if q_ == k} == {d for d, t in docs if t and held[mode](t.split())}
+    assert lexical.search(ix, q.limit(0)).count() == 0
+
+
 def test_common_term_is_floored(spark):
     docs = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "id string, t string")
     hits = lexical.search_any(lexical.build_index(docs, "id", "t"), asked(spark, "x")).collect()
