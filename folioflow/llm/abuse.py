@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -311,32 +312,36 @@ def words_asked(reviews: list[tuple[str, str]], config: AbuseConfig = AbuseConfi
 
 
 class Sample:
-    """Reviewed documents as clauses, with the words of all clauses as numbers, so that most clauses are passed over by
-    a few array operations."""
+    """Reviewed documents as clauses of numbered words: small in memory, and most clauses are passed over by a few array
+    operations."""
 
     def __init__(self, reviews: list[tuple[str, str]]) -> None:
         self.label = np.array([label for _, label in reviews], object)
-        self.parts: list[list[str]] = []  # words of every clause
-        owner = []
+        ids: dict[str, int] = {}
+        flat, size, owner = array("i"), array("i"), array("i")
         for d, (text, _) in enumerate(reviews):
             for words in clauses(text):
-                self.parts.append(words)
+                flat.extend([ids.setdefault(w, len(ids)) for w in words])
+                size.append(len(words))
                 owner.append(d)
-        self.owner = np.array(owner, np.int64)
-        ids: dict[str, int] = {}
-        self.flat = np.array([ids.setdefault(w, len(ids)) for words in self.parts for w in words], np.int64)
         self.names = list(ids)
-        self.row = np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])
+        self.owner, self.flat = np.array(owner, np.int64), np.array(flat, np.int64)
+        self.off = np.concatenate(([0], np.cumsum(np.array(size, np.int64))))
+        self.n_clauses = len(self.owner)
+        self.row = np.repeat(np.arange(self.n_clauses), np.diff(self.off))
         held = np.unique(self.owner[self.row] * (len(ids) + 1) + self.flat) if len(self.flat) else np.zeros(0, np.int64)
         self.doc_of, self.word_of = held // (len(ids) + 1), held % (len(ids) + 1)  # distinct words of documents
 
+    def words(self, clause: int) -> list[str]:
+        return [self.names[k] for k in self.flat[self.off[clause] : self.off[clause + 1]].tolist()]
+
     def holding(self, docs: np.ndarray) -> np.ndarray:
         """How many of the documents (a mask) hold each word."""
         return np.bincount(self.word_of[docs[self.doc_of]], minlength=len(self.names))
 
     def speaking(self, weights: np.ndarray, docs: np.ndarray, least: float) -> np.ndarray:
         """Clauses of the documents whose words have at least this weight together."""
-        total = np.bincount(self.row, weights[self.flat], len(self.parts))
+        total = np.bincount(self.row, weights[self.flat], self.n_clauses)
         return np.flatnonzero((total >= least) & docs[self.owner])
 
     def best(self, scorer: "Scorer", category: str, docs: np.ndarray, least: float) -> np.ndarray:
@@ -345,7 +350,7 @@ class Sample:
         gain = np.array([max((w for t in scorer.memory[n] for j, w in scorer.weights[t] if j == k and w > 0), default=0.0) for n in self.names])
         out = np.full(len(self.label), -99.0)
         for c in self.speaking(gain, docs, least - scorer.bias[k]).tolist():
-            z = scorer.clause(self.parts[c]).get(k, -99.0)
+            z = scorer.clause(self.words(c)).get(k, -99.0)
             out[self.owner[c]] = max(out[self.owner[c]], z)
         return np.where(out >= least, out, -99.0)
 
@@ -437,7 +442,7 @@ def _fit_category(
     ids: dict[str, int] = {}
     rows: list[list[int]] = []  # words of each clause
     for c in chosen.tolist():
-        words = sample.parts[c]
+        words = sample.words(c)
         rows.append([ids.setdefault(w, len(ids)) for w in {t for w in words for t in terms_by_name[w]}.union(words) if not w.isdigit()])
     doc = sample.owner[chosen]
     flat, row = np.array([x for r in rows for x in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -495,7 +500,7 @@ def reviewed_sample(df: DataFrame, key: str, text: str, reviews: DataFrame, conf
     drawn = drawn.where(F.col("at") <= F.when(F.col("label") == "ok", config.clean).otherwise(config.labelled))
     rows = texts.join(F.broadcast(drawn.select(key, "label").unionByName(unread)), key).dropDuplicates([key]).select(key, "t", "label").collect()
     rows.sort(key=lambda r: (r[0], r.label))
-    shown = plain(pa.array([r.t for r in rows], pa.string())) if rows else []
+    shown = (t for s in range(0, len(rows), 200) for t in plain(pa.array([r.t for r in rows[s : s + 200]], pa.string())))
     return [(t, r.label) for t, r in zip(shown, rows)]
 
 
