@@ -231,7 +231,7 @@ def test_mix(spark):
     rng = np.random.default_rng(7)
     text = lambda n: " ".join(rng.choice(words, n))
     rows = [(k, text(20), " Big ") for k in range(300)] + [(300 + k, text(20), "small") for k in range(10)]
-    rows += [(400, rows[0][1], "small"), (401, rows[0][1], "small"), (402, None, "small"), (403, "", "big"), (404, text(20), None), (405, text(20), "other")]
+    rows += [(400, rows[0][1], "small"), (401, rows[0][1], "small"), (402, None, "small"), (403, "", "big"), (404, text(20), None), (405, text(20), "other"), (None, text(20), "big"), (6, text(9), "small")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("uses", F.lit(0)).withColumn("n_tokens", F.lit(0))
     targets = spark.createDataFrame([("big", 0.5, 1), ("Small", 0.09, 3), ("absent", 0.1, 2), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
     m = mixing.mix(df, "doc_id", "text", "source", targets)
@@ -240,7 +240,7 @@ def test_mix(spark):
     assert report["big"].share_of_corpus == pytest.approx(0.5, abs=0.01) and report["small"].share_of_corpus == pytest.approx(0.09, abs=0.01)
     assert report["absent"].mixed_tokens == 0 and report["small"].most_uses <= 3 and report["big"].most_uses == 1
     chosen = m.selection.collect()
-    assert len({r.doc_id for r in chosen}) == len(chosen) and not {402, 403, 404, 405} & {r.doc_id for r in chosen}
+    assert len({(r.doc_id, r.source, r.n_tokens) for r in chosen}) == len(chosen) and None not in {r.doc_id for r in chosen} and not {402, 403, 404, 405} & {r.doc_id for r in chosen}
     empty = mixing.mix(df.limit(0), "doc_id", "text", "source", targets)
     assert empty.selection.count() == 0 and empty.report.count() == 3
     again = {tuple(r) for r in mixing.mix(df, "doc_id", "text", "source", targets).selection.collect()}
