@@ -494,9 +494,16 @@ def reviewed_sample(df: DataFrame, key: str, text: str, reviews: DataFrame, conf
     texts = df.where(F.col(text).isNotNull()).select(key, F.substring(text, 1, config.chars_per_text).alias("t"))
     unread = df.where(F.col(text).isNotNull()).select(key).join(reviews.select(key), key, "left_anti")
     unread = unread.orderBy(F.xxhash64(key), key).limit(config.unread).select(key, F.lit("unread").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
-    # The plain limit is what Spark applies before the shuffle, so no label's documents are all sorted in one task.
-    drawn = told.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(config.clean, config.labelled))
+    # Documents are drawn by hash: first those below a bound that leaves about twice as many as are wanted, so that only so
+    # few of a label, however frequent it is, are put in order.
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    sizes = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    wanted = {label: config.clean if label == "ok" else config.labelled for label in sizes}
+    near = F.lit(False)
+    for label, n in sizes.items():
+        near |= (F.col("label") == label) & (place < int(min(1.0, (2 * wanted[label] + 100) / n) * (1 << 30)) + 1)
+    order = Window.partitionBy("label").orderBy(place, key)
+    drawn = told.where(near).withColumn("at", F.row_number().over(order))
     drawn = drawn.where(F.col("at") <= F.when(F.col("label") == "ok", config.clean).otherwise(config.labelled))
     rows = texts.join(F.broadcast(drawn.select(key, "label").unionByName(unread)), key).dropDuplicates([key]).select(key, "t", "label").collect()
     rows.sort(key=lambda r: (r[0], r.label))
