@@ -37,7 +37,8 @@ class ScanConfig:
     least_share: float = 1e-6  # ... and this share of all words, so at most 1 / least_share words are kept
     header_words: int = 6  # of a running header at most ...
     header_chars: int = 60  # ... and characters, its page number included
-    header_edits: int = 2  # by which a misread header may differ from one that recurs
+    header_edits: int = 2  # by which a misread header may differ from one that recurs ...
+    header_letters: int = 8  # ... or one for so many letters, where that is more
     header_count: int = 2  # a header recurs so often in its version
     header_most: int = 1_000_000  # headers of all versions (checked)
     header_slack: int = 3  # characters that misreading may have added to the longest line
@@ -158,7 +159,7 @@ def classify(text: str, headers: Headers | None, config: ScanConfig) -> list[Lin
             if line.kind != "text" or not (found := header_key(line.text.strip(), config)):
                 continue
             key, numbered = found
-            if key in headers.keys or (numbered or len(key) > 9) and headers.near(key, config.header_edits):
+            if key in headers.keys or (numbered or len(key) > 9) and headers.near(key, max(config.header_edits, len(key) // config.header_letters)):
                 line.kind = "header"
                 continue
             after = neighbours(lines, k)[1]
