@@ -406,7 +406,11 @@ def described_blocks(spark: SparkSession, at: str) -> DataFrame:
     return corpus.described(parsing.parse(_lines(spark, at), "doc_id", "profile"), "doc_id").drop("raw_text")
 
 
-@query()
+@query(
+    f"""WITH {psql.BLOCKS}, moved AS (SELECT doc_id, block_no, line_number, char_start + CASE WHEN block_type = 'page_marker' THEN 1 ELSE 0 END AS s, char_end AS e, raw_text FROM blocks WHERE block_type <> 'image_reference'),
+    near AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s, block_no) AS before FROM moved), laid AS (SELECT n.*, s >= l.char_start AND e <= l.char_start + length(l.line) AS inside, substr(l.line, CAST(s - l.char_start AS BIGINT) + 1, CAST(e - s AS BIGINT)) AS there FROM near n LEFT JOIN lines l ON l.doc_id = n.doc_id AND l.line_number = n.line_number)
+    SELECT doc_id, block_no, issue FROM (SELECT doc_id, block_no, unnest([CASE WHEN e <= s THEN 'empty_or_reversed' END, CASE WHEN before > s THEN 'overlap' END, CASE WHEN before < s THEN 'gap' END, CASE WHEN NOT coalesce(inside, FALSE) THEN 'wrong_line' END, CASE WHEN inside AND there <> raw_text THEN 'text_differs' END]) AS issue FROM laid) WHERE issue IS NOT NULL"""
+)
 def block_violations(spark: SparkSession, at: str) -> DataFrame:
     """What is wrong with blocks of which every page marker was moved by a character and every image left out."""
     blocks = parsing.parse(_lines(spark, at), "doc_id", "profile").where("block_type <> 'image_reference'")
@@ -625,18 +629,21 @@ def verse_passages(spark: SparkSession, at: str) -> DataFrame:
     return _built(building.build(us, "version", "profile"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BUILT} SELECT 'kind' AS part, kind AS name, count(*) AS n FROM finished GROUP BY kind
+    UNION ALL SELECT 'build_issue', 'empty_content_unit', count(*) FROM viewed WHERE unit_type NOT IN ('heading', 'section') AND searched = '' HAVING count(*) > 0"""
+)
 def build_report(spark: SparkSession, at: str) -> DataFrame:
     us = settle(_contextual(spark, at))
     return building.build_report(building.build(us, "doc_id", "profile"), building.skipped_units(us, "doc_id", "profile"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS version_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS issue WHERE FALSE")
+@query(f"WITH RECURSIVE {BUILT} SELECT r.version_id, r.unit_id AS id, 'unit_in_no_passage' AS issue FROM rows_of r JOIN finished f ON f.version_id = r.version_id AND f.run_id = r.run_id AND f.passage_no = r.passage_no WHERE ordinal = 1")
 def build_violations(spark: SparkSession, at: str) -> DataFrame:
-    """Members of runs that no passage has and other breaches; the right result is none."""
+    """What is missed of the units if the first passage of every document is lost."""
     us = settle(_contextual(spark, at))
     members = building.prepared(us, "doc_id", "profile").where("role = 'member'").select(F.col("doc_id").cast("string").alias("version_id"), "unit_id")
-    return building.build_violations(building.build(us, "doc_id", "profile"), members, building.skipped_units(us, "doc_id", "profile"))
+    return building.build_violations(building.build(us, "doc_id", "profile").where("ordinal > 1"), members, building.skipped_units(us, "doc_id", "profile"))
 
 
 # Lexical retrieval
