@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.lineage import settle, spread
+from folioflow.functions.lineage import settle
 from folioflow.functions.normalize import search_alias_view
 
 
@@ -34,6 +34,14 @@ class OverlapConfig:
     paired_words: int = 40  # texts of so many words are listed under pairs of terms
 
 
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined to right by sorting both, so neither side goes through the driver.
+
+    The planner's estimates of exploded rows are far too low: under a broadcast limit of 10 MB it sent 100 MB of them.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def words(text: Column) -> Column:
     """Words of a text in search-alias view, lower case, without punctuation."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
@@ -58,11 +66,11 @@ def weighted_terms(classes: DataFrame, sides: DataFrame, config: OverlapConfig)
     numbered = F.expr("transform(words, (w, i) -> xxhash64(w, size(filter(slice(words, 1, i + 1), v -> v = w))))")
     own = classes.select("class_id", F.size("words").alias("n"), F.explode(numbered).alias("term"))
     total = classes.agg(F.count("*").alias("total"))
-    on = own.join(sides, "class_id")
+    on = merged(own, sides, "class_id")
     df = on.groupBy("term").agg(F.count("*").alias("df"), F.max("left").alias("in_left"), F.max("right").alias("in_right"))
     idf = df.join(F.broadcast(total)).select("term", "in_left", "in_right", (1 + F.log((F.col("total") + 1) / F.col("df")) / F.log(F.col("total") + 2)).alias("w2"))
     # The weight of a term is the same in every text, so its maximum weight on the other side is its weight, or 0.
-    weighed = on.join(idf, "term").withColumn("other", F.when(F.col("left") & F.col("in_right") | F.col("right") & F.col("in_left"), F.col("w2")).otherwise(0.0))
+    weighed = merged(on, idf, "term").withColumn("other", F.when(F.col("left") & F.col("in_right") | F.col("right") & F.col("in_left"), F.col("w2")).otherwise(0.0))
     gathered = weighed.groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("w2", "term", "other")), False).alias("terms"), F.sum("w2").alias("norm"))
     lacking = F.aggregate(F.slice("terms", F.lit(1), may_lack(F.col("n"), F.col("n"), config)), F.lit(0.0), lambda s, t: s + t["w2"])
     return gathered.withColumn("least", F.col("norm") - lacking)
@@ -124,26 +132,26 @@ def class_links(left: DataFrame, right: DataFrame, classes: DataFrame, config: O
     """Links (x, y, cosine, common) between different text classes of ``left`` and of ``right`` (columns class_id)."""
     sides = left.select("class_id", F.lit(True).alias("left"), F.lit(False).alias("right")).union(right.select("class_id", F.lit(False), F.lit(True)))
     sides = sides.groupBy("class_id").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    texts = classes.select("class_id", "words").dropDuplicates(["class_id"]).join(sides, "class_id", "left_semi")
+    texts = merged(classes.select("class_id", "words").dropDuplicates(["class_id"]), sides, "class_id", "left_semi")
     vectors = settle(weighted_terms(texts, sides, config))
     least = vectors.agg(F.coalesce(F.min(F.col("least") / F.col("norm")), F.lit(1.0))).collect()[0][0]  # t
-    keys = settle(listed_terms(vectors, config).join(sides, "class_id"))
+    keys = settle(merged(listed_terms(vectors, config), sides, "class_id"))
     a = keys.where("left").select("key", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("least").alias("lx"), F.col("gain").alias("gx"))
     b = keys.where("right").select("key", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("least").alias("ly"), F.col("gain").alias("gy"))
     fits = (F.col("x") != F.col("y")) & (F.least("nx", "ny") >= config.share * F.greatest("nx", "ny") - 1e-9) & (F.least("gx", "gy") >= F.greatest("lx", "ly") - 1e-6)
-    pairs = a.join(b, "key").where(fits).select("x", "y").distinct()
+    pairs = merged(a, b, "key").where(fits).select("x", "y").distinct()
     terms = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["w2"].alias("w2")))
     vx = vectors.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("norm").alias("ox"), terms.alias("tx"))
     vy = vectors.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("norm").alias("oy"), terms.alias("ty"))
     dot = F.expr("aggregate(array_intersect(tx, ty), 0D, (s, t) -> s + t.w2)")
     # T of the pair: what may be lacking depends on the longer of both.
     lacking = lambda c, n: F.aggregate(F.slice(c, F.lit(1), may_lack(F.col(n), F.greatest("nx", "ny"), config)), F.lit(0.0), lambda s, t: s + t["w2"])
-    scored = pairs.join(vx, "x").join(vy, "y").withColumn("dot", dot)
+    scored = merged(merged(pairs, vx, "x"), vy, "y").withColumn("dot", dot)
     scored = scored.withColumn("cosine", F.col("dot") / F.sqrt(F.col("ox") * F.col("oy"))).where(F.col("cosine") >= least - 1e-9)
     scored = scored.where((F.col("dot") >= F.col("ox") - lacking("tx", "nx") - 1e-6) & (F.col("dot") >= F.col("oy") - lacking("ty", "ny") - 1e-6))
     words_of = texts.select("class_id", "words")
-    worded = scored.select("x", "y", "cosine").join(words_of.select(F.col("class_id").alias("x"), F.col("words").alias("words_x")), "x")
-    worded = worded.join(words_of.select(F.col("class_id").alias("y"), F.col("words").alias("words_y")), "y")
+    worded = merged(scored.select("x", "y", "cosine"), words_of.select(F.col("class_id").alias("x"), F.col("words").alias("words_x")), "x")
+    worded = merged(worded, words_of.select(F.col("class_id").alias("y"), F.col("words").alias("words_y")), "y")
     return verified(worded.select("x", "y", "cosine", "words_x", "words_y"), config)
 
 
@@ -161,12 +169,12 @@ class SplitClasses:
 
 def split_classes(queries: DataFrame, splits: DataFrame, config: OverlapConfig = OverlapConfig()) -> SplitClasses:
     listed = listed_ids(splits, "calibration").union(listed_ids(splits, "validation")).select("query_id").distinct()
-    classes = settle(text_classes(spread(queries.join(listed, "query_id", "left_semi")), "query_id", "query_text"))
+    classes = settle(text_classes(merged(queries, listed, "query_id", "left_semi"), "query_id", "query_text"))
     member = classes.select("query_id", "class_id")
-    sides = [settle(member.join(listed_ids(splits, s).select("query_id").distinct(), "query_id", "left_semi")) for s in ("calibration", "validation")]
+    sides = [settle(merged(member, listed_ids(splits, s).select("query_id").distinct(), "query_id", "left_semi")) for s in ("calibration", "validation")]
     links = class_links(sides[0], sides[1], classes, config).select("x", "y", "cosine")
     # A text has the cosine 1 with itself: a vector meets itself in all of its lists, so equal vectors need no list.
-    same = sides[0].select("class_id").distinct().join(sides[1].select("class_id").distinct(), "class_id", "left_semi")
+    same = merged(sides[0].select("class_id").distinct(), sides[1].select("class_id").distinct(), "class_id", "left_semi")
     links = links.unionByName(same.select(F.col("class_id").alias("x"), F.col("class_id").alias("y"), F.lit(1.0).alias("cosine")))
     return SplitClasses(sides[0], sides[1], settle(links))
 
@@ -179,8 +187,8 @@ def overlap_classes(queries: DataFrame, splits: DataFrame, config: OverlapConfig
     out = None
     for side, mine, own, others, theirs in (("calibration", s.calibration, "x", s.validation, "y"), ("validation", s.validation, "y", s.calibration, "x")):
         size = others.groupBy(F.col("class_id").alias(theirs)).agg(F.count("*").alias("size"))
-        links = s.links.join(size, theirs).groupBy(F.col(own).alias("class_id")).agg(F.sum("size").alias("n_links"))
-        rows = mine.join(links, "class_id", "left").select(F.lit(side).alias("side"), "query_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        links = merged(s.links, size, theirs).groupBy(F.col(own).alias("class_id")).agg(F.sum("size").alias("n_links"))
+        rows = merged(mine, links, "class_id", "left").select(F.lit(side).alias("side"), "query_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -195,7 +203,7 @@ def overlapping_pairs(queries: DataFrame, splits: DataFrame, config: OverlapConf
     s = split_classes(queries, splits, config)
     a = s.calibration.select(F.col("class_id").alias("x"), F.col("query_id").alias("p"))
     b = s.validation.select(F.col("class_id").alias("y"), F.col("query_id").alias("q"))
-    pairs = s.links.join(a, "x").join(b, "y")
+    pairs = merged(merged(s.links, a, "x"), b, "y")
     named = pairs.select(F.least("p", "q").alias("query_id_a"), F.greatest("p", "q").alias("query_id_b"), "cosine")
     return named.groupBy("query_id_a", "query_id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
@@ -204,9 +212,9 @@ def overlap_report(queries: DataFrame, splits: DataFrame, config: OverlapConfig
     """Per split_id and source of validation queries: n_listed, n_leaked (with an equal or near text in any
     calibration list) and leaked_share. A query without a source counts under 'unknown'."""
     s = split_classes(queries, splits, config)
-    hit = s.validation.join(s.links.select(F.col("y").alias("class_id")).distinct(), "class_id", "left_semi").select("query_id").distinct()
+    hit = merged(s.validation, s.links.select(F.col("y").alias("class_id")).distinct(), "class_id", "left_semi").select("query_id").distinct()
     sources = queries.groupBy("query_id").agg(F.min("source").alias("source"))
-    listed = listed_ids(splits, "validation").join(sources, "query_id", "left").withColumn("source", F.coalesce("source", F.lit("unknown")))
-    flagged = listed.join(hit.withColumn("leaked", F.lit(1)), "query_id", "left")
+    listed = merged(listed_ids(splits, "validation"), sources, "query_id", "left").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    flagged = merged(listed, hit.withColumn("leaked", F.lit(1)), "query_id", "left")
     out = flagged.groupBy("split_id", "source").agg(F.count("*").alias("n_listed"), F.coalesce(F.sum("leaked"), F.lit(0)).alias("n_leaked"))
     return out.withColumn("leaked_share", F.round(F.col("n_leaked") / F.col("n_listed"), 6))

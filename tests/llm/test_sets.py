@@ -278,6 +278,27 @@ def test_overlap_classes(spark):
     assert pairs.where("query_id_b = 'x'").first().cosine < 1
 
 
+def test_overlap_sends_no_table_to_the_driver(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(f"q{k}", f"one two three four five six w{k % 30}", "s") for k in range(60)], QUERY).write.parquet(f"{tmp_path}/q")
+    ids = lambda *k: {"query_ids": [f"q{j}" for j in k]}
+    spark.createDataFrame([("a", ids(*range(30)), ids(*range(30, 60)))], SPLIT).write.parquet(f"{tmp_path}/s")
+    q, s = spark.read.parquet(f"{tmp_path}/q"), spark.read.parquet(f"{tmp_path}/s")
+    plans, settle = [], overlap.settle
+
+    def settled(df):
+        out = settle(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(overlap, "settle", settled)
+    for f, n in ((overlap.overlapping_pairs, 900), (overlap.overlap_classes, 60), (overlap.overlap_report, 1)):
+        out = f(q, s)
+        assert len(out.collect()) == n
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # The one row of totals is all that is broadcast.
+    assert len(plans) > 15 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def test_registry():
     names = queries.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 8, 10)} | {"p9_mix_report"} <= set(names)
