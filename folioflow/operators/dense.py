@@ -1,7 +1,7 @@
 """Dense retrieval: exact top-k by inner product of unit vectors.
 
-A stated query set is multiplied with all vectors in blocks; each block keeps its own best, a window keeps the best of
-all. Vectors are read once and never collected; queries are a bounded batch, checked before it is broadcast.
+A stated query set is multiplied with all vectors in blocks; each task keeps its own best, which are then joined by
+query. Vectors are read once and never collected; queries are a bounded batch, checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.functions.best import Best, joined, packed_schema
+
 MAX_QUERY_FLOATS = 8_000_000
+MAX_SCORES = 4_000_000  # products of queries and vectors that a task holds at once
 
 
 class Encoder(Protocol):
@@ -59,18 +62,17 @@ def _matrix(col: pa.Array, size: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, size)
 
 
-def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, block: int = 4096) -> DataFrame:
-    """query_key, rank, key and cosine of the k best of all vectors for every query; ties go by key.
+def top_lists(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, block: int = 16_384) -> DataFrame | None:
+    """query_key, ids and scores (negated inner products at nine decimals) of the k best of all vectors for every query, in
+    order; ties go by key. None without queries.
 
-    Null vectors and vectors of another length are left out; a query vector that isn't finite or has no length is
-    refused. The query batch goes to every worker; one of more than
-    MAX_QUERY_FLOATS numbers is refused: it must be cut into batches.
+    A task holds ``block`` vectors and the products of some queries with them at a time, and of every query its k best
+    so far, so what leaves it grows with the queries alone.
     """
     head = queries.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n"))
     size, n = head.agg(F.max("n"), F.count("*")).first()
-    schema = T.StructType([queries.schema[query_key], vectors.schema[key], T.StructField("score", T.DoubleType())])
     if not n:
-        return vectors.sparkSession.createDataFrame([], T.StructType([schema[0], T.StructField("rank", T.IntegerType()), schema[1], T.StructField("cosine", T.DoubleType())]))
+        return None
     if n * size > MAX_QUERY_FLOATS:
         raise ValueError("cut the queries into batches")
     asked = queries.where(F.size(vector) == size).select(query_key, vector).toArrow().combine_chunks()
@@ -82,25 +84,80 @@ def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_k
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
     ids = asked[query_key].combine_chunks()
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((ids, matrix))
+    schema = packed_schema(queries.schema[query_key], vectors.schema[key].dataType)
+    step = max(1, MAX_SCORES // block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        for batch in batches:
-            for s in range(0, batch.num_rows, block):
-                part = batch.slice(s, block)
-                scores = np.round(_matrix(part.column(1), size) @ matrix.T, 9)
-                m = min(k, len(scores))
-                # Ties at the edge of the block's best are kept, the window decides them by key.
-                edge = np.partition(scores, len(scores) - m, axis=0)[len(scores) - m]
-                row, query = np.nonzero(scores >= edge)
-                arrays = [ids.take(pa.array(query)), part.column(0).take(pa.array(row)), pa.array(scores[row, query])]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    best = vectors.where(F.size(vector) == size).select(key, vector).mapInArrow(run, schema)
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.select(query_key, "rank", key, F.round("score", 6).alias("cosine"))
+        best = Best(k)
+        for part in _blocks(batches, block):
+            base = best.documents(part.column(0))
+            own = _matrix(part.column(1), size).T
+            for s in range(0, len(matrix), step):
+                scores = matrix[s : s + step] @ own
+                edge = -best.worst(s, np.arange(s, s + len(scores)))
+                edge = edge if np.isfinite(edge).all() else np.maximum(edge, _edge(scores, k))
+                found = _true(scores >= edge[:, None] - 2e-9)
+                query, row = np.divmod(found, scores.shape[1])
+                best.add(s, query + s, row + base, -np.round(scores.ravel()[found], 9))
+        for _, columns in best.rows(ids):
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    tasks = spark.sparkContext.defaultParallelism
+    found = vectors.where(F.size(vector) == size).select(key, vector).coalesce(tasks).mapInArrow(run, schema)
+    return joined(found, query_key, n, tasks, k)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, ``block`` at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            held.append(batch.slice(start, block - size))
+            start += held[-1].num_rows
+            size += held[-1].num_rows
+            if size == block:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _true(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a mask of which little is true, eight places at a time."""
+    flat = mask.ravel()
+    end = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:end].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.r_[at[flat[at]], end + np.flatnonzero(flat[end:])]
+
+
+def _edge(scores: np.ndarray, k: int) -> np.ndarray:
+    """A score that at least k of each row reach: the k-th of the largest of groups."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.full(len(scores), -np.inf)
+    group = max(1, n // (4 * k))
+    m = n // group
+    top = scores[:, : m * group].reshape(len(scores), group, m).max(axis=1)
+    return np.partition(top, m - k, axis=1)[:, m - k]
+
+
+def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, block: int = 16_384) -> DataFrame:
+    """query_key, rank, key and cosine of the k best of all vectors for every query; ties go by key.
+
+    Null vectors and vectors of another length are left out; a query vector that isn't finite or has no length is
+    refused. The query batch goes to every worker; one of more than
+    MAX_QUERY_FLOATS numbers is refused: it must be cut into batches.
+    """
+    found = top_lists(vectors, key, vector, queries, query_key, k, block)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], T.StructType([queries.schema[query_key], T.StructField("rank", T.IntegerType()), vectors.schema[key], T.StructField("cosine", T.DoubleType())]))
+    rows = found.select(query_key, F.posexplode(F.arrays_zip("ids", "scores")).alias("r", "hit"))
+    return rows.select(query_key, (F.col("r") + 1).alias("rank"), F.col("hit.ids").alias(key), F.round(-F.col("hit.scores"), 6).alias("cosine"))
 
 
 def validation(vectors: DataFrame, vector: str, tolerance: float = 1e-5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import FusionConfig
@@ -17,10 +17,21 @@ def fuse(lexical: DataFrame, dense: DataFrame, config: FusionConfig = FusionConf
     a = lexical.where(F.col("lexical_rank") <= config.candidate_limit).select("query_id", "passage_id", "lexical_rank")
     b = dense.where(F.col("dense_rank") <= config.candidate_limit).select("query_id", "passage_id", "dense_rank")
     both = a.join(b, ["query_id", "passage_id"], "full_outer")
-    part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(config.rrf_constant) + F.col(r)), F.lit(0.0))
-    scored = both.withColumn("score", part(config.lexical_weight, "lexical_rank") + part(config.dense_weight, "dense_rank"))
+    return scored(both, config)
+
+
+def score(lexical_rank: Column | str, dense_rank: Column | str, config: FusionConfig = FusionConfig()) -> Column:
+    """What the ranks of a hit give; a missing rank gives nothing."""
+    part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(config.rrf_constant) + r), F.lit(0.0))
+    named = [F.col(r) if isinstance(r, str) else r for r in (lexical_rank, dense_rank)]
+    return part(config.lexical_weight, named[0]) + part(config.dense_weight, named[1])
+
+
+def scored(both: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
+    """As ``fuse``, of rows that hold both ranks of a hit."""
+    rows = both.withColumn("score", score("lexical_rank", "dense_rank", config))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc_nulls_last("lexical_rank"), F.asc_nulls_last("dense_rank"), "passage_id")
-    ranked = scored.withColumn("hybrid_rank", F.row_number().over(order)).where(F.col("hybrid_rank") <= config.limit)
+    ranked = rows.withColumn("hybrid_rank", F.row_number().over(order)).where(F.col("hybrid_rank") <= config.limit)
     return ranked.select("query_id", "hybrid_rank", "passage_id", F.round("score", 9).alias("fusion_score"), "lexical_rank", "dense_rank")
 
 

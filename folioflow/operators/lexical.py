@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folioflow.config import LexicalConfig
+from folioflow.functions.best import Best, joined, packed_schema
 from folioflow.functions.lineage import settle, spread
 
 TOKEN = "[\\p{L}\\p{N}]+"
@@ -92,24 +93,44 @@ def any_terms(terms: list[str], config: LexicalConfig) -> list[str]:
 
 PHRASE, ALL, ANY = 0, 1, 2
 MODES = ("phrase", "all_terms", "any_terms")
+QUERY_STEP = 1000  # queries whose hits in a shard are held at once
+
+
+class Ragged:
+    """Lists of numbers in one array."""
+
+    def __init__(self, flat: np.ndarray, off: np.ndarray) -> None:
+        self.flat, self.off = flat, off
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.off[k] : self.off[k + 1]]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[k] for k in range(len(self.off) - 1))
 
 
 class Batch:
     """A block of queries as term numbers, what every worker needs to evaluate them."""
 
-    def __init__(self, rows: list[tuple[object, list[str], list[str]]], config: LexicalConfig) -> None:
-        """rows: (id, tokens, distinct terms)"""
+    def __init__(self, rows: pa.Table, config: LexicalConfig) -> None:
+        """rows: query_id, q_tokens, q_terms (distinct)"""
         self.config = config
-        self.ids = [r[0] for r in rows]
-        self.names = sorted({t for r in rows for t in r[2]})
-        number = {t: k for k, t in enumerate(self.names)}
-        as_numbers = lambda ts: np.array([number[t] for t in ts], np.int64)
-        self.tokens = [as_numbers(r[1]) for r in rows]
-        self.terms = [as_numbers(r[2]) for r in rows]
-        self.any = [as_numbers(any_terms(list(r[2]), config)) for r in rows]
-        self.modes: list[int | None] = [None] * len(rows)
+        self.ids = _one(rows.column("query_id"))
+        listed = [_one(rows.column(c)) for c in ("q_tokens", "q_terms")]
+        names = listed[1].flatten().unique()
+        self.names = names.take(pc.sort_indices(names)).cast(pa.string())
+        self.tokens, self.terms = (
+            Ragged(pc.index_in(x.flatten(), value_set=self.names).to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]) for x in listed
+        )
+        # As any_terms, for all queries at once.
+        asked = np.array([t not in config.stopwords and len(t) > 1 for t in self.names.to_pylist()], bool)[self.terms.flat]
+        size = np.diff(self.terms.off)
+        own = np.repeat(np.arange(len(size)), size)
+        kept = asked | (np.bincount(own[asked], minlength=len(size)) == 0)[own]
+        self.any = Ragged(self.terms.flat[kept], np.r_[0, np.cumsum(np.bincount(own[kept], minlength=len(size)))])
+        self.modes: list[int | None] = [None] * len(self.ids)
         self.weights = np.zeros(len(self.names))
-        self.phrase_weights = np.zeros(len(rows))
+        self.phrase_weights = np.zeros(len(self.ids))
         self.average = 1.0
 
 
@@ -122,7 +143,7 @@ class Shard:
         self.n = len(self.ids)
         off = listed.offsets.to_numpy()
         self.off = (off - off[0]).astype(np.int64)
-        found = pc.index_in(listed.flatten(), value_set=pa.array(batch.names, pa.string()))
+        found = pc.index_in(listed.flatten(), value_set=batch.names)
         self.term_at = found.fill_null(-1).to_numpy(zero_copy_only=False)
         self.doc_at = np.repeat(np.arange(self.n), np.diff(self.off))
         self.size = np.diff(self.off).astype(np.float64)
@@ -185,17 +206,23 @@ class Shard:
                 return none, none
         return np.unique(doc, return_counts=True)
 
+    def scored(self, batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that answer query k in its mode, and their scores."""
+        if batch.modes[k] == PHRASE:
+            found, tf = self.holding_phrase(batch.tokens[k])
+            return found, -batch.phrase_weights[k] * tf * (batch.config.k1 + 1) / (tf + self.length[found])
+        return self.holding_all(batch.terms[k]) if batch.modes[k] == ALL else self.holding_any(batch.any[k])
+
     def best(self, docs: np.ndarray, score: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
         """At most ``limit`` documents in the order of ``ranked``."""
         if limit is None or len(docs) <= limit:
             return docs, score
-        shown = np.round(score, 9)
-        worst = np.partition(shown, limit - 1)[limit - 1]
-        near = np.flatnonzero(shown <= worst)
+        # Only what may be among the best at nine decimals is rounded.
+        near = np.flatnonzero(score <= np.partition(score, limit - 1)[limit - 1] + 2e-9)
         if self._order is None:
             self._order = np.empty(self.n, np.int64)
             self._order[pc.sort_indices(self.ids).to_numpy()] = np.arange(self.n)
-        kept = near[np.lexsort((self._order[docs[near]], shown[near]))[:limit]]
+        kept = near[np.lexsort((self._order[docs[near]], np.round(score[near], 9)))[:limit]]
         return docs[kept], score[kept]
 
 
@@ -264,11 +291,7 @@ def _evaluated(docs: DataFrame, batch: Batch, limit: int | None, id_field: T.Str
             for k, mode in enumerate(asked.modes):
                 if mode is None:
                     continue
-                if mode == PHRASE:
-                    found, tf = shard.holding_phrase(asked.tokens[k])
-                    score = -asked.phrase_weights[k] * tf * (asked.config.k1 + 1) / (tf + shard.length[found])
-                else:
-                    found, score = shard.holding_all(asked.terms[k]) if mode == ALL else shard.holding_any(asked.any[k])
+                found, score = shard.scored(asked, k)
                 if not len(found):
                     continue
                 found, score = shard.best(found, score, limit)
@@ -280,7 +303,7 @@ def _evaluated(docs: DataFrame, batch: Batch, limit: int | None, id_field: T.Str
                 at = pa.array(np.concatenate(rows))
                 named = pa.array(MODES).take(pa.array(np.concatenate(modes)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked.ids, kind).take(at), shard.ids.take(pa.array(np.concatenate(docs_))), pa.array(np.concatenate(scores)), named], names=schema.names
+                    [asked.ids.cast(kind).take(at), shard.ids.take(pa.array(np.concatenate(docs_))), pa.array(np.concatenate(scores)), named], names=schema.names
                 )
 
     return docs.select("doc_id", "tokens").mapInArrow(run, schema)
@@ -294,9 +317,29 @@ def _batches(queries: DataFrame, config: LexicalConfig) -> Iterator[Batch]:
     blocks = max(1, math.ceil(n / config.query_block), math.ceil(size / config.token_block))
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = sorted(((r.query_id, r.q_tokens, r.q_terms) for r in mine.collect()), key=lambda r: (str(r[0]), r[1]))
-        if rows:
-            yield Batch(rows, config)
+        rows = mine.toArrow()
+        if rows.num_rows:
+            yield Batch(rows.take(pc.sort_indices(rows.column("query_id"))), config)
+
+
+def _asked(index: Index, queries: DataFrame, mode: str, config: LexicalConfig) -> Iterator[Batch]:
+    """Blocks of the queries with the weights and modes that the whole index gives them."""
+    docs = index.docs
+    n_docs, average = index.totals.select("n_docs", "avg_dl").collect()[0]
+    for batch in _batches(settle(queries), config):
+        batch.average = average or 1.0
+        df, phrases, every = _counts(docs, batch, (True, mode in ("auto", "phrase"), mode == "auto"))
+        batch.weights = idf(n_docs, df, config)
+        batch.phrase_weights = idf(n_docs, phrases, config)
+        for k, terms in enumerate(batch.terms):
+            if mode == "auto":
+                batch.modes[k] = PHRASE if phrases[k] else ALL if every[k] else ANY
+            elif mode == "phrase" and len(terms) == 1:  # a single term repeated is no phrase of several terms
+                batch.modes[k] = PHRASE
+                batch.phrase_weights[k] = batch.weights[terms[0]]
+            else:
+                batch.modes[k] = MODES.index(mode)
+        yield batch
 
 
 def search(index: Index, queries: DataFrame, mode: str = "auto", limit: int | None = None, config: LexicalConfig = LexicalConfig()) -> DataFrame:
@@ -313,22 +356,8 @@ def search(index: Index, queries: DataFrame, mode: str = "auto", limit: int | No
     """
     index = written(index)
     docs = index.docs
-    n_docs, average = index.totals.select("n_docs", "avg_dl").collect()[0]
-    queries = settle(queries)
     out = None
-    for batch in _batches(queries, config):
-        batch.average = average or 1.0
-        df, phrases, every = _counts(docs, batch, (True, mode in ("auto", "phrase"), mode == "auto"))
-        batch.weights = idf(n_docs, df, config)
-        batch.phrase_weights = idf(n_docs, phrases, config)
-        for k, terms in enumerate(batch.terms):
-            if mode == "auto":
-                batch.modes[k] = PHRASE if phrases[k] else ALL if every[k] else ANY
-            elif mode == "phrase" and len(terms) == 1:  # a single term repeated is no phrase of several terms
-                batch.modes[k] = PHRASE
-                batch.phrase_weights[k] = batch.weights[terms[0]]
-            else:
-                batch.modes[k] = MODES.index(mode)
+    for batch in _asked(index, queries, mode, config):
         found = _evaluated(docs, batch, limit, queries.schema["query_id"])
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -337,6 +366,41 @@ def search(index: Index, queries: DataFrame, mode: str = "auto", limit: int | No
     return out
 
 
+def top_lists(index: Index, queries: DataFrame, mode: str, limit: int, config: LexicalConfig = LexicalConfig()) -> DataFrame | None:
+    """query_id, ids and scores of the ``limit`` best documents of each query in the order of ``ranked``; None without
+    queries. As ``search``, but every task keeps the best of all its shards and hands on one row per query."""
+    index = written(index)
+    docs, id_field = index.docs, queries.schema["query_id"]
+    schema, kind = packed_schema(id_field, docs.schema["doc_id"].dataType), to_arrow_type(id_field.dataType)
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    out = None
+    for batch in _asked(index, queries, mode, config):
+        shared = docs.sparkSession.sparkContext.broadcast(batch)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, best = shared.value, Best(limit)
+            for shard in shards(batches, asked):
+                base = best.documents(shard.ids)
+                for s in range(0, len(asked.ids), QUERY_STEP):
+                    own = np.arange(s, min(s + QUERY_STEP, len(asked.ids)))
+                    worst = best.worst(s, own) + 2e-9
+                    found = []
+                    for k in own:
+                        at, score = shard.scored(asked, k)
+                        if base:
+                            near = np.flatnonzero(score <= worst[k - s])
+                            at, score = at[near], score[near]
+                        found.append(shard.best(at, score, limit))
+                    best.add(s, np.repeat(own, [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]) + base, np.concatenate([f[1] for f in found]))
+            for _, columns in best.rows(asked.ids.cast(kind)):
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        packed = docs.select("doc_id", "tokens").coalesce(tasks).mapInArrow(run, schema)
+        found = joined(packed, "query_id", len(batch.ids), tasks, limit)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def search_all(index: Index, queries: DataFrame, limit: int | None = None, config: LexicalConfig = LexicalConfig()) -> DataFrame:
     """query_id, doc_id, score of documents that hold all terms of a query."""
     return search(index, queries, "all_terms", limit, config).drop("mode")

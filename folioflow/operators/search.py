@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.config import FusionConfig, LexicalConfig, PolicyConfig
-from folioflow.functions.lineage import settle
+from folioflow.functions.lineage import settle, spread
 from folioflow.functions.normalize import normalize_search_alias, snippet
 from folioflow.operators import dense, evidence, fusion, lexical, policy
 from folioflow.sources.tables import fail_if_any
@@ -28,6 +28,16 @@ class Corpus:
     query_prefix: str = ""
 
 
+@dataclass(frozen=True)
+class Lists:
+    """The rankings of a run as one row per query, by passage numbers: 100 hits with their ids would take a hundred times
+    the room of the query."""
+
+    passages: DataFrame  # passage_no (rising with passage_id), passage_id
+    found: DataFrame  # query_id, lexical and dense (passage numbers in order of rank), lexical_scores, dense_scores
+    hybrid: DataFrame  # as Run.hybrid, with passage_no for passage_id
+
+
 @dataclass(frozen=True)
 class Run:
     """Hits of each ranking, with ranks from 1."""
@@ -35,10 +45,11 @@ class Run:
     lexical: DataFrame  # query_id, passage_id, lexical_rank, lexical_bm25_score
     dense: DataFrame  # query_id, passage_id, dense_rank, dense_cosine_score
     hybrid: DataFrame  # query_id, hybrid_rank, passage_id, fusion_score, lexical_rank, dense_rank
+    lists: Lists | None = None  # the same in less room, where the run was made by hybrid_search
 
 
-def dense_hits(corpus: Corpus, queries: DataFrame, text: str, limit: int) -> DataFrame:
-    """Dense hits of queries with a text; the queries come to the vectors in blocks that a worker can hold."""
+def dense_lists(vectors: DataFrame, corpus: Corpus, queries: DataFrame, text: str, limit: int) -> DataFrame | None:
+    """Dense hits (see dense.top_lists) of queries with a text; the queries come to the vectors in blocks that a worker can hold."""
     asked = queries.where(F.coalesce(F.trim(text), F.lit("")) != "").select("query_id", dense.encoded(F.col(text), corpus.encoder, corpus.query_prefix).alias("vector"))
     asked = settle(asked)
     size, n = asked.select(F.max(F.size("vector")), F.count("*")).first()
@@ -46,9 +57,28 @@ def dense_hits(corpus: Corpus, queries: DataFrame, text: str, limit: int) -> Dat
     found = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1))
-        hits = dense.top_k(corpus.vectors, "key", "vector", part, "query_id", limit)
-        found = hits if found is None else found.unionByName(hits)
-    return found.select("query_id", F.col("key").alias("passage_id"), F.col("rank").alias("dense_rank"), F.col("cosine").alias("dense_cosine_score"))
+        hits = dense.top_lists(vectors, "key", "vector", part, "query_id", limit)
+        if hits is not None:
+            found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _numbered(corpus: Corpus) -> tuple[DataFrame, lexical.Index, DataFrame]:
+    """Numbers of the passages in order of their ids; the index, written once, and the vectors by these numbers."""
+    ids = corpus.index.docs.select(F.col("doc_id").alias("passage_id")).union(corpus.vectors.select("key")).distinct().orderBy("passage_id")
+    passages = settle(ids.select(F.monotonically_increasing_id().alias("passage_no"), "passage_id"))
+    same = lambda c: F.col(c).eqNullSafe(F.col("passage_id"))
+    docs = settle(spread(corpus.index.docs.select("doc_id", F.array_join("tokens", " ").alias("words")).join(passages, same("doc_id")).select("passage_no", "words")))
+    words = F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " "))
+    docs = docs.select(F.col("passage_no").alias("doc_id"), words.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    totals = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    vectors = corpus.vectors.join(passages, same("key")).select(F.col("passage_no").alias("key"), "vector")
+    return passages, lexical.Index(docs, corpus.index.postings, corpus.index.terms, totals, True), vectors
+
+
+def _named(hits: DataFrame, passages: DataFrame) -> DataFrame:
+    """Hits with passage_id in place of passage_no."""
+    return hits.join(passages, "passage_no").select(*("passage_id" if c == "passage_no" else c for c in hits.columns))
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, text: str, mode: str = "auto", limit: int | None = None, config: FusionConfig = FusionConfig(), lexical_config: LexicalConfig = LexicalConfig()) -> Run:
@@ -60,12 +90,24 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, text: str, mode: str = "au
     limit = config.limit if limit is None else limit
     if not 1 <= limit <= config.candidate_limit:
         raise ValueError("limit lies between 1 and candidate_limit")
+    passages, index, vectors = _numbered(corpus)
+    none = queries.select("query_id", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores")).where(F.lit(False))
     terms = lexical.query_terms(queries.select("query_id", normalize_search_alias(text).alias("q")), "query_id", "q")
-    found = lexical.ranked(lexical.search(corpus.index, terms, mode, config.candidate_limit, lexical_config), config.candidate_limit)
-    found = settle(found.select("query_id", F.col("doc_id").alias("passage_id"), F.col("rank").alias("lexical_rank"), F.col("bm25").alias("lexical_bm25_score")))
-    near = settle(dense_hits(corpus, queries, text, config.candidate_limit))
-    fused = fusion.fuse(found, near, FusionConfig(config.lexical_weight, config.dense_weight, config.rrf_constant, config.candidate_limit, limit))
-    return Run(found, near, settle(fused))
+    found = lexical.top_lists(index, terms, mode, config.candidate_limit, lexical_config)
+    found = (none if found is None else found).select("query_id", F.col("ids").alias("lexical"), F.transform("scores", lambda s: F.round(s, 6)).alias("lexical_scores"))
+    near = dense_lists(vectors, corpus, queries, text, config.candidate_limit)
+    near = (none if near is None else near).select("query_id", F.col("ids").alias("dense"), F.transform("scores", lambda s: F.round(-s, 6)).alias("dense_scores"))
+    lists = settle(found.join(near, "query_id", "full_outer"))
+    rank = lambda c, name, other: F.coalesce(F.transform(c, lambda p, i: F.struct(p.alias("p"), (i + 1).alias(name), F.lit(None).cast("int").alias(other))), F.array())
+    hits = F.concat(rank("lexical", "a", "b"), F.transform(rank("dense", "b", "a"), lambda h: F.struct(h.p.alias("p"), h.a.alias("a"), h.b.alias("b"))))
+    # By query first, so that the hits, a hundred times as many, stay where they come from.
+    both = lists.select("query_id", "lexical", "dense").repartition("query_id").select("query_id", F.explode(hits).alias("h"))
+    both = both.groupBy("query_id", F.col("h.p").alias("passage_id")).agg(F.max("h.a").alias("lexical_rank"), F.max("h.b").alias("dense_rank"))
+    fused = fusion.scored(both, FusionConfig(config.lexical_weight, config.dense_weight, config.rrf_constant, config.candidate_limit, limit))
+    fused = fused.withColumnRenamed("passage_id", "passage_no")
+    shown = lambda c, score: _named(lists.select("query_id", F.posexplode(F.arrays_zip(F.col(c).alias("p"), F.col(f"{c}_scores").alias("s"))).alias("r", "h")).select(
+        "query_id", F.col("h.p").alias("passage_no"), (F.col("r") + 1).alias(f"{c}_rank"), F.col("h.s").alias(score)), passages)
+    return Run(shown("lexical", "lexical_bm25_score"), shown("dense", "dense_cosine_score"), _named(fused, passages), Lists(passages, lists, fused))
 
 
 def run_violations(run: Run) -> DataFrame:
@@ -128,6 +170,7 @@ def search(corpus: Corpus, queries: DataFrame, text: str, mode: str = "auto", li
     each must be asked under an id of its own.
     """
     run = hybrid_search(corpus, queries, text, mode, limit, config)
+    run = Run(run.lexical, run.dense, settle(run.hybrid))
     own = corpus.store.select("passage_id", "version_id", "kind", "author_id", "author_name", "work_id", "work_title", "ordinal", "display_text", "previous_passage_id", "next_passage_id")
     fail_if_any(policy.missing_passages(run.hybrid, own), "hits that aren't stored")
     placed = run.hybrid.join(own.select("passage_id", "version_id"), "passage_id")

@@ -218,3 +218,25 @@ def test_zones(spark):
     roles = evidence.content_roles(h, z)
     assert [r.role for r in roles.orderBy("hybrid_rank").collect()] == ["paratext", "outside", "unknown"]
     assert evidence.role_evidence(roles).first().top_is_paratext
+
+
+def test_hits_leave_a_task_once_a_query(spark):
+    """However many vectors and shards a task holds, one row per query is handed on, with the hits in order."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(600, 8)).round(1)  # rounded, so that scores tie
+    v = spark.createDataFrame([(int(k), [float(x) for x in m[k % 500]]) for k in rng.permutation(600)], "id long, e array<float>").repartition(3)
+    q = v.where("id < 40").select(F.col("id").alias("qid"), "e")
+    lists = dense.top_lists(v, "id", "e", q, "qid", 7, block=50)
+    m = np.asarray(m, np.float32).astype(float)[np.arange(600) % 500]
+    for r in lists.collect():
+        s = np.round(m @ (m[r.qid] / np.linalg.norm(m[r.qid])), 9)
+        assert r.ids == sorted(range(600), key=lambda i: (-s[i], i))[:7] and [-x for x in r.scores] == [s[i] for i in r.ids]
+    assert lists.count() == 40
+    words = ["red", "sea", "sky", "rose", "the"]
+    p = spark.createDataFrame([(int(k), " ".join(rng.choice(words, rng.integers(1, 9)))) for k in range(400)], "id long, t string").repartition(3)
+    ix = lexical.written(lexical.build_index(p, "id", "t"))
+    q = lexical.query_terms(spark.createDataFrame([(f"q{k}", " ".join(rng.choice(words, rng.integers(1, 4)))) for k in range(30)] + [("none", "absent")], "query_id string, q string"), "query_id", "q")
+    small = LexicalConfig(shard_tokens=100, query_block=20)
+    for mode in ("auto", *lexical.MODES):
+        got = {(r.query_id, k + 1, d) for r in lexical.top_lists(ix, q, mode, 5, small).collect() for k, d in enumerate(r.ids)}
+        assert got == {(r.query_id, r["rank"], r.doc_id) for r in lexical.ranked(lexical.search(ix, q, mode), 5).collect()}
