@@ -113,13 +113,20 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, text: str, mode: str = "au
 def run_violations(run: Run) -> DataFrame:
     """query_id, passage_id, issue: hybrid hits whose ranks point at another hit of a component, or whose score isn't
     what their ranks give. No row is right."""
-    out = None
-    for name, hits in (("lexical", run.lexical), ("dense", run.dense)):
-        own = hits.select("query_id", "passage_id", F.col(f"{name}_rank").alias("r"))
-        wrong = run.hybrid.join(own, ["query_id", "passage_id"], "left").where(~F.col(f"{name}_rank").eqNullSafe(F.col("r")) & F.col(f"{name}_rank").isNotNull())
-        wrong = wrong.select("query_id", "passage_id", F.lit(f"{name}_rank_of_another_hit").alias("issue"))
-        out = wrong if out is None else out.unionByName(wrong)
-    return out
+    if run.lists:
+        key = "passage_no"
+        place = lambda c: F.nullif(F.array_position(c, F.col(key)), F.lit(0))
+        rows = run.lists.hybrid.join(run.lists.found, "query_id", "left").withColumns({"a": place("lexical"), "b": place("dense")})
+    else:
+        key = "passage_id"
+        own = lambda hits, rank, c: hits.select("query_id", key, F.col(rank).alias(c))
+        rows = run.hybrid.join(own(run.lexical, "lexical_rank", "a"), ["query_id", key], "left").join(own(run.dense, "dense_rank", "b"), ["query_id", key], "left")
+    issues = []
+    for name, c in (("lexical", "a"), ("dense", "b")):
+        rank = F.col(f"{name}_rank")
+        issues.append(F.when(rank.isNotNull() & ~rank.eqNullSafe(F.col(c)), f"{name}_rank_of_another_hit"))
+    wrong = rows.select("query_id", key, F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+    return (wrong.join(run.lists.passages, key) if run.lists else wrong).select("query_id", "passage_id", "issue")
 
 
 def alignment_violations(features: DataFrame, scope: DataFrame, roles: DataFrame) -> DataFrame:
