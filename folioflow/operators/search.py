@@ -46,6 +46,7 @@ class Run:
     dense: DataFrame  # query_id, passage_id, dense_rank, dense_cosine_score
     hybrid: DataFrame  # query_id, hybrid_rank, passage_id, fusion_score, lexical_rank, dense_rank
     lists: Lists | None = None  # the same in less room, where the run was made by hybrid_search
+    config: FusionConfig = FusionConfig()  # what the ranks were fused by
 
 
 def dense_lists(vectors: DataFrame, corpus: Corpus, queries: DataFrame, text: str, limit: int) -> DataFrame | None:
@@ -107,12 +108,12 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, text: str, mode: str = "au
     fused = fused.withColumnRenamed("passage_id", "passage_no")
     shown = lambda c, score: _named(lists.select("query_id", F.posexplode(F.arrays_zip(F.col(c).alias("p"), F.col(f"{c}_scores").alias("s"))).alias("r", "h")).select(
         "query_id", F.col("h.p").alias("passage_no"), (F.col("r") + 1).alias(f"{c}_rank"), F.col("h.s").alias(score)), passages)
-    return Run(shown("lexical", "lexical_bm25_score"), shown("dense", "dense_cosine_score"), _named(fused, passages), Lists(passages, lists, fused))
+    return Run(shown("lexical", "lexical_bm25_score"), shown("dense", "dense_cosine_score"), _named(fused, passages), Lists(passages, lists, fused), config)
 
 
 def run_violations(run: Run) -> DataFrame:
-    """query_id, passage_id, issue: hybrid hits whose ranks point at another hit of a component, or whose score isn't
-    what their ranks give. No row is right."""
+    """query_id, passage_id, issue: hybrid hits whose ranks point at another hit of a component or leave out that a
+    component has them, or whose score isn't what the ranks of the components give. No row is right."""
     if run.lists:
         key = "passage_no"
         place = lambda c: F.nullif(F.array_position(c, F.col(key)), F.lit(0))
@@ -124,7 +125,9 @@ def run_violations(run: Run) -> DataFrame:
     issues = []
     for name, c in (("lexical", "a"), ("dense", "b")):
         rank = F.col(f"{name}_rank")
-        issues.append(F.when(rank.isNotNull() & ~rank.eqNullSafe(F.col(c)), f"{name}_rank_of_another_hit"))
+        issues.append(F.when(rank.isNotNull() & ~rank.eqNullSafe(F.col(c)), f"{name}_rank_of_another_hit").when(rank.isNull() & F.col(c).isNotNull(), f"{name}_rank_left_out"))
+    given = F.abs(F.col("fusion_score") - fusion.score("a", "b", run.config))
+    issues.append(F.when(given.isNull() | (given > 1e-9), "score_of_other_ranks"))
     wrong = rows.select("query_id", key, F.explode(F.array_compact(F.array(*issues))).alias("issue"))
     return (wrong.join(run.lists.passages, key) if run.lists else wrong).select("query_id", "passage_id", "issue")
 

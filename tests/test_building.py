@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.config import FusionConfig
 from folioflow.functions.lineage import shared_folder
-from folioflow.operators import building, corpus, dense, lexical, parsing, policy, search, units
+from folioflow.operators import building, corpus, dense, evidence, lexical, parsing, policy, search, units
 from folioflow.sources import catalogs, marked, metadata, stores
 
 
@@ -222,6 +223,22 @@ def test_one_search_call(spark):
         search.search(search.Corpus(**{**c.__dict__, "store": c.store.where("ordinal <> 3")}), q, "t")
 
 
+def test_violations_of_left_out_ranks_and_scores(spark):
+    c = corpus_of(spark)
+    q = spark.createDataFrame([("q1", "red sea"), ("q2", "blue")], "query_id string, t string")
+    run = search.hybrid_search(c, q, "t", limit=3, config=FusionConfig(lexical_weight=3.0))
+    found = lambda run: {(r.query_id, r.passage_id, r.issue) for r in search.run_violations(run).collect()}
+    hit = run.hybrid.where("query_id = 'q1' AND hybrid_rank = 1").first()
+    change = lambda c, to: run.hybrid.withColumn(c, F.when((F.col("query_id") == "q1") & (F.col("hybrid_rank") == 1), F.expr(to)).otherwise(F.col(c)))
+    again = lambda hybrid: found(search.Run(run.lexical, run.dense, hybrid, None, run.config))
+    assert found(run) == set() and again(run.hybrid) == set()
+    assert again(change("fusion_score", "fusion_score + 0.001")) == again(change("fusion_score", "NULL")) == {("q1", hit.passage_id, "score_of_other_ranks")}
+    assert again(change("lexical_rank", "CAST(NULL AS INT)")) == {("q1", hit.passage_id, "lexical_rank_left_out")}
+    lists = search.Lists(run.lists.passages, run.lists.found, run.lists.hybrid.withColumn("fusion_score", F.col("fusion_score") * 2).withColumn("dense_rank", F.col("dense_rank") + 1))
+    by = {issue: n for issue, n in search.run_violations(search.Run(run.lexical, run.dense, run.hybrid, lists, run.config)).groupBy("issue").count().collect()}
+    assert by == {"score_of_other_ranks": run.hybrid.count(), "dense_rank_of_another_hit": run.hybrid.where("dense_rank IS NOT NULL").count()}
+
+
 def test_hits_and_catalog_checks(spark):
     p = stored(spark, ["x", "y"])
     hits = spark.createDataFrame([("q", "v:passage_000001", "v", "diwan"), ("q", "v:passage_000002", "u", "diwan"), ("q", "gone", "v", "diwan")], "query_id string, passage_id string, version_id string, kind string")
