@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.normalize import normalize_scope
@@ -11,12 +11,8 @@ from folioflow.functions.normalize import normalize_scope
 def rank_features(hybrid: DataFrame, lexical: DataFrame, dense: DataFrame) -> DataFrame:
     """One row per query of any ranking: hit counts, top ids and scores, margins, overlap of the two rankings at 10
     and 100, and whether both support the top hit. Margins are null with fewer than two hits."""
-    at = lambda rank, k, c: F.max(F.when(F.col(rank) == k, F.col(c)))
-    h = hybrid.groupBy("query_id").agg(
-        F.count("*").alias("hybrid_hits"), at("hybrid_rank", 1, "passage_id").alias("top_passage_id"),
-        F.round(at("hybrid_rank", 1, "fusion_score") - at("hybrid_rank", 2, "fusion_score"), 6).alias("fusion_margin"),
-        F.max(F.when((F.col("hybrid_rank") == 1) & F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull(), 1).otherwise(0)).alias("dual_support"),
-    )
+    at = _at
+    h = _hybrid_features(hybrid)
     x = lexical.groupBy("query_id").agg(F.count("*").alias("lexical_hits"))
     d = dense.groupBy("query_id").agg(
         F.count("*").alias("dense_hits"), F.round(at("dense_rank", 1, "dense_cosine_score"), 6).alias("dense_top_1"),
@@ -25,7 +21,34 @@ def rank_features(hybrid: DataFrame, lexical: DataFrame, dense: DataFrame) -> Da
     both = lexical.select("query_id", "passage_id", "lexical_rank").join(dense.select("query_id", "passage_id", "dense_rank"), ["query_id", "passage_id"])
     worst = F.greatest("lexical_rank", "dense_rank")
     o = both.groupBy("query_id").agg(*(F.sum(F.when(worst <= k, 1).otherwise(0)).alias(f"overlap_at_{k}") for k in (10, 100)))
-    out = h.join(x, "query_id", "full_outer").join(d, "query_id", "full_outer").join(o, "query_id", "left")
+    return _whole(h.join(x, "query_id", "full_outer").join(d, "query_id", "full_outer").join(o, "query_id", "left"))
+
+
+def list_features(hybrid: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rank_features`` of rankings that come as one row per query: query_id, lexical and dense (ids in order) and dense_scores."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    score = lambda k: F.round(F.get("dense_scores", F.lit(k)), 6)
+    shared = lambda k: F.coalesce(F.size(F.array_intersect(F.slice("lexical", 1, k), F.slice("dense", 1, k))), F.lit(0)).cast("long")
+    own = lists.select(
+        "query_id", size("lexical").alias("lexical_hits"), size("dense").alias("dense_hits"), score(0).alias("dense_top_1"), F.round(score(0) - score(1), 6).alias("dense_margin"),
+        *(shared(k).alias(f"overlap_at_{k}") for k in (10, 100)),
+    )
+    return _whole(_hybrid_features(hybrid).join(own, "query_id", "full_outer"))
+
+
+def _at(rank: str, k: int, c: str) -> Column:
+    return F.max(F.when(F.col(rank) == k, F.col(c)))
+
+
+def _hybrid_features(hybrid: DataFrame) -> DataFrame:
+    return hybrid.groupBy("query_id").agg(
+        F.count("*").alias("hybrid_hits"), _at("hybrid_rank", 1, "passage_id").alias("top_passage_id"),
+        F.round(_at("hybrid_rank", 1, "fusion_score") - _at("hybrid_rank", 2, "fusion_score"), 6).alias("fusion_margin"),
+        F.max(F.when((F.col("hybrid_rank") == 1) & F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull(), 1).otherwise(0)).alias("dual_support"),
+    )
+
+
+def _whole(out: DataFrame) -> DataFrame:
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("hybrid_hits", "lexical_hits", "dense_hits", "overlap_at_10", "overlap_at_100", "dual_support")}
     return out.withColumns(zero)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,17 +180,19 @@ def search(corpus: Corpus, queries: DataFrame, text: str, mode: str = "auto", li
     each must be asked under an id of its own.
     """
     run = hybrid_search(corpus, queries, text, mode, limit, config)
-    run = Run(run.lexical, run.dense, settle(run.hybrid))
+    lists = replace(run.lists, hybrid=settle(run.lists.hybrid))
+    run = replace(run, hybrid=_named(lists.hybrid, lists.passages), lists=lists)
     own = corpus.store.select("passage_id", "version_id", "kind", "author_id", "author_name", "work_id", "work_title", "ordinal", "display_text", "previous_passage_id", "next_passage_id")
     fail_if_any(policy.missing_passages(run.hybrid, own), "hits that aren't stored")
     placed = run.hybrid.join(own.select("passage_id", "version_id"), "passage_id")
-    features = evidence.rank_features(run.hybrid, run.lexical, run.dense)
+    features = evidence.list_features(run.hybrid, run.lists.found)
     features = queries.select("query_id").distinct().join(features, "query_id", "left").na.fill(0, ["hybrid_hits", "lexical_hits", "dense_hits", "overlap_at_10", "overlap_at_100", "dual_support"])
     mentions = evidence.scope_mentions(queries.where(F.col(text).isNotNull()), text, corpus.aliases)
     scope = evidence.scope_evidence(queries, mentions, corpus.entity_versions, placed)
     decisions = policy.decide(features, scope, evidence.role_evidence(evidence.content_roles(placed, corpus.zones)), rules)
-    scored = run.hybrid.join(run.lexical.select("query_id", "passage_id", "lexical_bm25_score"), ["query_id", "passage_id"], "left")
-    scored = scored.join(run.dense.select("query_id", "passage_id", "dense_cosine_score"), ["query_id", "passage_id"], "left")
+    at = lambda name: F.get(f"{name}_scores", F.col(f"{name}_rank") - 1)
+    scored = run.lists.hybrid.join(run.lists.found, "query_id").withColumns({"lexical_bm25_score": at("lexical"), "dense_cosine_score": at("dense")})
+    scored = _named(scored.drop(*(c for c in run.lists.found.columns if c != "query_id")), run.lists.passages)
     out = decisions.join(serialized(scored, own), "query_id", "left")
     answer = F.col("action") == "return_results"
     kept = F.when(answer, F.coalesce("passages", F.array())).otherwise(F.array())

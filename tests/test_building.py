@@ -239,6 +239,16 @@ def test_violations_of_left_out_ranks_and_scores(spark):
     assert by == {"score_of_other_ranks": run.hybrid.count(), "dense_rank_of_another_hit": run.hybrid.where("dense_rank IS NOT NULL").count()}
 
 
+def test_features_of_lists(spark):
+    c = corpus_of(spark)
+    q = spark.createDataFrame([("q1", "red sea"), ("q2", "blue"), ("q3", "absent"), ("q4", None)], "query_id string, t string")
+    run = search.hybrid_search(c, q, "t", limit=3)
+    want = evidence.rank_features(run.hybrid, run.lexical, run.dense)
+    assert sorted(map(tuple, evidence.list_features(run.hybrid, run.lists.found).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    best = search.search(c, q, "t").where("query_id = 'q1'").first().passages[0]
+    assert best.scores.dense_cosine_score == run.dense.where(f"query_id = 'q1' AND dense_rank = {best.scores.dense_rank}").first().dense_cosine_score
+
+
 def test_hits_and_catalog_checks(spark):
     p = stored(spark, ["x", "y"])
     hits = spark.createDataFrame([("q", "v:passage_000001", "v", "diwan"), ("q", "v:passage_000002", "u", "diwan"), ("q", "gone", "v", "diwan")], "query_id string, passage_id string, version_id string, kind string")
